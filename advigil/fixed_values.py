@@ -38,6 +38,7 @@ MAX_PLAUSIBLE_AGE = 130
 # --- fixed values: text patterns (Java regular expressions) ------------------
 # White space as Unicode defines it, plus the four ASCII separator controls.
 WHITESPACE_PATTERN = r"(?U)[\s\x1C-\x1F]+"
+PLAIN_TEXT_EXCEPTION_PATTERN = r"[^\x20-\x7E]|\x20\x20"
 EDGE_PUNCTUATION_PATTERN = r"^[^A-Za-z0-9]+|[^A-Za-z0-9]+$"
 NUMBER_PATTERN = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 DAY_PATTERN = r"^\d{8}$"

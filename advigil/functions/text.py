@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from advigil.fixed_values import EDGE_PUNCTUATION_PATTERN, WHITESPACE_PATTERN
+from advigil.fixed_values import (
+    EDGE_PUNCTUATION_PATTERN,
+    PLAIN_TEXT_EXCEPTION_PATTERN,
+    WHITESPACE_PATTERN,
+)
 
 
 def null_if_blank(text: Column) -> Column:
@@ -13,8 +17,14 @@ def null_if_blank(text: Column) -> Column:
 
 
 def squeeze(text: Column) -> Column:
-    """Upper case, runs of white space as one blank, no blank at the edges."""
-    return F.trim(F.regexp_replace(F.upper(text), WHITESPACE_PATTERN, " "))
+    """Upper case, runs of white space as one blank, no blank at the edges.
+
+    Printable ASCII with single blanks, nearly every name, needs no replacement; a
+    cheap pattern finds the rest.
+    """
+    upper = F.upper(text)
+    unusual = upper.rlike(PLAIN_TEXT_EXCEPTION_PATTERN)
+    return F.trim(F.when(unusual, F.regexp_replace(upper, WHITESPACE_PATTERN, " ")).otherwise(upper))
 
 
 def normalize_reaction(text: Column) -> Column:

@@ -16,9 +16,12 @@ def zero_fill(text: Column, width: int) -> Column:
     return F.lpad(text, F.greatest(F.length(text), F.lit(width)), F.lit("0"))
 
 
-def latest_case_versions(demo: DataFrame) -> DataFrame:
+def latest_case_versions(demo: DataFrame, tie_break: tuple[str, ...] = ()) -> DataFrame:
     """The row with the highest version of each case, ties to the largest report id.
 
+    ``tie_break`` names columns that decide between repeated rows of one report
+    version. It is empty by default so that unused columns can be pruned.
+
     ``row_number() = 1`` lets Spark keep only the best row of each case before the
     shuffle (window group limit), so a case with very many rows ships one row per
     map task. Without a version column nothing is removed.
@@ -28,7 +31,7 @@ def latest_case_versions(demo: DataFrame) -> DataFrame:
     best = W.partitionBy("caseid").orderBy(
         zero_fill(F.col("caseversion"), 10).desc(),
         zero_fill(F.col("primaryid"), 20).desc(),
-        *[F.col(c).desc() for c in demo.columns if c not in ("caseid", "caseversion", "primaryid")],
+        *[F.desc(c) for c in tie_break],
     )
     return (
         demo.withColumn("_version_order", F.row_number().over(best))

@@ -31,11 +31,11 @@ def margins(counts: DataFrame) -> DataFrame:
     Margins are grouped sums joined back, not windows: a drug or event with a large
     share of all pairs is summed on the map side first, and the joined side has one
     row per name, so Spark broadcasts it when its measured size allows and otherwise
-    splits the hot key. The total is a scalar subquery over the drug margin.
+    splits the hot key. ``counts`` is read four times and should be a stored table.
     """
     drug = counts.groupBy("drug_name").agg(F.sum("a").alias("n_drug"))
     event = counts.groupBy("event_name").agg(F.sum("a").alias("n_event"))
-    total = drug.agg(F.sum("n_drug").alias("n_total"))
+    total = counts.agg(F.sum("a").alias("n_total"))
     return (
         counts.join(drug, "drug_name")
         .join(event, "event_name")
@@ -72,7 +72,7 @@ def with_statistics(cells: DataFrame, policy: DetectionPolicy = DETECTION) -> Da
     )
 
 
-def disproportionality(pairs: DataFrame, policy: DetectionPolicy = DETECTION) -> DataFrame:
-    """Signal id, cells and statistics of every (drug, event) pair."""
-    stats = with_statistics(contingency(pair_counts(pairs)), policy)
+def disproportionality(counts: DataFrame, policy: DetectionPolicy = DETECTION) -> DataFrame:
+    """Signal id, cells and statistics of every row of stored ``pair_counts``."""
+    stats = with_statistics(contingency(counts), policy)
     return stats.withColumn("signal_id", signal_id(F.col("drug_name"), F.col("event_name")))

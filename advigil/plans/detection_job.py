@@ -15,7 +15,7 @@ from advigil.operators.cases import (
     latest_case_versions,
     type_demo,
 )
-from advigil.operators.contingency import disproportionality
+from advigil.operators.contingency import disproportionality, pair_counts
 from advigil.operators.detection import (
     candidate_signals_export,
     detect_signals,
@@ -49,6 +49,7 @@ from advigil.sources.faers import (
 @dataclass(frozen=True)
 class DetectionOutput:
     pairs: str
+    pair_counts: str
     metrics: str
     signals: str
     reports: str
@@ -85,6 +86,7 @@ def run_detection(
             f"{output.rstrip('/')}/{name}"
             for name in (
                 "drug_event_pairs",
+                "pair_counts",
                 "signal_metrics",
                 "candidate_signals",
                 "normalized_reports",
@@ -96,7 +98,7 @@ def run_detection(
     )
     tables = scan_quarter(spark, folder, quarter, deleted_path)
     typed = type_demo(tables["DEMO"], quarter, policy)
-    versions = latest_case_versions(typed)
+    versions = latest_case_versions(typed, ("event_date", "patient_age", "patient_sex"))
     cases = (
         exclude_deleted_cases(versions, tables["DELETED"])
         if policy.exclude_deleted_cases
@@ -105,7 +107,9 @@ def run_detection(
 
     write_dataset(pair_universe(tables["DRUG"], tables["REAC"], cases, policy), out.pairs)
     pairs = spark.read.parquet(out.pairs)
-    write_dataset(disproportionality(pairs, policy), out.metrics)
+    write_dataset(pair_counts(pairs), out.pair_counts)
+    counts = spark.read.parquet(out.pair_counts)
+    write_dataset(disproportionality(counts, policy), out.metrics)
     metrics = spark.read.parquet(out.metrics)
 
     signals = candidate_signals_export(detect_signals(metrics, quarter, policy))

@@ -9,19 +9,20 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from advigil.functions.identifiers import signal_id
+from advigil.fixed_values import FIELD_SEPARATOR
 from advigil.operators import cases as case_ops
-from advigil.operators.contingency import contingency, with_statistics
+from advigil.operators.contingency import disproportionality, pair_counts
 from advigil.operators.detection import detect_signals
 from advigil.operators.enrichment import enrich_signals
 from advigil.operators.pairs import pair_universe
 from advigil.operators.reports import normalized_reports
 from advigil.operators.support import trend_series
-from advigil.policy import DETECTION
+from advigil.schemas import RAW
 from advigil.session import prepare, scratch_path
+from advigil.sources.faers import table_path
 
 
 class StarSchema:
@@ -153,20 +154,16 @@ class StarSchema:
 
     @cached_property
     def pair_counts(self) -> DataFrame:
-        """Reports per pair and the newest quarter a pair was reported in."""
-        return self.dated_pairs.groupBy("drug_name", "event_name").agg(
-            F.count(F.lit(1)).alias("a"), F.max("report_quarter").alias("last_quarter")
-        )
+        """Reports per pair, written once: the statistics read it several times."""
+        return self.stored(pair_counts(self.pairs), "pair-counts")
 
     @cached_property
     def metrics(self) -> DataFrame:
-        return with_statistics(contingency(self.pair_counts), DETECTION)
+        return disproportionality(self.pair_counts)
 
     @cached_property
     def candidates(self) -> DataFrame:
-        """Detected signals; every second one is tied to the newest quarter of its pair."""
-        release = F.when(F.col("a") % 2 == 0, F.col("last_quarter"))
-        return detect_signals(self.metrics, release)
+        return detect_signals(self.metrics, None)
 
     @cached_property
     def reports(self) -> DataFrame:
@@ -184,16 +181,64 @@ class StarSchema:
 
     @cached_property
     def signals(self) -> DataFrame:
-        """Scored signals, written once."""
-        release = F.when(F.col("a") % 2 == 0, F.col("last_quarter"))
-        found = self.stored(
-            detect_signals(self.stored_metrics, release), "candidates"
-        )
+        """Scored signals, written once.
+
+        A signal with an even number of reports is tied to its newest quarter; the
+        review status also follows the number of reports.
+        """
+        found = self.stored(detect_signals(self.stored_metrics, None), "candidates")
         trend = trend_series(found, self.stored_reports, scope="all")
-        inputs = self.stored_metrics.select(
-            signal_id(F.col("drug_name"), F.col("event_name")).alias("signal_id"),
-            "chi_square",
-            "prr_lower",
-            "ror_lower",
-        ).join(trend, "signal_id")
-        return self.stored(enrich_signals(found, inputs), "signals")
+        inputs = self.stored_metrics.select("signal_id", "chi_square", "prr_lower", "ror_lower")
+        newest = F.try_element_at("trend_data", F.lit(-1))["quarter"]
+        release = F.when(F.col("supporting_report_count") % 2 == 0, newest)
+        fifth = F.col("supporting_report_count") % 5
+        status = (
+            F.when(fifth == 0, "closed").when(fifth == 1, "under_review").otherwise("candidate")
+        )
+        scored = enrich_signals(found, inputs.join(trend, "signal_id"))
+        dated = (
+            scored.drop("dataset_version")
+            .join(trend, "signal_id")
+            .withColumn("dataset_version", release)
+            .withColumn("candidate_status", status)
+            .select(*found.columns)
+        )
+        return self.stored(dated, "signals")
+
+    # --- report files of one release, written once per instance -------------------
+
+    QUARTER = "2026Q1"
+
+    def layout(self, kind: str) -> DataFrame:
+        """A raw table in its full file layout, rows in file order."""
+        frame = {"DEMO": self.demo, "DRUG": self.drug, "REAC": self.reac, "OUTC": self.outc}[kind]
+        order = {
+            "DEMO": ["primaryid"],
+            "DRUG": ["primaryid", "drug_seq", "drugname"],
+            "REAC": ["primaryid", "l_linenumber", "pt"],
+            "OUTC": ["primaryid", "outc_cod"],
+        }[kind]
+        cells = [F.col(c) if c in frame.columns else F.lit("").alias(c) for c in RAW[kind].names]
+        return frame.orderBy(*order).select(*cells)
+
+    def write_lines(self, kind: str, path: str, ragged: Column | None = None) -> None:
+        """Report file ``path`` as a folder of parts, each with the header line.
+
+        Rows for which ``ragged`` holds are cut after two fields.
+        """
+        rows = self.layout(kind)
+        names = RAW[kind].names
+        line = F.concat_ws(FIELD_SEPARATOR, *names)
+        if ragged is not None:
+            line = F.when(ragged, F.concat_ws(FIELD_SEPARATOR, *names[:2])).otherwise(line)
+        rows.select(line.alias(FIELD_SEPARATOR.join(names))).write.option("header", True).option(
+            "sep", "\u0001"
+        ).option("quote", "").option("escape", "").csv(path)
+
+    @cached_property
+    def quarter_folder(self) -> str:
+        """Folder with all four report files of the release."""
+        folder = scratch_path(self.spark, "quarter")
+        for kind in RAW:
+            self.write_lines(kind, table_path(folder, kind, self.QUARTER))
+        return folder

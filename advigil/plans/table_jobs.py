@@ -122,6 +122,19 @@ def is_imported(spark: SparkSession, store: Store, quarter: str) -> bool:
     return not releases.filter(F.col("release_id") == quarter).limit(1).isEmpty()
 
 
+def quarter_frames(spark: SparkSession, folder: str) -> dict[str, DataFrame | None]:
+    """Lenient reads of the members of one quarter; outcomes may be absent."""
+    frames: dict[str, DataFrame | None] = {}
+    for kind in ("DEMO", "DRUG", "REAC", "OUTC"):
+        try:
+            frames[kind] = scan_faers_unquoted(spark, find_quarter_member(spark, folder, kind))
+        except MissingFileError:
+            if kind != "OUTC":
+                raise
+            frames[kind] = None
+    return frames
+
+
 def ingest_quarter(
     spark: SparkSession, folder: str, quarter: str, store: Store, version: str = "v1.0.0"
 ) -> None:
@@ -134,15 +147,8 @@ def ingest_quarter(
     quarter = quarter.upper()
     if is_imported(spark, store, quarter):
         raise AlreadyImportedError(quarter)
-    frames = {
-        kind: scan_faers_unquoted(spark, find_quarter_member(spark, folder, kind))
-        for kind in ("DEMO", "DRUG", "REAC")
-    }
-    try:
-        outc = scan_faers_unquoted(spark, find_quarter_member(spark, folder, "OUTC"))
-    except MissingFileError:
-        outc = None
-    incoming = ingest_reports(frames["DEMO"], frames["DRUG"], frames["REAC"], outc, quarter)
+    files = quarter_frames(spark, folder)
+    incoming = ingest_reports(files["DEMO"], files["DRUG"], files["REAC"], files["OUTC"], quarter)
     existing = read_table(spark, store.reports, REPORT).filter(F.col("report_quarter") == quarter)
     new_reports(existing, incoming).write.mode("append").partitionBy("report_quarter").parquet(
         store.reports

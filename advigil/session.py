@@ -26,6 +26,7 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "adv
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         # Small local files would otherwise become one task per file.
         .config("spark.sql.files.openCostInBytes", str(256 * 1024))

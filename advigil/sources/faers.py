@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,10 +25,6 @@ class HeaderError(Exception):
     """A header differs from the fixed layout."""
 
 
-class MissingKeyError(Exception):
-    """Rows without a report or case id."""
-
-
 def file_name(kind: str, quarter: str) -> str:
     """``DEMO26Q1.txt`` for ("DEMO", "2026Q1")."""
     return f"{kind.upper()}{quarter[2:4]}Q{quarter[-1]}.txt"
@@ -89,12 +85,24 @@ def read_table_rows(
     )
 
 
-def good_rows(rows: DataFrame) -> DataFrame:
-    """Rows with the right number of fields; empty cells are ``''``."""
+def _no_keys() -> Column:
+    ids = [F.coalesce(F.trim(c), F.lit("")) for c in ("primaryid", "caseid")]
+    return (ids[0] == "") | (ids[1] == "")
+
+
+def _fail(name: str) -> Column:
+    return F.raise_error(F.lit(f"{name} has rows without primaryid or caseid")).cast("boolean")
+
+
+def good_rows(rows: DataFrame, name: str = "table") -> DataFrame:
+    """Rows with the right number of fields; empty cells are ``''``.
+
+    The job fails at the first such row without a report or case id. The check is
+    part of the row filter, so it holds whichever columns are read.
+    """
     names = [c for c in rows.columns if c != BAD_ROW]
-    return rows.filter(F.col(BAD_ROW).isNull()).select(
-        *[F.coalesce(F.col(c), F.lit("")).alias(c) for c in names]
-    )
+    keep = F.when(F.col(BAD_ROW).isNotNull(), F.lit(False)).when(_no_keys(), _fail(name)).otherwise(F.lit(True))
+    return rows.filter(keep).select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in names])
 
 
 def load_stats(spark: SparkSession, rows: DataFrame, path: str, kind: str) -> DataFrame:
@@ -126,7 +134,7 @@ def load_stats(spark: SparkSession, rows: DataFrame, path: str, kind: str) -> Da
 
 def rows_without_keys(table: DataFrame) -> DataFrame:
     """Rows whose report or case id is blank."""
-    return table.filter((F.trim("primaryid") == "") | (F.trim("caseid") == ""))
+    return table.filter(_no_keys())
 
 
 def validate_keys(table: DataFrame, name: str = "table") -> DataFrame:
@@ -134,10 +142,7 @@ def validate_keys(table: DataFrame, name: str = "table") -> DataFrame:
 
     The check rides along with whatever reads the table; there is no extra pass.
     """
-    blank = (F.trim("primaryid") == "") | (F.trim("caseid") == "")
-    message = F.lit(f"{name} has rows without primaryid or caseid")
-    checked = F.when(blank, F.raise_error(message).cast("string")).otherwise(F.col("primaryid"))
-    return table.withColumn("primaryid", checked)
+    return table.filter(F.when(_no_keys(), _fail(name)).otherwise(F.lit(True)))
 
 
 def scan_faers_table(
@@ -151,7 +156,7 @@ def scan_faers_table(
     validate_header(spark, path, kind)
     if multiline is None:
         multiline = has_multiline_cells(spark, path)
-    return validate_keys(good_rows(read_table_rows(spark, path, kind, multiline)), kind)
+    return good_rows(read_table_rows(spark, path, kind, multiline), kind)
 
 
 def scan_deleted_cases(spark: SparkSession, path: str) -> DataFrame:
@@ -197,16 +202,21 @@ def scan_quarters(spark: SparkSession, folder: str, quarters: list[str]) -> dict
 
 
 def quarter_members(spark: SparkSession, folder: str, prefix: str) -> DataFrame:
-    """Files below a folder named ``<prefix>*.txt`` in any case (names only, no bytes)."""
+    """Distinct members ``<prefix>*.txt`` below a folder, in any case.
+
+    A member is a file, or a folder of part files of that name. Only names are
+    listed, no bytes are read.
+    """
     listed = (
         spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-    ).select("path", "length")
-    base = F.upper(F.element_at(F.split("path", "/"), -1))
-    return listed.filter(base.startswith(prefix.upper()) & base.endswith(".TXT"))
+    ).select("path")
+    pattern = rf"(?i)^(.*/{prefix}[^/]*\.txt)(?:/.*)?$"
+    member = F.regexp_extract("path", pattern, 1)
+    return listed.select(member.alias("path")).filter("path <> ''").distinct()
 
 
 def find_quarter_member(spark: SparkSession, folder: str, prefix: str, exact: str | None = None) -> str:
-    """First matching file, or the one with the exact name in any case."""
+    """First matching member, or the one with the exact name in any case."""
     members = quarter_members(spark, folder, prefix)
     if exact:
         base = F.upper(F.element_at(F.split("path", "/"), -1))

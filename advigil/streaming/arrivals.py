@@ -14,18 +14,24 @@ from pyspark.sql.streaming import StreamingQuery
 from advigil.plans.table_jobs import Store, ingest_quarter, is_imported
 
 
-def arrived_quarters(spark: SparkSession, landing: str) -> DataFrame:
+def arrived_quarters(spark: SparkSession, markers: str, pattern: str = "*.ready") -> DataFrame:
     """Stream of quarter labels out of marker files."""
     return (
-        spark.readStream.option("pathGlobFilter", "*.ready")
-        .text(f"{landing.rstrip('/')}/ready")
+        spark.readStream.option("pathGlobFilter", pattern)
+        .text(markers)
         .select(F.upper(F.trim("value")).alias("quarter"))
         .filter("quarter <> ''")
     )
 
 
 def ingest_arrivals(
-    spark: SparkSession, landing: str, store: Store, checkpoint: str, version: str = "v1.0.0"
+    spark: SparkSession,
+    landing: str,
+    store: Store,
+    checkpoint: str,
+    version: str = "v1.0.0",
+    markers: str | None = None,
+    pattern: str = "*.ready",
 ) -> StreamingQuery:
     """Handle every marker that is there now, then stop.
 
@@ -40,7 +46,7 @@ def ingest_arrivals(
                 ingest_quarter(spark, f"{landing.rstrip('/')}/{quarter}", quarter, store, version)
 
     return (
-        arrived_quarters(spark, landing)
+        arrived_quarters(spark, markers or f"{landing.rstrip('/')}/ready", pattern)
         .writeStream.foreachBatch(handle)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)

@@ -81,6 +81,8 @@ def read_table_rows(
         .option("mode", "PERMISSIVE")
         .option("encoding", encoding)
         .option("columnNameOfCorruptRecord", BAD_ROW)
+        # A pruned parse does not count fields, so rows of wrong length would pass.
+        .option("columnPruning", False)
         .csv(path)
     )
 
@@ -114,11 +116,11 @@ def load_stats(spark: SparkSession, rows: DataFrame, path: str, kind: str) -> Da
     blank = spark.read.text(path).filter(F.col("value").isin("", "\r")).agg(
         F.count(F.lit(1)).alias("n")
     )
-    bad = F.count_if(F.col(BAD_ROW).isNotNull())
+    # Spark refuses to read the bad-row column alone, so an id takes part.
+    is_bad = F.length(F.concat_ws("", F.col(BAD_ROW), F.lit("."), F.col("primaryid"))) > 0
     counted = rows.agg(
         F.count(F.lit(1)).alias("rows"),
-        bad.alias("bad"),
-        F.count_if(F.col("primaryid").isNull()).alias("_unused"),
+        F.count_if(is_bad & F.col(BAD_ROW).isNotNull()).alias("bad"),
     ).withColumn("blank", blank.scalar())
     skipped = F.col("bad") + F.col("blank")
     return counted.select(

@@ -4,4 +4,9 @@ from __future__ import annotations
 
 
 def statements() -> dict[str, str]:
-    return {}
+    from oracle import statements_fields, statements_groups, statements_review
+
+    out: dict[str, str] = {}
+    for module in (statements_fields, statements_groups, statements_review):
+        out.update(module.SQL)
+    return out

@@ -11,7 +11,8 @@ from advigil.policy import RISK, RiskPolicy
 
 
 def _share_of_cap(x: Column, cap: float) -> Column:
-    return F.coalesce(F.least(x, F.lit(cap)) / F.lit(cap), F.lit(0.0))
+    """Share of the cap, 0 for a missing value (``least`` alone would skip the null)."""
+    return F.when(x.isNotNull(), F.least(x, F.lit(cap)) / F.lit(cap)).otherwise(F.lit(0.0))
 
 
 def _ratio_part(ratio: Column, lower: Column, cap: float) -> Column:

@@ -25,6 +25,17 @@ from advigil.session import prepare, scratch_path
 from advigil.sources.faers import table_path
 
 
+# Options that write one text column as it is, under its own name as header line.
+RAW_LINES = {
+    "header": True,
+    "sep": "\u0001",
+    "quote": "",
+    "escape": "",
+    "ignoreLeadingWhiteSpace": False,
+    "ignoreTrailingWhiteSpace": False,
+}
+
+
 class StarSchema:
     """Lazy views over one folder of tables."""
 
@@ -231,9 +242,7 @@ class StarSchema:
         line = F.concat_ws(FIELD_SEPARATOR, *names)
         if ragged is not None:
             line = F.when(ragged, F.concat_ws(FIELD_SEPARATOR, *names[:2])).otherwise(line)
-        rows.select(line.alias(FIELD_SEPARATOR.join(names))).write.option("header", True).option(
-            "sep", "\u0001"
-        ).option("quote", "").option("escape", "").csv(path)
+        rows.select(line.alias(FIELD_SEPARATOR.join(names))).write.options(**RAW_LINES).csv(path)
 
     @cached_property
     def quarter_folder(self) -> str:

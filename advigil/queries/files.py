@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from advigil import fixed_values as V
 from advigil.functions.text import parse_reactions_cell
-from advigil.plans.star_schema import StarSchema
+from advigil.plans.star_schema import RAW_LINES, StarSchema
 from advigil.queries.shown import collector, flat, joined
 from advigil.session import scratch_path
 from advigil.sinks import files as out
@@ -99,9 +99,7 @@ def encoding_fallback(s: StarSchema) -> DataFrame:
         )
     )
     for encoding in ("UTF-8", "ISO-8859-1"):
-        texts.write.option("header", True).option("sep", "\u0001").option("quote", "").option(
-            "escape", ""
-        ).option("encoding", encoding).csv(f"{folder}/{encoding}")
+        texts.write.options(**RAW_LINES).option("encoding", encoding).csv(f"{folder}/{encoding}")
     parts = None
     for encoding in ("UTF-8", "ISO-8859-1"):
         path = f"{folder}/{encoding}"

@@ -30,9 +30,10 @@ def flat(df: DataFrame) -> DataFrame:
 def write_dataset_csv(df: DataFrame, path: str) -> None:
     """CSV sorted by all columns; read in file name order the parts are one sorted file."""
     rows = flat(df)
-    rows.orderBy(*rows.columns).write.mode("overwrite").option("header", True).option(
-        "escape", '"'
-    ).csv(path)
+    writer = rows.orderBy(*rows.columns).write.mode("overwrite").options(
+        header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+    )
+    writer.csv(path)
 
 
 def write_records_json(df: DataFrame, path: str) -> None:

@@ -89,11 +89,11 @@ def chi(yates: bool = False) -> str:
 def risk(prr="prr", ror="ror", n="a", chi="chi_square", prr_lower="prr_lower", ror_lower="ror_lower") -> str:
     def ratio(x: str, low: str) -> str:
         v = f"coalesce({low}, {x})"
-        return f"coalesce(least(CASE WHEN {v} < 1 THEN 0.0::DOUBLE ELSE {v} END, 20.0::DOUBLE) / 20.0::DOUBLE, 0.0::DOUBLE)"
+        return f"CASE WHEN {v} >= 1 THEN least({v}, 20.0::DOUBLE) / 20.0::DOUBLE ELSE 0.0::DOUBLE END"
 
     score = (
         f"0.40::DOUBLE * {ratio(prr, prr_lower)} + 0.25::DOUBLE * (least(ln(1 + {n}::DOUBLE), 7.0::DOUBLE) / 7.0::DOUBLE) "
-        f"+ 0.20::DOUBLE * coalesce(least({chi}, 100.0::DOUBLE) / 100.0::DOUBLE, 0.0::DOUBLE) + 0.15::DOUBLE * {ratio(ror, ror_lower)}"
+        f"+ 0.20::DOUBLE * CASE WHEN {chi} IS NOT NULL THEN least({chi}, 100.0::DOUBLE) / 100.0::DOUBLE ELSE 0.0::DOUBLE END + 0.15::DOUBLE * {ratio(ror, ror_lower)}"
     )
     clamped = f"greatest(0.0::DOUBLE, least(1.0::DOUBLE, {score}))"
     return f"CASE WHEN ({prr} IS NOT NULL OR {ror} IS NOT NULL) AND {n} >= 1 THEN {r6(clamped)} END"

@@ -20,6 +20,7 @@ from advigil.functions.identifiers import duplicate_id
 from advigil.functions.numbers import short_number
 from advigil.functions.text import fill_template
 from advigil.operators.support import block_sex
+from advigil.session import checkpoint
 
 PAIR_BLOCK_LIMIT = 64
 BLOCK = ["signal_id", "age", "sex", "date"]
@@ -82,8 +83,12 @@ def duplicate_counts(signals: DataFrame, reports: DataFrame) -> DataFrame:
 
 
 def candidate_pairs(members: DataFrame, pair_block_limit: int = PAIR_BLOCK_LIMIT) -> DataFrame:
-    """(block, report_id_a, report_id_b): pairs of small blocks, stars of large ones."""
-    sized = members.join(blocks(members), BLOCK)
+    """(block, report_id_a, report_id_b): pairs of small blocks, stars of large ones.
+
+    The members of blocks, a small part of all reports, are written to the checkpoint
+    folder once: both sides of the self join and the stars read them.
+    """
+    sized = checkpoint(members.join(blocks(members), BLOCK))
     small = sized.filter(F.col("block_size") <= pair_block_limit)
     a = small.select(*BLOCK, F.col("report_id").alias("report_id_a"), "block_size")
     b = small.select(*BLOCK, F.col("report_id").alias("report_id_b"))

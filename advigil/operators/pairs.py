@@ -4,7 +4,8 @@ Shuffle layout on a large input: the restriction to surviving reports hashes the
 drug and reaction rows by report id, and the name dedup, the expanding join and the
 pair dedup all reuse that partitioning. The only other shuffle is the one of the
 pair counts, which is combined on the map side. A hot report is split by AQE's
-skew join (see ``session.SQL_DEFAULTS``).
+skew join (see ``session.SQL_DEFAULTS``). Rows of superseded case versions are left
+out before their names are normalised.
 """
 
 from __future__ import annotations
@@ -26,14 +27,15 @@ def suspect_drugs(
     drug: DataFrame, cases: DataFrame, policy: DetectionPolicy = DETECTION
 ) -> DataFrame:
     """Distinct (report, case, drug name) of the analysed roles."""
-    named = filter_role(drug, policy).select(
+    rows = filter_role(drug, policy).select("primaryid", "caseid", "drugname")
+    named = restrict_to_cases(rows, cases).select(
         "primaryid",
         "caseid",
         normalize_drug_name(F.col("drugname")).alias("drug_name"),
         F.col("drugname").alias("raw_drug_name"),
     )
     return (
-        restrict_to_cases(named.filter(F.col("drug_name").isNotNull()), cases)
+        named.filter(F.col("drug_name").isNotNull())
         .groupBy("primaryid", "caseid", "drug_name")
         .agg(F.min("raw_drug_name").alias("raw_drug_name"))
     )
@@ -41,14 +43,14 @@ def suspect_drugs(
 
 def report_events(reac: DataFrame, cases: DataFrame) -> DataFrame:
     """Distinct (report, case, event name)."""
-    named = reac.select(
+    named = restrict_to_cases(reac.select("primaryid", "caseid", "pt"), cases).select(
         "primaryid",
         "caseid",
         normalize_reaction(F.col("pt")).alias("event_name"),
         F.col("pt").alias("raw_reaction"),
     )
     return (
-        restrict_to_cases(named.filter(F.col("event_name").isNotNull()), cases)
+        named.filter(F.col("event_name").isNotNull())
         .groupBy("primaryid", "caseid", "event_name")
         .agg(F.min("raw_reaction").alias("raw_reaction"))
     )

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from advigil.functions.text import normalize_drug_name
 from advigil.operators.cases import (
     case_version_stats,
     deleted_case_stats,
@@ -39,6 +40,7 @@ from advigil.sinks.runs import (
 from advigil.sources.faers import (
     has_multiline_cells,
     load_stats,
+    load_stats_of_lines,
     path_exists,
     read_table_rows,
     scan_quarter,
@@ -58,15 +60,49 @@ class DetectionOutput:
     reconciliation: str
 
 
-def quarter_load_stats(spark: SparkSession, folder: str, quarter: str) -> DataFrame:
+# Columns of each file that a later stage reads.
+USED = {
+    "DEMO": ("primaryid", "caseid", "caseversion", "event_dt", "age", "age_cod", "sex"),
+    "DRUG": ("primaryid", "caseid", "drug_seq", "role_cod", "drugname", "raw_row"),
+    "REAC": ("primaryid", "caseid", "pt"),
+    "OUTC": ("primaryid", "caseid", "outc_cod"),
+}
+
+
+def stage_tables(
+    spark: SparkSession, tables: dict[str, DataFrame], output: str
+) -> dict[str, DataFrame]:
+    """The good rows of every file as narrow columnar tables.
+
+    The text is parsed once; later stages read only the columns they need. Drug rows
+    without a name keep a digest of the whole row, because the audit counts them as
+    distinct rows.
+    """
+    staged = dict(tables)
+    drug = tables["DRUG"]
+    nameless = normalize_drug_name(F.col("drugname")).isNull()
+    whole = F.sha2(F.to_json(F.struct(*drug.columns)), 256)
+    tables = {**tables, "DRUG": drug.withColumn("raw_row", F.when(nameless, whole))}
+    for kind, columns in USED.items():
+        path = f"{output.rstrip('/')}/staged/{kind.lower()}"
+        write_dataset(tables[kind].select(*columns), path)
+        staged[kind] = spark.read.parquet(path)
+    return staged
+
+
+def quarter_load_stats(
+    spark: SparkSession, folder: str, quarter: str, staged: dict[str, DataFrame]
+) -> DataFrame:
     """Load statistics of every present file of the quarter."""
     out = None
     for kind in RAW:
         path = table_path(folder, kind, quarter)
         if not path_exists(spark, path):
             continue
-        rows = read_table_rows(spark, path, kind, has_multiline_cells(spark, path))
-        stats = load_stats(spark, rows, path, kind)
+        if has_multiline_cells(spark, path):
+            stats = load_stats(spark, read_table_rows(spark, path, kind, True), path, kind)
+        else:
+            stats = load_stats_of_lines(spark, path, staged[kind], kind)
         out = stats if out is None else out.unionByName(stats)
     return out
 
@@ -79,8 +115,9 @@ def run_detection(
     policy: DetectionPolicy = DETECTION,
     deleted_path: str | None = None,
 ) -> DetectionOutput:
-    """All stages. The pair universe is written once and read back by everything
-    that uses it, so it is neither recomputed nor held in executor memory."""
+    """All stages. Good rows, cases, pairs and counts are each written once and read
+    back by everything that uses them, so nothing is recomputed from the text, nothing
+    is held in executor memory, and a lost executor costs one stage."""
     out = DetectionOutput(
         *[
             f"{output.rstrip('/')}/{name}"
@@ -96,7 +133,7 @@ def run_detection(
             )
         ]
     )
-    tables = scan_quarter(spark, folder, quarter, deleted_path)
+    tables = stage_tables(spark, scan_quarter(spark, folder, quarter, deleted_path), output)
     typed = type_demo(tables["DEMO"], quarter, policy)
     versions = latest_case_versions(typed, ("event_date", "patient_age", "patient_sex"))
     cases = (
@@ -104,6 +141,8 @@ def run_detection(
         if policy.exclude_deleted_cases
         else versions
     )
+    write_dataset(cases, f"{output.rstrip('/')}/staged/cases", partition=None)
+    cases = spark.read.parquet(f"{output.rstrip('/')}/staged/cases")
 
     write_dataset(pair_universe(tables["DRUG"], tables["REAC"], cases, policy), out.pairs)
     pairs = spark.read.parquet(out.pairs)
@@ -124,7 +163,7 @@ def run_detection(
     write_dataset_csv(in_detection_order(signals), f"{out.signals}_csv")
     write_dataset_csv(metrics, f"{out.metrics}_csv")
 
-    loads = quarter_load_stats(spark, folder, quarter)
+    loads = quarter_load_stats(spark, folder, quarter, tables)
     detection = detection_stats(metrics, policy)
     undefined = ledger_rows(
         "signal_detection",

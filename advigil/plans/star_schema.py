@@ -182,13 +182,19 @@ class StarSchema:
 
     # --- stored tables (written once per instance) -----------------------------
 
+    @cached_property
+    def stored_pairs(self) -> DataFrame:
+        return self.stored(self.pairs.select("primaryid", "drug_name", "event_name"), "pairs")
+
     @cached_property
     def stored_reports(self) -> DataFrame:
-        return self.stored(self.reports, "reports")
+        records = normalized_reports(self.stored_pairs, self.cases, self.outc)
+        return self.stored(records, "reports")
 
     @cached_property
     def stored_metrics(self) -> DataFrame:
-        return self.stored(self.metrics, "metrics")
+        counts = self.stored(pair_counts(self.stored_pairs), "pair-counts")
+        return self.stored(disproportionality(counts), "metrics")
 
     @cached_property
     def signals(self) -> DataFrame:

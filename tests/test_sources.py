@@ -154,3 +154,10 @@ def test_fingerprints(spark, folder, monkeypatch):
     assert row.kind == "sha256" and row.digest == hashlib.sha256(b"one\ntwo\n").hexdigest()
     monkeypatch.setattr(runs, "EXACT_HASH_BYTES", 1)
     assert runs.file_fingerprints(spark, [path]).first().kind == "lines+xxhash64"
+
+
+def test_both_ways_of_load_statistics_agree(spark, folder):
+    path = write(folder, "REAC26Q1.txt", f"{HEAD}\n1$1$a$\n2$2$short\n\n3$3$b$\n")
+    parsed = faers.load_stats(spark, faers.read_table_rows(spark, path, "REAC"), path, "REAC").first()
+    good = faers.scan_faers_table(spark, path, "REAC")
+    assert tuple(faers.load_stats_of_lines(spark, path, good, "REAC").first()) == tuple(parsed)

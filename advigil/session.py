@@ -7,8 +7,7 @@ import uuid
 
 from pyspark.sql import SparkSession
 
-# Applied only where the user has not decided otherwise. The forced skew join
-# lets AQE split a hot report or drug even where that costs one more shuffle. Joins
+# Settings the operators count on. The forced skew join lets AQE split a hot report or drug even where that costs one more shuffle. Joins
 # whose measured partitions are small hash instead of sorting.
 SQL_DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",

@@ -1,4 +1,5 @@
 import random
+import re
 from collections import Counter
 
 from pyspark.sql import functions as F
@@ -70,6 +71,29 @@ def test_pairs_of_small_reports(spark):
     assert stats["unique_pairs"] == 2 and stats["normalized_drug_names_missing"] == 1 and stats["ps_drug_rows_before_norm"] == 5
 
 
+def test_pairs_need_the_same_case(spark):
+    drug = spark.createDataFrame([("R1", "C1", "1", "PS", "a"), ("R1", "C2", "1", "PS", "a"), ("R1", "C2", "2", "PS", "b")], DRUG)
+    reac = spark.createDataFrame([("R1", "C1", "x"), ("R1", "C2", "x"), ("R1", "C3", "y")], REAC)
+    found = pairs.pair_universe(drug, reac, spark.createDataFrame([("R1", "C1", "1")], DEMO)).collect()
+    assert sorted((r.drug_name, r.event_name, r.caseid) for r in found) == [("A", "X", "C1"), ("B", "X", "C2")]
+
+
+def test_one_shuffle_per_side_without_broadcasts(spark):
+    """Report partitioning carries the dedups and the expanding join."""
+    drug, reac, kept = small(spark)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = pair_counts(pairs.pair_universe(drug, reac, kept))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    keys = re.findall(r"Exchange hashpartitioning\(([^)]*?), \d+\)", plan)
+    by = {tuple(k.split("#")[0] for k in key.split(", ")) for key in keys}
+    # cases by case, everything of a report by report, and the counts by pair
+    assert by <= {("caseid",), ("primaryid",), ("drug_name", "event_name")}
+    assert ("primaryid",) in by and ("drug_name", "event_name") in by
+
+
 def test_skewed_reports_match_brute_force(spark):
     """A third of all rows belongs to one report, another third to one drug."""
     rng = random.Random(7)

@@ -6,12 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from advigil.functions import scores, texts
-from advigil.functions.identifiers import signal_id
 from advigil.operators import cases, clustering, contingency, enrichment, pairs, queue, reports, support
 from advigil.operators import detection as det
 from advigil.plans.star_schema import StarSchema
 from advigil.plans.table_jobs import backfill_plan, backfill_summary as summarise_backfill, ingest_reports
-from advigil.queries.shown import collector, flat, joined, points
+from advigil.queries.shown import collector, flat, points
 from advigil.sinks.records import valid_import_record as importable
 from advigil.sinks.tables import known_metrics
 

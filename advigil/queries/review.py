@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from advigil.fixed_values import CHECKLIST_ITEMS
-from advigil.operators import documents, duplicates, enrichment, investigation, queue, reviews, rules, support
+from advigil.operators import documents, duplicates, investigation, queue, reviews, rules, support
 from advigil.plans.star_schema import StarSchema
 from advigil.queries.fields import _wide_signals, analysis_table, bundle, document_table
 from advigil.queries.shown import collector, flat, joined, points

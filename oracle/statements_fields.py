@@ -10,7 +10,6 @@ DEFAULTS = (
     "FAERS reports represent spontaneous reports and do not prove causality.|"
     "Underreporting and reporting bias are inherent limitations of spontaneous data."
 )
-LATIN = "2::BIGINT"
 
 SQL = {
     "scan_faers_table": over("SELECT primaryid, caseid, caseversion, event_dt, age, age_cod, sex FROM demo WHERE caseversion <> '5'"),

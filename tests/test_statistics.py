@@ -2,7 +2,6 @@ import math
 from dataclasses import replace
 
 import pytest
-from pyspark.sql import functions as F
 
 from advigil.functions import disproportionality as stat
 from advigil.operators import contingency, detection

@@ -23,9 +23,9 @@ def components(edges: DataFrame) -> DataFrame:
     an aggregate and a join, never a list. Null nodes and loops are ignored; no edges give
     no rows.
     """
-    now = stored(edges.where("u IS NOT NULL AND v IS NOT NULL AND u <> v").select("u", "v").distinct(), "edges")
-    before = None
-    while True:
+    given = edges.where("u IS NOT NULL AND v IS NOT NULL AND u <> v")
+    now = stored(given.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    while not _settled(now):
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -39,9 +39,12 @@ def components(edges: DataFrame) -> DataFrame:
             .distinct()
         )
         now = stored(small, "edges")
-        seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if before == seen:
-            break
-        before = seen
     roots = now.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("root"))
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots)
+
+
+def _settled(edges: DataFrame) -> bool:
+    """Whether every node points to one smaller node, and that one to none."""
+    above = edges.groupBy("u").agg(F.count(F.lit(1)).alias("n"))
+    roots = edges.select(F.col("v").alias("u")).distinct().withColumn("root", F.lit(True))
+    return above.join(roots, "u", "left").where("n > 1 OR root").isEmpty()

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from advigil.llm.graph import components, stored
-from advigil.llm.words import SHINGLE_WORDS, mixed, shingles, with_fields
+from advigil.llm.words import SHINGLE_WORDS, by_document, mixed, shingles, with_fields
 
 THRESHOLD = 0.8
 TOLERANCE = 1e-6
@@ -98,7 +98,7 @@ def _banded(docs: DataFrame, words: int) -> DataFrame:
             bands = [band_keys(signature(s)).view(np.int64) if len(s) else None for s in sets]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "class": [class_key(s) for s in sets], "bands": bands})
 
-    return docs.select("doc_id", "text").mapInPandas(rows, with_fields(docs, ["doc_id"], "class binary, bands array<bigint>"))
+    return by_document(docs, rows, "class binary, bands array<bigint>")
 
 
 def _texts(docs: DataFrame, words: int) -> DataFrame:

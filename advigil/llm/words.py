@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 
 import numpy as np
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 SHINGLE_WORDS = 5
@@ -80,3 +81,11 @@ def shingles(text: str | None, words: int = SHINGLE_WORDS) -> np.ndarray:
 def with_fields(df, names: list[str], more: str):
     """Schema of the named columns of ``df`` and of the fields in ``more`` (DDL)."""
     return StructType(df.select(*names).schema.fields + StructType.fromDDL(more).fields)
+
+
+def by_document(docs, run, fields: str):
+    """mapInPandas over (doc_id, text). Ids travel as text, as pandas has no whole numbers with nulls."""
+    ids = docs.schema["doc_id"].dataType
+    schema = StructType.fromDDL("doc_id string, " + fields)
+    rows = docs.select(F.col("doc_id").cast("string"), "text").mapInPandas(run, schema)
+    return rows.select(F.col("doc_id").cast(ids), *schema.names[1:])

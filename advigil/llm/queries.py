@@ -6,9 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from advigil.llm import contamination, line_dedup, mixing, near_duplicates, quality
+from advigil.llm import (
+    bm25_search,
+    contamination,
+    line_dedup,
+    mixing,
+    near_duplicates,
+    quality,
+    secret_scan,
+    surrogates,
+    toxicity,
+    warc_derivatives,
+)
 from advigil.session import prepare
 
+# The key of a query has to be fixed for its result to be; a real one is a secret of the caller.
+SURROGATE_KEY = "surrogates-1"
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -16,10 +30,18 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_warc_derivatives(spark: SparkSession, folder: str) -> DataFrame:
+    return warc_derivatives.page_derivatives(_table(spark, folder, "pages"))
+
+
 def op2_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mixture_report(_table(spark, folder, "documents"))
 
 
+def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.toxicity_scores(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
 def op4_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates.near_duplicates(_table(spark, folder, "documents"))
 
@@ -32,16 +54,33 @@ def op6_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return contamination.contaminated_pairs(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
 
 
+def op7_surrogates(spark: SparkSession, folder: str) -> DataFrame:
+    return surrogates.with_surrogates(_table(spark, folder, "documents"), SURROGATE_KEY)
+
+
+def op8_bm25(spark: SparkSession, folder: str) -> DataFrame:
+    return bm25_search.similar_documents(_table(spark, folder, "documents"))
+
+
 def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.quality_scores(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
 
 
+def op10_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    return secret_scan.secrets(_table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Query] = {
+    "op1_warc_derivatives": op1_warc_derivatives,
     "op2_mixing": op2_mixing,
+    "op3_toxicity": op3_toxicity,
     "op4_ngram_join": op4_ngram_join,
     "op5_line_dedup": op5_line_dedup,
     "op6_decontamination": op6_decontamination,
+    "op7_surrogates": op7_surrogates,
+    "op8_bm25": op8_bm25,
     "op9_quality": op9_quality,
+    "op10_secrets": op10_secrets,
 }
 
 SQL: dict[str, str] = {
@@ -78,4 +117,24 @@ SQL: dict[str, str] = {
         )
         SELECT doc_id, size, source_size, target, CAST(size * copies AS BIGINT) AS taken, copies FROM drawn
     """,
+    "op8_bm25": r"""
+        WITH tokens AS (
+            SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS w FROM documents
+        ), tf AS (
+            SELECT doc_id, w, count(*) AS c FROM tokens GROUP BY ALL
+        ), sizes AS (
+            SELECT doc_id, coalesce(len(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')), 0) AS dl FROM documents
+        ), stats AS (
+            SELECT CAST(count(*) AS DOUBLE) AS n, CAST(sum(dl) AS DOUBLE) / count(*) AS mean FROM sizes
+        ), df AS (
+            SELECT w, CAST(count(*) AS DOUBLE) AS df FROM tf GROUP BY w
+        ), scored AS (
+            SELECT q.doc_id AS query_id, d.doc_id,
+                round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * d.c * 2.2 / (d.c + 1.2 * (0.25 + 0.75 * dl / mean))), 6) AS score
+            FROM tf q JOIN tf d ON q.w = d.w JOIN df ON df.w = q.w JOIN sizes ON sizes.doc_id = d.doc_id CROSS JOIN stats
+            WHERE q.doc_id % 50 = 0 GROUP BY ALL
+        )
+        SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+        FROM scored QUALIFY rank <= 10
+    """,
 }

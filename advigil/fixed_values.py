@@ -124,7 +124,6 @@ EXPLANATION_DEFAULT_SUMMARY = "Summary of spontaneous reports."
 EXPLANATION_DEFAULT_REASON = "Elevated reporting for {drug} and {event}."
 EXPLANATION_DEFAULT_QUESTION = "Review detailed case narratives."
 EXPLANATION_DEFAULT_LIMITATION = "Spontaneous reporting bias"
-FALLBACK_DISPLAY_LENGTH = 300
 SECTION_NAME = "Section"
 SECTION_REASON = "Safety relevance"
 SECTION_TEXT_REASON = "Identified section"
@@ -207,4 +206,3 @@ MAX_DOCUMENT_BYTES = 10 * 1024 * 1024
 DOCUMENT_EXTENSIONS = ("pdf", "docx", "txt")
 PREVIEW_LENGTH = 500
 WARNING_LENGTH = 500
-BINARY_PROBE_BYTES = 1024

@@ -40,7 +40,7 @@ def parse_explanation(
     record = F.from_json(cleaned, _EXPLANATION, _LENIENT)
     broken = record["_broken"].isNotNull() | record.isNull()
     default_limits = F.coalesce(known_limitations, F.array(F.lit(V.EXPLANATION_DEFAULT_LIMITATION)))
-    why = F.when(broken, F.substring(cleaned, 1, V.FALLBACK_DISPLAY_LENGTH)).otherwise(
+    why = F.when(broken, cleaned).otherwise(
         F.coalesce(
             record["why_flagged"],
             fill_template(V.EXPLANATION_DEFAULT_REASON, drug=drug, event=event),
@@ -96,7 +96,7 @@ def parse_document_analysis(text: Column) -> Column:
     ).otherwise(F.lit("completed"))
     return F.struct(
         F.when(broken, fallback).otherwise(sections).alias("relevant_sections"),
-        F.when(broken, F.substring(cleaned, 1, V.FALLBACK_DISPLAY_LENGTH))
+        F.when(broken, cleaned)
         .otherwise(record["existing_related_content"])
         .alias("existing_related_content"),
         F.when(broken, F.lit(V.FALLBACK_COVERAGE))

@@ -1,12 +1,10 @@
 """Potential duplicate reports of a signal.
 
-Reports of a signal that agree on age, sex and event date form a block. A block of
-n reports stands for n(n-1)/2 candidates. Small blocks are listed pair by pair. A
-block above ``PAIR_BLOCK_LIMIT`` is listed as a star: its first report against every
-other one, with the block size. Nothing is dropped: because agreement is transitive
-the star names every report of the block, ``duplicate_groups`` lists the members of
-every block, and ``duplicate_counts`` gives the exact number of candidates. Output
-and work thus stay linear in the number of reports.
+Reports of a signal that agree on age, sex and event date form a block. Agreement is
+transitive, so a block is listed as its first report against every other one, with the
+block size: n - 1 rows that stand for all n(n-1)/2 candidates. ``duplicate_groups`` lists
+the members of every block. Every count of candidates comes from block sizes. Output and
+work are linear in the reports, whatever the size of a block.
 """
 
 from __future__ import annotations
@@ -20,9 +18,8 @@ from advigil.functions.identifiers import duplicate_id
 from advigil.functions.numbers import short_number
 from advigil.functions.text import fill_template
 from advigil.operators.support import block_sex
-from advigil.session import checkpoint
+from advigil.session import stored
 
-PAIR_BLOCK_LIMIT = 64
 BLOCK = ["signal_id", "age", "sex", "date"]
 
 
@@ -66,10 +63,18 @@ def blocks(members: DataFrame) -> DataFrame:
     )
 
 
+def sized_members(members: DataFrame) -> DataFrame:
+    """Members of blocks with block size and first report.
+
+    The members are written once: both the sizes and the rows are read from there.
+    """
+    once = stored(members, "block-members")
+    return once.join(blocks(once), BLOCK)
+
+
 def duplicate_groups(signals: DataFrame, reports: DataFrame) -> DataFrame:
     """Every report of every block with the block size."""
-    members = block_members(signals, reports)
-    return members.join(blocks(members), BLOCK).select(*BLOCK, "report_id", "block_size")
+    return sized_members(block_members(signals, reports)).select(*BLOCK, "report_id", "block_size")
 
 
 def duplicate_counts(signals: DataFrame, reports: DataFrame) -> DataFrame:
@@ -82,26 +87,14 @@ def duplicate_counts(signals: DataFrame, reports: DataFrame) -> DataFrame:
     )
 
 
-def candidate_pairs(members: DataFrame, pair_block_limit: int = PAIR_BLOCK_LIMIT) -> DataFrame:
-    """(block, report_id_a, report_id_b): pairs of small blocks, stars of large ones.
-
-    The members of blocks, a small part of all reports, are written to the checkpoint
-    folder once: both sides of the self join and the stars read them.
-    """
-    sized = checkpoint(members.join(blocks(members), BLOCK))
-    small = sized.filter(F.col("block_size") <= pair_block_limit)
-    a = small.select(*BLOCK, F.col("report_id").alias("report_id_a"), "block_size")
-    b = small.select(*BLOCK, F.col("report_id").alias("report_id_b"))
-    pairs = a.join(b, BLOCK).filter("report_id_a < report_id_b")
-    stars = sized.filter(
-        (F.col("block_size") > pair_block_limit) & (F.col("report_id") != F.col("first_report"))
-    ).select(
+def candidate_pairs(members: DataFrame) -> DataFrame:
+    """(block, report_id_a, block_size, report_id_b): the first report of a block and every other."""
+    return sized_members(members).filter(F.col("report_id") != F.col("first_report")).select(
         *BLOCK,
         F.col("first_report").alias("report_id_a"),
         "block_size",
         F.col("report_id").alias("report_id_b"),
     )
-    return pairs.select(*stars.columns).unionByName(stars)
 
 
 def _rationale() -> Column:
@@ -117,11 +110,9 @@ def _rationale() -> Column:
     )
 
 
-def generated_candidates(
-    signals: DataFrame, reports: DataFrame, pair_block_limit: int = PAIR_BLOCK_LIMIT
-) -> DataFrame:
+def generated_candidates(signals: DataFrame, reports: DataFrame) -> DataFrame:
     """Candidate rows computed from the reports."""
-    pairs = candidate_pairs(block_members(signals, reports), pair_block_limit)
+    pairs = candidate_pairs(block_members(signals, reports))
     named = pairs.join(signals.select("signal_id", "drug_name", "event_name"), "signal_id")
     one = F.lit(1.0)
     return named.select(
@@ -140,19 +131,14 @@ def generated_candidates(
     )
 
 
-def duplicate_candidates(
-    signals: DataFrame,
-    reports: DataFrame,
-    stored: DataFrame | None = None,
-    pair_block_limit: int = PAIR_BLOCK_LIMIT,
-) -> DataFrame:
+def duplicate_candidates(signals: DataFrame, reports: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """Stored candidates where a signal has any, generated ones otherwise."""
-    if stored is None:
-        return generated_candidates(signals, reports, pair_block_limit)
-    open_signals = signals.join(stored.select("signal_id"), "signal_id", "left_anti")
-    kept = stored.join(signals.select("signal_id"), "signal_id", "left_semi")
+    if known is None:
+        return generated_candidates(signals, reports)
+    open_signals = signals.join(known.select("signal_id"), "signal_id", "left_anti")
+    kept = known.join(signals.select("signal_id"), "signal_id", "left_semi")
     return kept.withColumn("block_size", F.lit(None).cast("bigint")).unionByName(
-        generated_candidates(open_signals, reports, pair_block_limit)
+        generated_candidates(open_signals, reports)
     )
 
 
@@ -163,8 +149,11 @@ def first_candidates(candidates: DataFrame, k: int = 3) -> DataFrame:
 
 
 def candidate_summary(candidates: DataFrame, k: int = 3) -> DataFrame:
-    """Per signal: number of candidate rows and the first k of them."""
-    counts = candidates.groupBy("signal_id").agg(F.count(F.lit(1)).alias("duplicate_count"))
+    """Per signal: number of candidates and the first k listed ones.
+
+    The n - 1 rows of a block count n / 2 each; a row without block size is one candidate.
+    """
+    counts = candidates.groupBy("signal_id").agg((F.sum(F.coalesce("block_size", F.lit(2))) / 2).cast("bigint").alias("duplicate_count"))
     fields = [
         "candidate_id",
         "report_id_a",

@@ -209,7 +209,7 @@ def case_quality(
     return kept.select(*computed.columns).unionByName(computed)
 
 
-def drug_search(signals: DataFrame, reports: DataFrame, text: str, limit: int = 20) -> DataFrame:
+def drug_search(signals: DataFrame, reports: DataFrame, text: str) -> DataFrame:
     """Drugs whose name contains the text with their number of signals.
 
     Only when no signal matches, matching report drugs are listed with 0.
@@ -230,11 +230,7 @@ def drug_search(signals: DataFrame, reports: DataFrame, text: str, limit: int =
         .filter(any_signal.scalar() == 0)
         .withColumn("candidate_signals_count", F.lit(0).cast("bigint"))
     )
-    return (
-        from_signals.unionByName(from_reports)
-        .orderBy(F.desc("candidate_signals_count"), "drug_name")
-        .limit(limit)
-    )
+    return from_signals.unionByName(from_reports).orderBy(F.desc("candidate_signals_count"), "drug_name")
 
 
 def block_sex(sex: Column) -> Column:

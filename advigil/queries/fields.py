@@ -228,7 +228,7 @@ def bundle(s: StarSchema) -> DataFrame:
         F.lit(None).cast("array<struct<quarter:string,count:double>>").alias("trend_data"),
         "chi_square",
     ).filter(F.col("prr") >= 2.1)
-    found = duplicates.generated_candidates(s.signals, s.stored_reports).drop("block_size")
+    found = duplicates.generated_candidates(s.signals, s.stored_reports)
     return investigation.evidence_bundle(s.signals, stored, s.stored_reports, found)
 
 

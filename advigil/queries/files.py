@@ -216,6 +216,7 @@ def scan_documents_binary(s: StarSchema) -> DataFrame:
         "file_type",
         "file_size_bytes",
         "status",
+        "over_size",
         F.length("extracted_text").cast("bigint").alias("text_length"),
         F.length("extracted_text_preview").cast("bigint").alias("preview_length"),
     )
@@ -290,7 +291,7 @@ def run_manifest(s: StarSchema) -> DataFrame:
         "outcome",
         F.col("counts.cases").alias("cases"),
         F.element_at("load_stats", 1)["loaded_rows"].alias("loaded_rows"),
-        (F.size("input_files") > 0).alias("has_inputs"),
+        F.element_at("input_files", 1)["digest"].alias("digest"),
         F.col("config.min_prr").alias("min_prr"),
     )
 

@@ -67,6 +67,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{working_folder(spark).rstrip('/')}/advigil/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df, name: str):
+    """``df`` written to the shared folder and read again: columnar, and its lineage ends there."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def checkpoint(df):
     """Materialise ``df`` in the shared folder and cut its lineage there."""
     spark = df.sparkSession

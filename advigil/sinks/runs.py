@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from advigil import __version__
 from advigil.sources.faers import path_exists
 
-EXACT_HASH_BYTES = 256 * 1024 * 1024
+DIGEST_PARTS = 4
 
 
 def ledger_rows(stage: str, stats: DataFrame, reasons: dict[str, str] | None = None) -> DataFrame:
@@ -46,31 +46,21 @@ def ledger_total(ledger: DataFrame) -> DataFrame:
 
 
 def file_fingerprints(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Digest of every input file.
+    """(path, length, kind, digest) of every input file that exists.
 
-    Files up to 256 MiB get their SHA-256. A larger file would have to pass through
-    one task whole, so it gets a line count and an order-free 64 bit line digest,
-    computed over its splits; ``kind`` says which.
+    The digest is the number of lines and four sums of 60 bits each of the lines' SHA-256, so
+    that every split of a file adds its part and equal lines count each time they occur.
     """
     found = [p for p in paths if path_exists(spark, p)]
-    files = spark.read.format("binaryFile").load(found)
-    small = files.filter(F.col("length") <= EXACT_HASH_BYTES).select(
-        "path", "length", F.lit("sha256").alias("kind"), F.sha2("content", 256).alias("digest")
+    lines = spark.read.text(found).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("length"), F.sha2("value", 256).alias("h")
     )
-    lines = (
-        spark.read.text(found)
-        .select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("length"), "value")
-        .filter(F.col("length") > EXACT_HASH_BYTES)
-        .groupBy("path", "length")
-        .agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("value")).alias("x"))
-        .select(
-            "path",
-            "length",
-            F.lit("lines+xxhash64").alias("kind"),
-            F.concat_ws(":", F.col("n").cast("string"), F.hex("x")).alias("digest"),
-        )
+    parts = [F.conv(F.substring("h", 1 + 15 * i, 15), 16, 10).cast("decimal(38,0)") for i in range(DIGEST_PARTS)]
+    sums = lines.groupBy("path", "length").agg(
+        F.count(F.lit(1)).alias("n"), *(F.sum(part).cast("string").alias(f"s{i}") for i, part in enumerate(parts))
     )
-    return small.unionByName(lines)
+    digest = F.concat_ws(":", F.col("n").cast("string"), *(f"s{i}" for i in range(DIGEST_PARTS)))
+    return sums.select("path", "length", F.lit("lines+sha256").alias("kind"), digest.alias("digest"))
 
 
 def run_manifest(

@@ -11,7 +11,8 @@ from advigil import fixed_values as V
 def check_documents(files: DataFrame, max_bytes: int = V.MAX_DOCUMENT_BYTES) -> DataFrame:
     """Type, status, text and preview for rows of (path, length, content).
 
-    The text of a document is its whole content; only the preview is short.
+    The text of a document is its whole content; only the preview is short. Documents above
+    ``max_bytes`` are flagged by ``over_size`` and treated like all others.
     """
     name = F.element_at(F.split("path", "/"), -1)
     has_dot = F.position(F.lit("."), name) > 0
@@ -20,13 +21,11 @@ def check_documents(files: DataFrame, max_bytes: int = V.MAX_DOCUMENT_BYTES) ->
     pdf_ok = F.hex(F.substring(content, 1, 5)) == "255044462D"
     docx_ok = F.hex(F.substring(content, 1, 4)) == "504B0304"
     # Two hex digits per byte: a NUL byte is a pair of zeros at an even offset.
-    probe = F.hex(F.substring(content, 1, V.BINARY_PROBE_BYTES))
-    binary = probe.rlike("^(?:[0-9A-F]{2})*?00")
+    binary = F.hex(content).rlike("^(?:[0-9A-F]{2})*?00")
     as_text = content.cast("string")
     decoded = F.when(F.is_valid_utf8(as_text), as_text).otherwise(F.decode(content, "ISO-8859-1"))
     status = (
-        F.when(F.col("length") > max_bytes, "too_large")
-        .when(~extension.isin(*V.DOCUMENT_EXTENSIONS), "unsupported_format")
+        F.when(~extension.isin(*V.DOCUMENT_EXTENSIONS), "unsupported_format")
         .when((extension == "pdf") & ~pdf_ok, "corrupted")
         .when((extension == "docx") & ~docx_ok, "corrupted")
         .when((extension == "txt") & binary, "corrupted")
@@ -39,6 +38,7 @@ def check_documents(files: DataFrame, max_bytes: int = V.MAX_DOCUMENT_BYTES) ->
         extension.alias("file_type"),
         F.col("length").alias("file_size_bytes"),
         status.alias("status"),
+        (F.col("length") > max_bytes).alias("over_size"),
         F.regexp_replace(decoded, r"(?U)^\s+|\s+$", "").alias("_text"),
     )
     has_text = (F.col("status") == "accepted") & (F.col("file_type") == "txt")
@@ -50,10 +50,6 @@ def check_documents(files: DataFrame, max_bytes: int = V.MAX_DOCUMENT_BYTES) ->
 def scan_documents_binary(
     spark: SparkSession, path: str, max_bytes: int = V.MAX_DOCUMENT_BYTES
 ) -> DataFrame:
-    """Document files below a folder. Files above the limit are listed, never loaded."""
+    """Document files below a folder, whatever their size."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    small = files.filter(F.col("length") <= max_bytes).select("path", "length", "content")
-    large = files.filter(F.col("length") > max_bytes).select(
-        "path", "length", F.lit(None).cast("binary").alias("content")
-    )
-    return check_documents(small.unionByName(large), max_bytes)
+    return check_documents(files.select("path", "length", "content"), max_bytes)

@@ -50,7 +50,8 @@ def flatten_labels(pages: DataFrame) -> DataFrame:
         *[_list(f"r.openfda.{n}").alias(n) for n in names],
         first("r.openfda.product_type").alias("product_type"),
         first("r.purpose").alias("purpose"),
-        F.substring(first("r.warnings"), 1, WARNING_LENGTH).alias("warnings"),
+        first("r.warnings").alias("warnings"),
+        F.substring(first("r.warnings"), 1, WARNING_LENGTH).alias("warnings_preview"),
     )
 
 

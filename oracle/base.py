@@ -275,18 +275,19 @@ blocks AS (
   SELECT signal_id, age, sex, date, count(*) AS block_size, min(report_id) AS first_report
   FROM members GROUP BY 1, 2, 3, 4 HAVING count(*) > 1),
 dups AS (
-  SELECT x.signal_id, x.age, x.sex, x.date, x.report_id AS report_id_a, y.report_id AS report_id_b, block_size,
-    'DUP-' || upper(substr(sha256(x.signal_id || '|' || x.report_id || '|' || y.report_id), 1, 12)) AS candidate_id
-  FROM members x JOIN members y ON x.signal_id = y.signal_id AND x.age = y.age AND x.sex = y.sex AND x.date = y.date
-    AND x.report_id < y.report_id
-  JOIN blocks b ON b.signal_id = x.signal_id AND b.age = x.age AND b.sex = x.sex AND b.date = x.date),
-sig_dups AS (
-  SELECT d.*, row_number() OVER (PARTITION BY d.signal_id ORDER BY candidate_id) AS position
-  FROM dups d JOIN sig USING (signal_id)
-  JOIN reports ra ON ra.report_id = d.report_id_a AND ra.drug_name = sig.drug_name
-  JOIN reports rb ON rb.report_id = d.report_id_b AND rb.drug_name = sig.drug_name
-  WHERE sig.dataset_version IS NULL OR (ra.report_quarter = sig.dataset_version AND rb.report_quarter = sig.dataset_version)),
-sig_dup_counts AS (SELECT signal_id, count(*) AS duplicate_count FROM sig_dups GROUP BY 1),
+  SELECT m.signal_id, m.age, m.sex, m.date, first_report AS report_id_a, m.report_id AS report_id_b, block_size,
+    'DUP-' || upper(substr(sha256(m.signal_id || '|' || first_report || '|' || m.report_id), 1, 12)) AS candidate_id
+  FROM members m JOIN blocks b USING (signal_id, age, sex, date) WHERE m.report_id <> first_report),
+sig_members AS (
+  SELECT DISTINCT m.* FROM members m JOIN sig USING (signal_id)
+  JOIN reports r ON r.report_id = m.report_id AND r.drug_name = sig.drug_name
+  WHERE sig.dataset_version IS NULL OR r.report_quarter = sig.dataset_version),
+sig_blocks AS (
+  SELECT signal_id, age, sex, date, count(*) AS block_size, min(report_id) AS first_report
+  FROM sig_members GROUP BY 1, 2, 3, 4 HAVING count(*) > 1),
+sig_dup_counts AS (
+  SELECT signal_id, CAST(sum(block_size * (block_size - 1) // 2) AS BIGINT) AS duplicate_count, CAST(sum(block_size - 1) AS BIGINT) AS listed
+  FROM sig_blocks GROUP BY 1),
 ingested AS (
   SELECT d.primaryid AS report_id, d.drug_name, r.reactions, r.ordered,
     {{ingest_age}} AS patient_age,

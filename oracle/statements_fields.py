@@ -52,7 +52,7 @@ SQL = {
     "flatten_openfda_labels": """
         SELECT 1::BIGINT AS total, p_name AS brand_name, upper(p_name) AS generic_name, p_brand AS manufacturer_name, '' AS route,
         '' AS substance_name, CASE WHEN p_size > 25 THEN p_type END AS product_type, 'purpose ' || p_type AS purpose,
-        substr(repeat(p_name, 80), 1, 500) AS warnings FROM part""",
+        repeat(p_name, 80) AS warnings, substr(repeat(p_name, 80), 1, 500) AS warnings_preview FROM part""",
     "flatten_openfda_events": over(
         """SELECT 1::BIGINT AS total, primaryid AS safetyreportid, event_dt AS receivedate, '' AS serious, '' AS seriousnessdeath,
         age AS patient_age, trim(sex) AS patient_sex, drugs, reactions FROM demo
@@ -66,9 +66,9 @@ SQL = {
         checked AS (
           SELECT filename, lower(regexp_extract(filename, '\.([^.]*)$', 1)) AS file_type, strlen(t) AS file_size_bytes, t FROM files),
         judged AS (
-          SELECT *, CASE WHEN file_size_bytes > 20000 THEN 'too_large' WHEN file_type NOT IN ('pdf', 'docx', 'txt') THEN 'unsupported_format'
-            WHEN file_type = 'pdf' THEN 'corrupted' WHEN contains(substr(t, 1, 1024), chr(0)) THEN 'corrupted' ELSE 'accepted' END AS status FROM checked)
-        SELECT filename, file_type, file_size_bytes, status,
+          SELECT *, CASE WHEN file_type NOT IN ('pdf', 'docx', 'txt') THEN 'unsupported_format'
+            WHEN file_type = 'pdf' THEN 'corrupted' WHEN contains(t, chr(0)) THEN 'corrupted' ELSE 'accepted' END AS status FROM checked)
+        SELECT filename, file_type, file_size_bytes, status, file_size_bytes > 20000 AS over_size,
           CASE WHEN status = 'accepted' THEN length(regexp_replace(t, '^\s+|\s+$', '', 'g')) END AS text_length,
           CASE WHEN status = 'accepted' THEN least(500, length(regexp_replace(t, '^\s+|\s+$', '', 'g'))) END AS preview_length FROM judged""",
     "write_dataset_csv": over(
@@ -96,7 +96,10 @@ SQL = {
     ),
     "run_manifest": over(
         """SELECT '2026Q1' AS quarter, 'completed' AS outcome, (SELECT count(*) FROM cases) AS cases, (SELECT count(*) FROM outc) AS loaded_rows,
-        true AS has_inputs, 2.0::DOUBLE AS min_prr"""
+        (SELECT count(*) || ':' || sum(CAST(('0x' || substr(h, 1, 15)) AS BIGINT)) || ':' || sum(CAST(('0x' || substr(h, 16, 15)) AS BIGINT)) || ':'
+          || sum(CAST(('0x' || substr(h, 31, 15)) AS BIGINT)) || ':' || sum(CAST(('0x' || substr(h, 46, 15)) AS BIGINT))
+          FROM (SELECT sha256(line) AS h FROM (SELECT concat_ws('$', primaryid, caseid, outc_cod) AS line FROM outc UNION ALL SELECT 'primaryid$caseid$outc_cod'))) AS digest,
+        2.0::DOUBLE AS min_prr"""
     ),
     "reconciliation": over(
         """SELECT 'raw_demo_rows' AS stage, count(*) AS rows FROM demo UNION ALL SELECT 'raw_drug_rows', count(*) FROM drug
@@ -161,7 +164,7 @@ SQL = {
     "fact_map": over(
         f"""SELECT q.signal_id, drug_name, event_name, candidate_status, supporting_report_count AS report_count, {r6('prr')} AS prr,
         {r6('CASE WHEN prr >= 2.1 THEN m.chi_square END')} AS chi_square, series AS trend, {r6('quality_score')} AS quality_score,
-        coalesce(duplicate_count, 0) AS duplicate_count, least(3, coalesce(duplicate_count, 0)) AS sample_size,
+        coalesce(duplicate_count, 0) AS duplicate_count, least(3, coalesce(listed, 0)) AS sample_size,
         coalesce(n, 0) AS rule_matches
         FROM sig s JOIN quality q USING (signal_id) JOIN (SELECT signal_id, chi_square FROM metrics) m USING (signal_id)
         LEFT JOIN sig_dup_counts USING (signal_id) LEFT JOIN (SELECT signal_id, count(*) AS n FROM matches GROUP BY 1) USING (signal_id)"""
@@ -180,7 +183,7 @@ SQL = {
         FROM sig JOIN quality USING (signal_id) LEFT JOIN (SELECT signal_id, count(*) AS n FROM matches GROUP BY 1) USING (signal_id)"""
     ),
     "parse_explanation_json": r"""
-        SELECT conv_id, turn, CASE WHEN conv_id % 3 < 2 THEN 'turn ' || turn ELSE substr(t, 1, 300) END AS why_flagged,
+        SELECT conv_id, turn, CASE WHEN conv_id % 3 < 2 THEN 'turn ' || turn ELSE t END AS why_flagged,
         'Deterministic evidence: facts. AI interpretation: ' || CASE WHEN conv_id % 3 < 2 THEN text ELSE t END AS evidence_summary,
         CASE WHEN conv_id % 3 < 2 THEN role ELSE 'known' END AS limitations,
         CASE WHEN conv_id % 3 < 2 THEN '' ELSE 'Review detailed case narratives.' END AS questions

@@ -145,10 +145,10 @@ SQL = {
         SELECT drug_name, count(*) AS candidate_signals_count FROM sig WHERE contains(upper(drug_name), 'B') GROUP BY 1
         UNION ALL SELECT DISTINCT drug_name, 0 FROM reports WHERE contains(drug_name, 'B')
           AND NOT EXISTS (SELECT 1 FROM sig WHERE contains(upper(drug_name), 'B')))
-        ORDER BY candidate_signals_count DESC, drug_name LIMIT 20"""
+        ORDER BY candidate_signals_count DESC, drug_name"""
     ),
     "drug_search_reports_only": over(
-        "SELECT DISTINCT drug_name, 0::BIGINT AS candidate_signals_count FROM reports WHERE contains(drug_name, 'BOLT') ORDER BY 1 LIMIT 20"
+        "SELECT DISTINCT drug_name, 0::BIGINT AS candidate_signals_count FROM reports WHERE contains(drug_name, 'BOLT') ORDER BY 1"
     ),
     "group_by_drug": over("SELECT drug_name, signal_id, count(*) OVER (PARTITION BY drug_name) AS cluster_size FROM cands"),
     "group_by_event": over("SELECT event_name, signal_id, count(*) OVER (PARTITION BY event_name) AS cluster_size FROM cands"),

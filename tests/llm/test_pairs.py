@@ -41,7 +41,7 @@ def copies_with_changes(seed, groups=12, size=6, length=60):
         base = [f"w{rng.randrange(5000)}" for _ in range(length)]
         for _ in range(size):
             changed = list(base)
-            for _ in range(rng.randrange(4)):
+            for _ in range(rng.randrange(3)):
                 changed[rng.randrange(length)] = f"x{rng.randrange(9)}"
             out.append(" ".join(changed))
     return out
@@ -77,7 +77,7 @@ def test_links_and_groups_as_brute_force(spark, monkeypatch, tile):
     for k in keys:
         least[top[k]] = min(least[top[k]], *classes[k])
     expected = {i: (least[top[k]], count[k]) for k in keys for i in classes[k]}
-    assert len(linked) > 30
+    assert len(linked) > 10
     found = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in near_duplicates.near_duplicates(docs).collect()}
     assert found == expected
     kept = {r["doc_id"] for r in near_duplicates.without_near_duplicates(docs).collect()}
@@ -119,14 +119,14 @@ def test_lines_as_brute_force(spark):
     lines = [t for t in copies_with_changes(8, groups=8, size=4, length=70)]
     texts = ["\n".join(rng.sample(lines, 5) + [f"own {i} {rng.random()}", ""]) for i in range(25)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
-    norm = lambda x: " ".join(words(x))
+    norm = lambda x: " ".join(x.lower().split())
     place = {}
     for i, t in enumerate(texts):
         for n, line in enumerate(t.split("\n")):
             if norm(line):
                 place.setdefault(norm(line), (i, n))
     # Every pair within the SimHash distance, by the operator's own hashes, and the edit similarity.
-    sims = {r["norm"]: r["sim"] & (1 << 64) - 1 for r in (lambda d: d.join(line_dedup.simhashes(d), ["h1", "h2"]))(line_dedup.distinct_lines(docs)).collect()}
+    sims = {r["norm"]: r["sim"] for r in (lambda d: d.join(line_dedup.simhashes(d), ["h1", "h2"]))(line_dedup.distinct_lines(docs)).collect()}
     assert set(sims) == set(place)
     keys = sorted(place)
     linked = [

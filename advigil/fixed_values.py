@@ -38,6 +38,8 @@ MAX_PLAUSIBLE_AGE = 130
 # --- fixed values: text patterns (Java regular expressions) ------------------
 # White space as Unicode defines it, plus the four ASCII separator controls.
 WHITESPACE_PATTERN = r"(?U)[\s\x1C-\x1F]+"
+# White space that is cut off at the edges of a cell.
+WHITESPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 PLAIN_TEXT_EXCEPTION_PATTERN = r"[^\x20-\x7E]|\x20\x20"
 EDGE_PUNCTUATION_PATTERN = r"^[^A-Za-z0-9]+|[^A-Za-z0-9]+$"
 NUMBER_PATTERN = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"

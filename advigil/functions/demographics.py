@@ -12,7 +12,7 @@ from advigil.fixed_values import (
     MAX_PLAUSIBLE_AGE,
 )
 from advigil.functions.numbers import round_half_even, to_numeric
-from advigil.functions.text import trimmed_upper
+from advigil.functions.text import strip, trimmed_upper
 
 
 def _lookup(key: Column, values: dict[str, float]) -> Column:
@@ -22,7 +22,7 @@ def _lookup(key: Column, values: dict[str, float]) -> Column:
 
 def parse_event_date(text: Column) -> Column:
     """``YYYYMMDD`` as ``YYYY-MM-DD`` text; anything else is null."""
-    t = F.trim(text)
+    t = strip(text)
     day = F.try_to_timestamp(F.when(t.rlike(DAY_PATTERN), t), F.lit("yyyyMMdd"))
     return F.date_format(day, "yyyy-MM-dd")
 
@@ -37,7 +37,7 @@ def parse_age_years(age: Column, unit: Column, dec_years: float = 1.0) -> Column
 def normalize_age_ingest(age: Column, code: Column) -> Column:
     """Second policy: numeric unit codes, unknown codes taken as plausible years."""
     raw = to_numeric(age)
-    factor = _lookup(F.trim(F.coalesce(code, F.lit(""))), AGE_CODE_FACTORS)
+    factor = _lookup(strip(F.coalesce(code, F.lit(""))), AGE_CODE_FACTORS)
     converted = raw * factor
     return (
         F.when(

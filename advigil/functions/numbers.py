@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from advigil.fixed_values import NUMBER_PATTERN
+from advigil.functions.text import strip
 
 
 def finite(x: Column) -> Column:
@@ -27,7 +28,7 @@ def safe_int(x: Column) -> Column:
 
 def to_numeric(text: Column) -> Column:
     """Trimmed decimal text as double; blank or unparseable text is null."""
-    t = F.trim(text)
+    t = strip(text)
     return finite(F.when(t.rlike(NUMBER_PATTERN), t.try_cast("double")))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from advigil.fixed_values import (
     EDGE_PUNCTUATION_PATTERN,
     PLAIN_TEXT_EXCEPTION_PATTERN,
+    WHITESPACE,
     WHITESPACE_PATTERN,
 )
 
@@ -16,6 +17,11 @@ def null_if_blank(text: Column) -> Column:
     return F.nullif(text, F.lit(""))
 
 
+def strip(text: Column | str) -> Column:
+    """White space of any script cut off at both ends."""
+    return F.trim(text, F.lit(WHITESPACE))
+
+
 def squeeze(text: Column) -> Column:
     """Upper case, runs of white space as one blank, no blank at the edges.
 
@@ -36,7 +42,7 @@ def normalize_drug_name(text: Column) -> Column:
 
 
 def trimmed_upper(text: Column) -> Column:
-    return F.upper(F.trim(text))
+    return F.upper(strip(text))
 
 
 def fill_template(template: str, **parts: Column) -> Column:
@@ -84,7 +90,7 @@ def source_label(source: Column) -> Column:
 
 def parse_reactions_cell(cell: Column) -> Column:
     """JSON list or ``|`` joined text as distinct upper-case terms, first seen first."""
-    raw = F.trim(F.coalesce(cell, F.lit("")))
+    raw = strip(F.coalesce(cell, F.lit("")))
     items = F.when(raw.startswith("["), F.from_json(raw, "array<string>")).otherwise(
         F.split(raw, r"\|")
     )

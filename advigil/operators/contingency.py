@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from advigil.functions import disproportionality as stat
 from advigil.functions.identifiers import signal_id
 from advigil.policy import DETECTION, DetectionPolicy
+from advigil.functions.text import strip
 
 
 def pair_counts(pairs: DataFrame, *by: str) -> DataFrame:
@@ -18,8 +19,8 @@ def pair_counts(pairs: DataFrame, *by: str) -> DataFrame:
 def quarterly_pair_counts(pairs: DataFrame, quarter: str = "report_quarter") -> DataFrame:
     """Pairs per (drug, event, quarter); rows with a blank name are skipped."""
     named = pairs.select(
-        F.trim("drug_name").alias("drug_name"),
-        F.trim("event_name").alias("event_name"),
+        strip("drug_name").alias("drug_name"),
+        strip("event_name").alias("event_name"),
         F.col(quarter).alias("quarter"),
     ).filter("drug_name <> '' and event_name <> ''")
     return named.groupBy("drug_name", "event_name", "quarter").agg(F.count(F.lit(1)).alias("count"))

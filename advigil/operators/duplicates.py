@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from advigil import fixed_values as V
 from advigil.functions.identifiers import duplicate_id
 from advigil.functions.numbers import short_number
-from advigil.functions.text import fill_template
+from advigil.functions.text import fill_template, strip
 from advigil.operators.support import block_sex
 from advigil.session import stored
 
@@ -40,7 +40,7 @@ def block_members(signals: DataFrame, reports: DataFrame) -> DataFrame:
         "report_id",
         F.col("patient_age").cast("double").alias("age"),
         block_sex(F.col("patient_sex")).alias("sex"),
-        F.trim("event_date").alias("date"),
+        strip("event_date").alias("date"),
     )
     keys = signals.select(
         "signal_id",

@@ -170,6 +170,11 @@ def pair_stats(
         return frame.agg(value.cast("bigint").alias("value")).select(F.lit(name).alias("stat"), "value")
 
     sides = orphan_accounting(drug, reac, cases, policy)
+    built = pairs.agg(
+        F.count(F.lit(1)).alias("unique_pairs"),
+        F.count_if(F.col("drug_name").isNull()).alias("pairs_with_missing_drug_name"),
+        F.count_if(F.col("event_name").isNull()).alias("pairs_with_missing_reaction"),
+    )
     parts = [
         one(ps, "ps_drug_rows_before_norm"),
         one(
@@ -188,9 +193,7 @@ def pair_stats(
             "normalized_reactions_missing",
         ),
         sides.unpivot([], sides.columns, "stat", "value"),
-        one(pairs, "unique_pairs"),
-        one(pairs.filter(F.col("drug_name").isNull()), "pairs_with_missing_drug_name"),
-        one(pairs.filter(F.col("event_name").isNull()), "pairs_with_missing_reaction"),
+        built.unpivot([], built.columns, "stat", "value"),
     ]
     out = parts[0]
     for part in parts[1:]:

@@ -6,11 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from advigil import fixed_values as V
-from advigil.functions.text import trimmed_upper
+from advigil.functions.text import strip, trimmed_upper
+from advigil.operators.pairs import report_events, suspect_drugs
 from advigil.policy import DETECTION, DetectionPolicy
 
 
-
 def reactions_per_report(pairs: DataFrame) -> DataFrame:
     """Sorted distinct events of each report.
 
@@ -29,7 +29,7 @@ def reactions_in_order(reac: DataFrame, position: str) -> DataFrame:
     """Distinct events of each report in order of first appearance."""
     first = (
         reac.select(
-            F.trim("primaryid").alias("primaryid"),
+            strip("primaryid").alias("primaryid"),
             trimmed_upper(F.col("pt")).alias("event_name"),
             F.col(position).alias("_pos"),
         )
@@ -69,7 +69,7 @@ def seriousness(outc: DataFrame) -> DataFrame:
 def seriousness_ingest(outc: DataFrame) -> DataFrame:
     """As ``seriousness``, but rows with a blank id or code do not count as outcomes."""
     usable = outc.select(
-        F.trim("primaryid").alias("primaryid"), trimmed_upper(F.col("outc_cod")).alias("outc_cod")
+        strip("primaryid").alias("primaryid"), trimmed_upper(F.col("outc_cod")).alias("outc_cod")
     ).filter("primaryid <> '' and outc_cod <> ''")
     return seriousness(usable)
 
@@ -99,12 +99,31 @@ def with_case_fields(rows: DataFrame, cases: DataFrame) -> DataFrame:
 def normalized_reports(
     pairs: DataFrame, cases: DataFrame, outc: DataFrame, policy: DetectionPolicy = DETECTION
 ) -> DataFrame:
-    """One record per (report, analysed drug). All joins are on the report id."""
+    """One record per (report, analysed drug) out of stored pairs. All joins are on the report id."""
     rows = (
         pairs.select("primaryid", "drug_name")
         .distinct()
         .join(reactions_per_report(pairs), "primaryid")
     )
+    return _records(rows, cases, outc, policy)
+
+
+def reports_of_tables(
+    drug: DataFrame, reac: DataFrame, cases: DataFrame, outc: DataFrame, policy: DetectionPolicy = DETECTION
+) -> DataFrame:
+    """``normalized_reports`` straight from the tables: drugs and events of a report meet as one
+    row per drug and one list of events, never as their product."""
+    drugs = suspect_drugs(drug, cases, policy).select("primaryid", F.col("caseid").alias("_case"), "drug_name")
+    events = report_events(reac, cases).select("primaryid", "caseid", "event_name")
+    same_case = (F.col("d.primaryid") == F.col("e.primaryid")) & (F.col("_case") >= F.col("caseid")) & (F.col("_case") <= F.col("caseid"))
+    d, e = drugs.alias("d"), events.alias("e")
+    with_events = d.join(e, same_case, "left_semi").select("primaryid", "drug_name").distinct()
+    with_drugs = e.join(d, same_case, "left_semi").select("primaryid", "event_name")
+    return _records(with_events.join(reactions_per_report(with_drugs), "primaryid"), cases, outc, policy)
+
+
+def _records(rows: DataFrame, cases: DataFrame, outc: DataFrame, policy: DetectionPolicy) -> DataFrame:
+    """Report records of (report, drug, reactions)."""
     full = with_seriousness(with_case_fields(rows, cases), seriousness(outc))
     return full.select(
         F.col("primaryid").alias("report_id"),
@@ -123,7 +142,7 @@ def normalized_reports(
 def primary_drug(drug: DataFrame, position: str) -> DataFrame:
     """First primary-suspect drug of each report, else its first drug."""
     named = drug.select(
-        F.trim("primaryid").alias("primaryid"),
+        strip("primaryid").alias("primaryid"),
         trimmed_upper(F.col("drugname")).alias("drug_name"),
         trimmed_upper(F.col("role_cod")).alias("role"),
         F.col(position).alias("_pos"),
@@ -144,9 +163,9 @@ def first_demo_per_report(demo: DataFrame, position: str) -> DataFrame:
     """First row of each report in file order."""
     fields = ["age", "age_cod", "sex", "event_dt"]
     trimmed = demo.select(
-        F.trim("primaryid").alias("primaryid"),
+        strip("primaryid").alias("primaryid"),
         F.col(position).alias("_pos"),
-        *[F.trim(F.coalesce(F.col(c), F.lit(""))).alias(c) for c in fields],
+        *[strip(F.coalesce(F.col(c), F.lit(""))).alias(c) for c in fields],
     ).filter("primaryid <> ''")
     return (
         trimmed.groupBy("primaryid")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from advigil import fixed_values as V
 from advigil.functions.numbers import round_half_even
 from advigil.functions.scores import trend_score
-from advigil.functions.text import trimmed_upper
+from advigil.functions.text import strip, trimmed_upper
 
 
 def mentions_event(reactions: Column, event: Column, ignore_case: bool = False) -> Column:
@@ -19,7 +19,7 @@ def mentions_event(reactions: Column, event: Column, ignore_case: bool = False)
 
 
 def _blank(text: Column) -> Column:
-    return F.coalesce(F.trim(text), F.lit("")) == ""
+    return F.coalesce(strip(text), F.lit("")) == ""
 
 
 def exploded_reports(reports: DataFrame, *columns: str) -> DataFrame:
@@ -101,15 +101,15 @@ def support_by_quarter(signals: DataFrame, reports: DataFrame) -> DataFrame:
 
 
 def support_per_signal(
-    signals: DataFrame, reports: DataFrame, scope: str = "release"
+    signals: DataFrame, reports: DataFrame, scope: str = "release", counts: DataFrame | None = None
 ) -> DataFrame:
     """Per signal: reports, missing fields and the quarterly series, in one pass.
 
-    The series has one entry per quarter.
+    The series has one entry per quarter. ``counts`` is a stored ``support_by_quarter``; it
+    serves every scope and spares the reports.
     """
-    rows = support_by_quarter(signals, reports).join(
-        signal_keys(signals, scope), ["drug_name", "event_key"]
-    )
+    counts = support_by_quarter(signals, reports) if counts is None else counts
+    rows = counts.join(signal_keys(signals, scope), ["drug_name", "event_key"])
     point = F.struct(
         F.col("report_quarter").alias("quarter"), F.col("n").cast("double").alias("count")
     )
@@ -122,17 +122,21 @@ def support_per_signal(
     )
 
 
-def trend_series(signals: DataFrame, reports: DataFrame, scope: str = "release") -> DataFrame:
+def trend_series(
+    signals: DataFrame, reports: DataFrame, scope: str = "release", counts: DataFrame | None = None
+) -> DataFrame:
     """Quarterly report counts of every signal, empty when no report matches."""
-    support = support_per_signal(signals, reports, scope).select("signal_id", "trend_data")
+    support = support_per_signal(signals, reports, scope, counts).select("signal_id", "trend_data")
     empty = F.array().cast("array<struct<quarter:string,count:double>>")
     return signals.select("signal_id").join(support, "signal_id", "left").select(
         "signal_id", F.coalesce("trend_data", empty).alias("trend_data")
     )
 
 
-def trend_slopes(signals: DataFrame, reports: DataFrame, scope: str = "release") -> DataFrame:
-    return trend_series(signals, reports, scope).select(
+def trend_slopes(
+    signals: DataFrame, reports: DataFrame, scope: str = "release", counts: DataFrame | None = None
+) -> DataFrame:
+    return trend_series(signals, reports, scope, counts).select(
         "signal_id", trend_score(F.col("trend_data")).alias("trend_score")
     )
 
@@ -199,12 +203,13 @@ def case_quality(
     reports: DataFrame,
     stored: DataFrame | None = None,
     scope: str = "release",
+    counts: DataFrame | None = None,
 ) -> DataFrame:
     """Quality of every signal; a stored row wins over the computed one."""
     if stored is None:
-        return quality_from_support(signals, support_per_signal(signals, reports, scope))
+        return quality_from_support(signals, support_per_signal(signals, reports, scope, counts))
     missing = signals.join(stored.select("signal_id"), "signal_id", "left_anti")
-    computed = quality_from_support(missing, support_per_signal(missing, reports, scope))
+    computed = quality_from_support(missing, support_per_signal(missing, reports, scope, counts))
     kept = stored.join(signals.select("signal_id"), "signal_id", "left_semi")
     return kept.select(*computed.columns).unionByName(computed)
 

@@ -18,8 +18,8 @@ from advigil.operators.contingency import disproportionality, pair_counts
 from advigil.operators.detection import detect_signals
 from advigil.operators.enrichment import enrich_signals
 from advigil.operators.pairs import pair_universe
-from advigil.operators.reports import normalized_reports
-from advigil.operators.support import trend_series
+from advigil.operators.reports import reports_of_tables
+from advigil.operators.support import support_by_quarter, trend_series
 from advigil.schemas import RAW
 from advigil.session import prepare, scratch_path
 from advigil.sources.faers import table_path
@@ -178,7 +178,7 @@ class StarSchema:
 
     @cached_property
     def reports(self) -> DataFrame:
-        return normalized_reports(self.pairs, self.cases, self.outc)
+        return reports_of_tables(self.drug, self.reac, self.cases, self.outc)
 
     # --- stored tables (written once per instance) -----------------------------
 
@@ -188,14 +188,19 @@ class StarSchema:
 
     @cached_property
     def stored_reports(self) -> DataFrame:
-        records = normalized_reports(self.stored_pairs, self.cases, self.outc)
-        return self.stored(records, "reports")
+        return self.stored(reports_of_tables(self.drug, self.reac, self.cases, self.outc), "reports")
 
     @cached_property
     def stored_metrics(self) -> DataFrame:
         counts = self.stored(pair_counts(self.stored_pairs), "pair-counts")
         return self.stored(disproportionality(counts), "metrics")
 
+    @cached_property
+    def support_counts(self) -> DataFrame:
+        """Support of every candidate by quarter, written once for all scopes."""
+        found = detect_signals(self.stored_metrics, None)
+        return self.stored(support_by_quarter(found, self.stored_reports), "support-counts")
+
     @cached_property
     def signals(self) -> DataFrame:
         """Scored signals, written once.
@@ -203,8 +208,8 @@ class StarSchema:
         A signal with an even number of reports is tied to its newest quarter; the
         review status also follows the number of reports.
         """
-        found = self.stored(detect_signals(self.stored_metrics, None), "candidates")
-        trend = trend_series(found, self.stored_reports, scope="all")
+        found = detect_signals(self.stored_metrics, None)
+        trend = trend_series(found, self.stored_reports, scope="all", counts=self.support_counts)
         inputs = self.stored_metrics.select("signal_id", "chi_square", "prr_lower", "ror_lower")
         newest = F.try_element_at("trend_data", F.lit(-1))["quarter"]
         release = F.when(F.col("supporting_report_count") % 2 == 0, newest)

@@ -19,10 +19,14 @@ from advigil.operators.reports import (
     with_seriousness,
 )
 from advigil.schemas import RELEASE, REPORT, SIGNAL_STORED
+from advigil.session import stored
 from advigil.sinks.tables import (
     import_counters,
+    known_metrics,
+    metrics_rows,
     read_table,
     release_row,
+    replace_partitions,
     replace_quarter_pairs,
     rewrite_partitions,
     upsert,
@@ -225,23 +229,31 @@ def backfill_seriousness(spark: SparkSession, folder: str, quarter: str, store:
     member = find_quarter_member(spark, folder, "OUTC", exact=file_name("OUTC", quarter))
     outc = scan_faers_unquoted(spark, member, encoding="UTF-8")
     reports = spark.read.schema(REPORT).parquet(store.reports).filter(F.col("report_quarter") == quarter)
-    plan = backfill_plan(reports, outc)
-    summary = spark.createDataFrame(backfill_summary(plan).collect())
+    # Written once: the summary, the look for changes and the new partition read it.
+    plan = stored(backfill_plan(reports, outc), "backfill")
     if not plan.filter("changed").limit(1).isEmpty():
-        rewrite_partitions(plan.drop("changed"), store.reports, "report_quarter")
-    return summary
+        replace_partitions(plan.drop("changed"), store.reports, "report_quarter")
+    return backfill_summary(plan)
 
 
 # --- import of enriched signals ---------------------------------------------------
 
 
+def import_metrics(spark: SparkSession, signals: DataFrame, metrics: DataFrame, current: str | None, target: str) -> None:
+    """Write the metric table after an import to a new path: rows of imported signals are new."""
+    rows = metrics_rows(known_metrics(metrics, signals), signals)
+    if current and path_exists(spark, current):
+        rows = upsert(spark.read.schema(rows.schema).parquet(current), rows, ["signal_id"])
+    rows.write.mode("overwrite").parquet(target)
+
+
 def import_signals(
     spark: SparkSession, batch: DataFrame, current: str | None, target: str, dry_run: bool = False
 ) -> DataFrame:
     """Write the signal table after an import to a new path; returns the counters.
 
     ``batch`` has a position column ``_pos``. The old table stays readable until its
-    readers move on.
+    readers move on. ``import_metrics`` follows with the signals' metric rows.
     """
     counters = import_counters(batch)
     if not dry_run:

@@ -124,6 +124,19 @@ def release_metadata(s: StarSchema) -> DataFrame:
     return row.select("release_id", "dataset_release", "processing_version", "total_reports")
 
 
+@query
+def import_enriched_signals(s: StarSchema) -> DataFrame:
+    """Signals and their metrics imported together, twice; the metric table."""
+    signals, metrics = scratch_path(s.spark, "import-signals"), scratch_path(s.spark, "import-metrics")
+    batch = s.signals.withColumn("_pos", F.monotonically_increasing_id())
+    for n in (1, 2):
+        jobs.import_signals(s.spark, batch, f"{signals}/{n - 1}", f"{signals}/{n}")
+        imported = s.spark.read.parquet(f"{signals}/{n}")
+        jobs.import_metrics(s.spark, imported, s.stored_metrics, f"{metrics}/{n - 1}", f"{metrics}/{n}")
+    rows = s.spark.read.parquet(f"{metrics}/2")
+    return flat(rows.select("signal_id", "prr", "ror", "report_count", F.col("contingency_table.d").alias("d"), "chi_square"))
+
+
 # --- whole jobs --------------------------------------------------------------------
 
 

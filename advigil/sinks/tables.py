@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from advigil.functions.numbers import finite
-from advigil.session import scratch_path
+from advigil.session import scratch_path, stored
 from advigil.sinks.records import valid_import_record
 from advigil.sources.faers import path_exists
 
@@ -107,16 +107,33 @@ def rewrite_partitions(df: DataFrame, path: str, partition: str) -> None:
     replace_partitions(spark.read.parquet(staged), path, partition)
 
 
-def upsert_reports(spark: SparkSession, path: str, incoming: DataFrame, schema) -> None:
-    """Insert or update report rows by (report, drug); only their quarters are rewritten."""
-    keys = ["report_id", "drug_name", "report_quarter"]
-    incoming = incoming.dropDuplicates(keys)
+def upsert_reports(spark: SparkSession, path: str, incoming: DataFrame, schema, order: str | None = None) -> None:
+    """Insert or update report rows by (report, drug), also where the quarter has changed.
+
+    The quarters that the rows come to and the ones that they had are rewritten, no others. Of
+    rows with equal keys the last by ``order`` is taken, without it the largest row.
+    """
+    keys = ["report_id", "drug_name"]
+    last = [F.desc(order)] if order else [F.desc(c) for c in incoming.columns if c not in keys]
+    incoming = last_per_key(incoming, keys, last).select(*[f.name for f in schema.fields])
     if not path_exists(spark, path):
         replace_partitions(incoming, path, "report_quarter")
         return
+    incoming = stored(incoming, "incoming-reports")
     existing = read_table(spark, path, schema)
-    touched = existing.join(incoming.select("report_quarter").distinct(), "report_quarter", "left_semi")
-    rewrite_partitions(upsert(touched, incoming, keys), path, "report_quarter")
+    had = existing.join(incoming.select(*keys), keys, "left_semi").select("report_quarter")
+    quarters = stored(had.union(incoming.select("report_quarter")).distinct(), "touched-quarters")
+    merged = stored(upsert(existing.join(quarters, "report_quarter", "left_semi"), incoming, keys), "merged-reports")
+    replace_partitions(merged, path, "report_quarter")
+    left = merged.select("report_quarter").distinct()
+    for row in quarters.join(left, "report_quarter", "left_anti").collect():
+        drop_partition(spark, path, "report_quarter", row["report_quarter"])
+
+
+def drop_partition(spark: SparkSession, path: str, column: str, value: str) -> None:
+    """Remove the folder of a partition that has no rows any more."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{column}={value}")
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def one_row_per_report(reports: DataFrame) -> DataFrame:

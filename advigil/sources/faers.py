@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 
 from advigil.fixed_values import FIELD_SEPARATOR
 from advigil.schemas import RAW, REQUIRED_TABLES
+from advigil.functions.text import strip
 
 BAD_ROW = "_bad"
 
@@ -35,10 +36,13 @@ def table_path(folder: str, kind: str, quarter: str) -> str:
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is something to read; any other trouble with the path is raised."""
     try:
         spark.read.text(path)
         return True
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return False
 
 
@@ -83,12 +87,14 @@ def read_table_rows(
         .option("columnNameOfCorruptRecord", BAD_ROW)
         # A pruned parse does not count fields, so rows of wrong length would pass.
         .option("columnPruning", False)
+        # Every part file has to start with the header of the layout, or the read fails.
+        .option("enforceSchema", False)
         .csv(path)
     )
 
 
 def _no_keys() -> Column:
-    ids = [F.coalesce(F.trim(c), F.lit("")) for c in ("primaryid", "caseid")]
+    ids = [F.coalesce(strip(c), F.lit("")) for c in ("primaryid", "caseid")]
     return (ids[0] == "") | (ids[1] == "")
 
 
@@ -137,12 +143,13 @@ def load_stats(spark: SparkSession, rows: DataFrame, path: str, kind: str) -> Da
 def load_stats_of_lines(spark: SparkSession, path: str, loaded: DataFrame, kind: str) -> DataFrame:
     """``load_stats`` for a file without line breaks in cells whose good rows are stored.
 
-    Counts text lines and stored rows, so the file is not parsed a second time.
+    Counts text lines and stored rows, so the file is not parsed a second time. Each part
+    file has one header line; a repetition of it further down is a row.
     """
-    header = FIELD_SEPARATOR.join(RAW[kind].names)
-    lines = spark.read.text(path).filter(F.rtrim("value") != header)
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"))
     rows = loaded.agg(F.count(F.lit(1)).alias("n"))
-    counted = lines.agg(F.count(F.lit(1)).alias("lines")).withColumn("rows", rows.scalar())
+    data = F.count(F.lit(1)) - F.count_distinct("file")
+    counted = lines.agg(data.alias("lines")).withColumn("rows", rows.scalar())
     skipped = F.col("lines") - F.col("rows")
     return counted.select(
         F.lit(kind).alias("kind"),
@@ -271,13 +278,14 @@ def scan_faers_unquoted(
     if encoding is None:
         found = file_encodings(spark, path).agg(F.min("encoding").alias("e")).collect()
         encoding = found[0].e or "UTF-8"
-    raw = (
+    reader = (
         spark.read.option("sep", FIELD_SEPARATOR)
         .option("header", True)
         .option("quote", "")
         .option("encoding", encoding)
-        .csv(path)
     )
+    # The first file names the columns; one with other columns fails the read.
+    raw = reader.schema(reader.csv(path).schema).option("enforceSchema", False).csv(path)
     named = raw.select(
         *[F.col(f"`{c}`").alias(c.strip().lower()) for c in raw.columns],
         F.struct(

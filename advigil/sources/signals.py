@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 from advigil import fixed_values as V
 from advigil.functions.numbers import to_numeric
 from advigil.functions.scores import parse_trend_data
-from advigil.functions.text import null_if_blank, parse_reactions_cell
+from advigil.functions.text import null_if_blank, parse_reactions_cell, strip
 from advigil.schemas import METRICS_FILE, SIGNAL
 from advigil.sources.faers import path_exists
 
 
 def scan_signals_json(spark: SparkSession, path: str) -> DataFrame:
     """Signals from JSON: one record per line, or files that each hold one array."""
-    first = spark.read.text(path).filter(F.trim("value") != "").limit(1).collect()
+    first = spark.read.text(path).filter(strip("value") != "").limit(1).collect()
     start = first[0].value.lstrip()[:1] if first else ""
     if start == "[":
         return spark.read.schema(SIGNAL).option("multiLine", True).json(path)
@@ -57,12 +57,12 @@ def scan_reports_csv(spark: SparkSession, path: str, quarter: str) -> DataFrame:
 
     def text(name: str):
         column = F.col(name) if name in raw.columns else F.lit(None).cast("string")
-        return null_if_blank(F.trim(column))
+        return null_if_blank(strip(column))
 
     codes = F.filter(F.split(F.coalesce(text("seriousness_codes"), F.lit("")), r"\|"), lambda x: x != "")
     return raw.select(
-        F.trim("report_id").alias("report_id"),
-        F.trim("drug_name").alias("drug_name"),
+        strip("report_id").alias("report_id"),
+        strip("drug_name").alias("drug_name"),
         parse_reactions_cell(F.col("reactions")).alias("reactions"),
         to_numeric(text("patient_age")).alias("patient_age"),
         text("patient_sex").alias("patient_sex"),

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from advigil.plans.table_jobs import Store, ingest_quarter, is_imported
+from advigil.functions.text import strip
 
 
 def arrived_quarters(spark: SparkSession, markers: str, pattern: str = "*.ready") -> DataFrame:
@@ -19,7 +20,7 @@ def arrived_quarters(spark: SparkSession, markers: str, pattern: str = "*.ready"
     return (
         spark.readStream.option("pathGlobFilter", pattern)
         .text(markers)
-        .select(F.upper(F.trim("value")).alias("quarter"))
+        .select(F.upper(strip("value")).alias("quarter"))
         .filter("quarter <> ''")
     )
 

@@ -193,6 +193,10 @@ SQL = {
         f"""SELECT signal_id, {r6('prr')} AS prr, {r6('ror')} AS ror, a AS report_count, d, {r6('chi_square')} AS chi_square
         FROM metrics WHERE signal_id IN (SELECT signal_id FROM sig)"""
     ),
+    "import_enriched_signals": over(
+        f"""SELECT signal_id, {r6('prr')} AS prr, {r6('ror')} AS ror, a AS report_count, d, {r6('chi_square')} AS chi_square
+        FROM metrics WHERE signal_id IN (SELECT signal_id FROM sig)"""
+    ),
     "upsert_reports": over(
         """SELECT report_id, drug_name, seriousness, report_quarter, CASE WHEN seriousness = 'Serious' THEN 'CORRECTED' ELSE source END AS source FROM reports"""
     ),

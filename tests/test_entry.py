@@ -1,7 +1,9 @@
 import pytest
 
 import __spark_entry__ as entry
+from advigil.queries import registry
 from conftest import SMALL
+from oracle import statements
 from oracle.compare import database, difference
 
 WITHOUT_SQL = {"feature_cluster"}
@@ -9,8 +11,8 @@ CHECKED = ["prr_ci", "latest_case_version", "pair_expansion", "degenerate_cells"
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) - set(entry.oracle_sql()) == WITHOUT_SQL
-    assert set(entry.oracle_sql()) <= set(entry.queries())
+    assert set(registry()) - set(statements()) == WITHOUT_SQL
+    assert set(registry()) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
 
 
 def test_flagship(spark):

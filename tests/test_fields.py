@@ -161,3 +161,11 @@ def test_rationale_round_trip(evaluate):
     assert (d.drug, d.event, d.age, d.sex, d.event_date) == ("A", "B", "62", "F", "05 Jan 2026")
     none = evaluate(texts.rationale_details(F.lit("nothing")))
     assert set(none) == {"--"}
+
+
+def test_white_space_of_any_script_is_cut_off(evaluate):
+    cells = F.array(*(F.lit(x) for x in ("\t40", "40\u00a0", "\u200340\x1c", "4 0")))
+    assert evaluate(F.transform(cells, numbers.to_numeric)) == [40.0, 40.0, 40.0, None]
+    assert evaluate(demographics.parse_sex(F.lit("F\t"))) == evaluate(demographics.parse_sex(F.lit("F")))
+    assert evaluate(text.trimmed_upper(F.lit("de\u00a0"))) == "DE"
+    assert evaluate(text.parse_reactions_cell(F.lit("a\u00a0|\tB"))) == ["A", "B"]

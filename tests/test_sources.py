@@ -162,3 +162,23 @@ def test_both_ways_of_load_statistics_agree(spark, folder):
     parsed = faers.load_stats(spark, faers.read_table_rows(spark, path, "REAC"), path, "REAC").first()
     good = faers.scan_faers_table(spark, path, "REAC")
     assert tuple(faers.load_stats_of_lines(spark, path, good, "REAC").first()) == tuple(parsed)
+
+
+def test_every_part_file_needs_the_header(spark, folder):
+    write(folder, "REAC26Q1.txt/part-0", f"{HEAD}\n1$1$a$\n")
+    write(folder, "REAC26Q1.txt/part-1", "caseid$primaryid$pt$drug_rec_act\n2$1$a$\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        faers.scan_faers_table(spark, f"{folder}/REAC26Q1.txt", "REAC").collect()
+
+
+def test_repeated_header_line_is_a_row(spark, folder):
+    path = write(folder, "REAC26Q1.txt", f"{HEAD}\n1$1$a$\n{HEAD}\n")
+    good = faers.scan_faers_table(spark, path, "REAC")
+    stats = faers.load_stats_of_lines(spark, path, good, "REAC").first()
+    assert (stats.scanned_data_lines, stats.loaded_rows, stats.skipped_bad_lines) == (2, 2, 0)
+
+
+def test_only_a_missing_path_counts_as_absent(spark, folder):
+    assert not faers.path_exists(spark, f"{folder}/nothing") and faers.path_exists(spark, folder)
+    with pytest.raises(Exception):
+        faers.path_exists(spark, "nosuchfilesystem://x/y")

@@ -117,6 +117,10 @@ def test_report_upsert_touches_its_quarters_only(spark, folder):
     found = {(r.report_id, r.drug_name, r.source) for r in spark.read.schema(REPORT).parquet(path).collect()}
     assert found == {("1", "D", "y"), ("1", "E", "x"), ("3", "D", "y"), ("2", "D", "x")}
     assert {p.name for p in Path(f"{path}/report_quarter=2025Q4").glob("*.parquet")} == old
+    # A report that comes with another quarter leaves its old one, and the larger of two equal keys stays.
+    tables.upsert_reports(spark, path, spark.createDataFrame([row("2", "D", "2026Q1", "z"), row("2", "D", "2026Q1", "w")], REPORT), REPORT)
+    found = [(r.report_id, r.drug_name, r.report_quarter, r.source) for r in spark.read.schema(REPORT).parquet(path).collect()]
+    assert sorted(found) == [("1", "D", "2026Q1", "y"), ("1", "E", "2026Q1", "x"), ("2", "D", "2026Q1", "z"), ("3", "D", "2026Q1", "y")]
 
 
 def full(kind, **cells):

@@ -25,8 +25,8 @@ KINDS = ("assign", "access", "hex")
 FIT_VALUES, FIT_LENGTH, LEAST_VALUES = 400, 512, 20
 ALPHA = 0.05
 LEAST_CANDIDATE = 20
-# Share of a kind's own credentials whose likelihood a candidate has to reach.
-QUANTILE = 0.05
+# Standard errors of the mean log probability by which a candidate may fall below its kind.
+ERRORS, LEAST_SPREAD = 3.0, 0.1
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 _ASSIGN_HINTS = ("passw", "secret", "token", "api")
 _RUN = re.compile(rf"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{{{LEAST_CANDIDATE},}}")
@@ -86,8 +86,9 @@ class Automaton:
             self.final[at] += 1
         self.width = math.sqrt(0.5 * math.log(2 / alpha))
         self._merge_all()
-        own = sorted(self.likelihood(v) for v in values)
-        self.least = own[int(QUANTILE * len(own))] if own else math.inf
+        own = [(self.likelihood(v), len(v)) for v in values if v]
+        self.mean = sum(x for x, _ in own) / max(1, len(own))
+        self.spread = max(LEAST_SPREAD, math.sqrt(sum((x - self.mean) ** 2 * n for x, n in own) / max(1, len(own))))
 
     def _differ(self, a: int, n: int, b: int, m: int) -> bool:
         return abs(a / n - b / m) > self.width * (1 / math.sqrt(n) + 1 / math.sqrt(m))
@@ -143,20 +144,23 @@ class Automaton:
         steps = (self.next[k][s] for k in kept for s in sorted(self.next[k]))
         return next((step for step in steps if step[0] not in known), None)
 
+    def least(self, length: int) -> float:
+        """Likelihood that a credential of this length has, but for chance."""
+        return self.mean - ERRORS * self.spread / math.sqrt(length)
+
     def likelihood(self, value: str) -> float:
-        """Mean log probability per character, the end included."""
+        """Mean log probability per character; where it ends is left open, as formats are cut."""
         at, total = 0, 0.0
         for c in value:
             symbol = _SYMBOLS[c]
-            step = self.next[at].get(symbol) if at is not None else None
+            step = self.next[at].get(symbol)
             total -= math.log(_CLASSES[symbol][0] if symbol in _CLASSES else 1)
             if step is None:
                 total += math.log(_UNSEEN)
             else:
                 total += math.log(step[1] / self.count[at])
                 at = step[0]
-        ends = self.final[at] / self.count[at] if self.count[at] else 0
-        return (total + math.log(max(ends, _UNSEEN))) / (len(value) + 1)
+        return total / len(value)
 
 
 def word_likelihood(value: str) -> float:
@@ -165,7 +169,7 @@ def word_likelihood(value: str) -> float:
     for c in value:
         size, share = _CLASSES.get(_SYMBOLS[c], (1, _OTHER_SHARE))
         total += math.log(share / size)
-    return total / (len(value) + 1)
+    return total / len(value)
 
 
 def learned_spans(text: str | None, base: list[Span], automata: dict[str, Automaton]) -> list[Span]:
@@ -177,7 +181,7 @@ def learned_spans(text: str | None, base: list[Span], automata: dict[str, Automa
             continue
         ordinary = word_likelihood(run[0])
         scored = [(a.likelihood(run[0]), kind) for kind, a in automata.items()]
-        fitting = [(score, kind) for score, kind in scored if score >= automata[kind].least and score > ordinary]
+        fitting = [(score, kind) for score, kind in scored if score >= automata[kind].least(end - start) and score > ordinary]
         if fitting:
             found.append((f"like_{max(fitting)[1]}", start, end))
     return found

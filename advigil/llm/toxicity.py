@@ -64,7 +64,8 @@ class Reader:
         self.known: dict[str, list[int]] = {}
         self.used, self.most = used, most_words
 
-    def read(self, words: Counter) -> tuple[np.ndarray, np.ndarray]:
+    def read(self, words: Counter, total: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and values; ``total`` is the length that rates refer to, that of ``words`` by default."""
         if len(self.known) > self.most:
             self.known.clear()
         ids: list[int] = []
@@ -80,7 +81,7 @@ class Reader:
                 ids += found
                 counts += [n] * len(found)
         at, where = np.unique(np.array(ids, np.int64), return_inverse=True)
-        total = sum(words.values())
+        total = sum(words.values()) if total is None else total
         return at, np.log1p(100.0 * np.bincount(where, counts, len(at)) / (total + 20.0))
 
 
@@ -181,7 +182,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS, penal
             out = []
             for y, text in zip(batch["y"], batch["text"]):
                 words = words_of(text)
-                own, *others = [reader.read(w) for w in (words, *counterfactuals(words))]
+                # Rates of all other words stay as they are, also where terms are left out.
+                own, *others = [reader.read(w, sum(words.values())) for w in (words, *counterfactuals(words))]
                 pack = lambda f: (f[0].astype(np.int32).tobytes(), f[1].astype(np.float32).tobytes())
                 out.append((y, *pack(own), [dict(zip(("ids", "values"), pack(o))) for o in others]))
             yield pd.DataFrame(out, columns=["y", "ids", "values", "others"])

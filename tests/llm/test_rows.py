@@ -58,7 +58,7 @@ def test_swaps_lower_the_weight_of_a_mere_mention():
         labels += [1, 0, 0]
     reader = toxicity.Reader()
     rows = [reader.read(toxicity.words_of(t)) for t in texts]
-    pairs = [(k, *reader.read(c)) for k, t in enumerate(texts) for c in toxicity.counterfactuals(toxicity.words_of(t))]
+    pairs = [(k, *reader.read(c, len(t.split()))) for k, t in enumerate(texts) for c in toxicity.counterfactuals(toxicity.words_of(t))]
     score = lambda model, t: model.score(*reader.read(toxicity.words_of(t)))
     plain, fair = (toxicity.LinearModel(rows, labels, pairs, penalty=p) for p in (0.0, toxicity.PENALTY))
     neutral = "muslims bake bread"

@@ -128,7 +128,8 @@ def release_metadata(s: StarSchema) -> DataFrame:
 def import_enriched_signals(s: StarSchema) -> DataFrame:
     """Signals and their metrics imported together, twice; the metric table."""
     signals, metrics = scratch_path(s.spark, "import-signals"), scratch_path(s.spark, "import-metrics")
-    batch = s.signals.withColumn("_pos", F.monotonically_increasing_id())
+    lacking = {f.name: F.lit(None).cast(f.dataType) for f in SIGNAL_STORED.fields if f.name not in s.signals.columns}
+    batch = s.signals.withColumns(lacking).withColumn("_pos", F.monotonically_increasing_id())
     for n in (1, 2):
         jobs.import_signals(s.spark, batch, f"{signals}/{n - 1}", f"{signals}/{n}")
         imported = s.spark.read.parquet(f"{signals}/{n}")

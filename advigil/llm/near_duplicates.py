@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from advigil.llm.graph import components, stored
-from advigil.llm.words import SHINGLE_WORDS, by_document, mixed, shingles, with_fields
+from advigil.llm.words import SHINGLE_WORDS, mixed, shingles, with_fields
 
 THRESHOLD = 0.8
 TOLERANCE = 1e-6
@@ -78,39 +78,26 @@ def least_matches(threshold: float, tolerance: float, values: int = BANDS * ROWS
     return out
 
 
-def _class_of(column: str, words: int = SHINGLE_WORDS) -> Column:
-    def keys(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: class_key(shingles(t, words)))
+def _text_keys() -> list[Column]:
+    """128 bits of a text, made without Python, by which it is found again."""
+    return [F.xxhash64("text").alias("k1"), F.xxhash64("text", F.lit(1)).alias("k2")]
 
-    return F.pandas_udf(keys, "binary")(F.col(column))
 
+def keyed_documents(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
+    """(doc_id, k1, k2, class, bands) per document, stored; class and bands are null without words.
 
-def text_classes(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
-    """(doc_id, class) per document: the key of its shingle set, null without words."""
-
-    return docs.select("doc_id", _class_of("text", words).alias("class"))
-
+    This is the only step in which Python reads all texts.
+    """
 
-def _banded(docs: DataFrame, words: int) -> DataFrame:
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             sets = [shingles(t, words) for t in batch["text"]]
             bands = [band_keys(signature(s)).view(np.int64) if len(s) else None for s in sets]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "class": [class_key(s) for s in sets], "bands": bands})
+            yield batch.drop(columns="text").assign(**{"class": [class_key(s) for s in sets], "bands": bands})
 
-    return by_document(docs, rows, "class binary, bands array<bigint>")
-
-
-def _texts(docs: DataFrame, words: int) -> DataFrame:
-    """(class, text), copies within a batch once: a hot class ships few texts."""
-
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            keys = pd.Series([class_key(shingles(t, words)) for t in batch["text"]], dtype=object)
-            keep = keys.notna() & ~keys.duplicated()
-            yield pd.DataFrame({"class": keys[keep], "text": batch["text"][keep]})
-
-    return docs.select("text").mapInPandas(rows, "class binary, text string")
+    given = docs.select(F.col("doc_id").cast("string"), *_text_keys(), "text")
+    made = given.mapInPandas(rows, "doc_id string, k1 bigint, k2 bigint, class binary, bands array<bigint>")
+    return stored(made.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType)), "keyed")
 
 
 def _members(classes: DataFrame) -> DataFrame:
@@ -243,18 +230,27 @@ def _links(batches: Iterator[pd.DataFrame], threshold: float, least: list[int])
     yield pd.DataFrame(rows).astype({"links": "int64"})
 
 
-def linked_classes(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, words: int = SHINGLE_WORDS) -> DataFrame:
-    """(class, class_id, n_docs, n_links, group) per text class.
+def linked_classes(
+    docs: DataFrame, keyed: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, words: int = SHINGLE_WORDS
+) -> DataFrame:
+    """(class, class_id, n_docs, n_links, group) per text class of ``keyed_documents``.
 
     ``class_id`` is the least doc_id of the class, ``n_links`` the number of other classes with
     a similarity of at least ``threshold``, ``group`` the class key that its connected group shares.
     """
-    banded = stored(_banded(docs, words).where("class IS NOT NULL"), "banded")
-    classes = banded.groupBy("class").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("n_docs"), F.first("bands").alias("bands"))
+    own_key = F.min(F.struct("k1", "k2")).alias("key")
+    classes = (
+        keyed.where("class IS NOT NULL")
+        .groupBy("class")
+        .agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("n_docs"), F.first("bands").alias("bands"), own_key)
+    )
     members = stored(_members(classes), "members")
     # A class has one bucket per band at most.
     lists = members.groupBy("class").agg(F.collect_list(F.struct("band", "bucket", "tiles")).alias("found"))
-    with_text = _texts(docs, words).join(lists, "class").groupBy("class").agg(F.min("text").alias("text"), F.first("found").alias("found"))
+    # One text stands for a class; its copies are dropped before they are shuffled a second time.
+    wanted = lists.join(classes.select("class", "key.k1", "key.k2"), "class").drop("found")
+    texts = docs.select(*_text_keys(), "text").join(wanted, ["k1", "k2"]).groupBy("class").agg(F.first("text").alias("text"))
+    with_text = texts.join(lists, "class")
     schema = with_fields(with_text, ["class", "found"], "buckets binary, signature binary, shingles binary")
     tiles = (
         with_text.mapInPandas(lambda b: _payload(b, words), schema)
@@ -290,11 +286,12 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, tolerance: fl
     repeated rows: the first have no class or links and a group size of 1, the others are copies.
     Null ids count as documents but never name a group.
     """
-    linked = stored(linked_classes(docs, threshold, tolerance), "classes")
+    keyed = keyed_documents(docs)
+    linked = stored(linked_classes(docs, keyed, threshold, tolerance), "classes")
     groups = linked.groupBy("group").agg(F.min("class_id").alias("class_id"), F.sum("n_docs").alias("group_size"))
     found = linked.select("class", "n_links", "group").join(groups, "group").drop("group")
     return (
-        text_classes(docs)
+        keyed.select("doc_id", "class")
         .join(found, "class", "left")
         .select(
             "doc_id",
@@ -311,12 +308,19 @@ def without_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, toler
     Of the rows of the least doc_id of a group the one with the least text hash stays, of equal
     rows one. Documents without words stay. All columns are kept as they are.
     """
-    linked = stored(linked_classes(docs, threshold, tolerance), "classes")
-    alone = Window.partitionBy("__group").orderBy(F.col("doc_id").asc_nulls_last(), F.xxhash64("text"))
-    keyed = docs.withColumn("__class", _class_of("text"))
-    grouped = linked.groupBy("group").agg(F.min("class_id").alias("__least")).join(linked, "group")
-    chosen = grouped.select(F.col("class").alias("__class"), F.col("group").alias("__group"), "__least")
-    rows = keyed.join(chosen, "__class", "left")
+    keyed = keyed_documents(docs)
+    linked = stored(linked_classes(docs, keyed, threshold, tolerance), "classes")
+    grouped = linked.groupBy("group").agg(F.min("class_id").alias("least")).join(linked, "group")
+    texts = keyed.where("class IS NOT NULL").select("k1", "k2", "class").distinct()
+    chosen = stored(
+        texts.join(grouped, "class").select(
+            F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), F.col("group").alias("__group"), F.col("least").alias("__least")
+        ),
+        "chosen",
+    )
+    own = dict(zip(("__t1", "__t2"), _text_keys()))
+    rows = docs.withColumns(own).join(chosen, (F.col("__t1") == F.col("__k1")) & (F.col("__t2") == F.col("__k2")), "left")
+    alone = Window.partitionBy("__group").orderBy(F.col("doc_id").asc_nulls_last(), "__t1", "__t2")
     # Only rows of the chosen id meet in the window; each group ships one row per task.
     first = rows.where("__group IS NOT NULL AND doc_id <=> __least").withColumn("__n", F.row_number().over(alone)).where("__n = 1")
     return first.select(*docs.columns).union(rows.where("__group IS NULL").select(*docs.columns))

@@ -157,6 +157,15 @@ def test_many_hubs_end_with_all_lines_compared(spark, monkeypatch):
     assert Counter(Counter(r["root"] for r in found.collect()).values()) == {4: 5}
 
 
+def test_chains_within_a_bucket_are_whole(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "_buckets", lambda: line_dedup.F.array(line_dedup.F.lit(1)))
+    # Neighbours differ in 3 of 30 words, lines two apart in 6, three apart in 9: too many.
+    lines = [" ".join(f"s1c{chain}{'y' if k < 3 * v else 'x'}{k}" for k in range(30)) for chain in range(3) for v in range(9)]
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id bigint, text string")
+    found = line_dedup.similar_lines(line_dedup.stored(line_dedup.distinct_lines(docs), "t"), similarity=0.85, distance=63)
+    assert Counter(Counter(r["root"] for r in found.collect()).values()) == {9: 3}
+
+
 def test_lines_of_edge_tables(spark):
     report = {(r["doc_id"], r["n_lines"], r["n_dropped"]) for r in line_dedup.line_report(edge_docs(spark)).collect()}
     assert {(1, 1, 0), (2, 1, 1), (4, 1, 0), (5, 0, 0), (8, 1, 1), (9, 3, 0), (50, 2, 0)} <= report

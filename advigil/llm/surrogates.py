@@ -160,8 +160,9 @@ def _cased(new: str, like: str) -> str:
 
 
 def _names(text: str) -> Iterator[Entity]:
-    """Given and family names after a title or a known given name, and later family names alone."""
-    families: set[str] = set()
+    """Given and family names after a title or a known given name, and later mentions of either alone."""
+    alone: dict[str, str] = {}
+    whole: set[int] = set()
     for m in _CAPITALS.finditer(text):
         words, at = [], m.start()
         for word in m[0].split(" "):
@@ -177,13 +178,16 @@ def _names(text: str) -> Iterator[Entity]:
         first = 1 if known or len(parts) > 1 else 0
         for k, (i, w) in enumerate(parts[: first + 1]):
             if w:
-                yield i, i + len(w), "given" if k < first else "family", w
-                if k >= first:
-                    families.add(w)
-    for family in families:
-        if len(family) > 2:
-            for m in re.finditer(rf"\b{re.escape(family)}\b", text):
-                yield m.start(), m.end(), "family", family
+                kind = "given" if k < first else "family"
+                yield i, i + len(w), kind, w
+                whole.update(range(i, i + len(w)))
+                # A word that is both is a given name where it stands alone; one letter alone is a word or a label.
+                if len(w) > 1 and alone.get(w) != "given":
+                    alone[w] = kind
+    for name, kind in alone.items():
+        for m in re.finditer(rf"(?<!\w){re.escape(name)}(?!\w)", text):
+            if m.start() not in whole:
+                yield m.start(), m.end(), kind, name
 
 
 def entities(text: str | None) -> list[Entity]:

@@ -141,6 +141,17 @@ def test_collision_check_moves_on_to_a_clear_salt(spark):
     assert surrogates.collisions(clash, "key", surrogates.clear_salt(clash, "key")).count() == 0
 
 
+def test_later_given_and_short_family_names_are_replaced():
+    text = "Maria Garcia signed. Maria said that Dr. Wei Li came; Li left, and Maria-Li too. Mr. Paul James met James Wu. Lime, Mariana."
+    new, found = surrogates.replaced(text, "k")
+    assert Counter((k, v) for _, _, k, v in found) == {
+        ("given", "Maria"): 3, ("family", "Garcia"): 1, ("given", "Wei"): 1, ("family", "Li"): 3,
+        ("given", "Paul"): 1, ("family", "James"): 1, ("given", "James"): 1, ("family", "Wu"): 1,
+    }
+    first, later = re.match(r"(\w+) \w+ signed\. (\w+) said", new).groups()
+    assert first == later != "Maria" and not re.search(r"\b(Maria|Li)\b", new) and new.endswith("Lime, Mariana.")
+
+
 def test_surrogates_of_edge_tables(spark):
     rows = surrogates.with_surrogates(edge_docs(spark), "k").collect()
     assert Counter((r["doc_id"], r["text"]) for r in rows) == Counter((r[0], r[1]) for r in edge_rows())

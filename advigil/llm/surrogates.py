@@ -6,13 +6,14 @@ Feistel network over the digits and letters that may change), so that equal valu
 surrogates everywhere and different values different ones. Known given names are exchanged
 within their gender and script; other names keep their pattern of vowels and consonants. A check
 over all distinct values of the table finds surrogates that two values share or that
-repeat their value; the whole table then moves on to the next salt of the key.
+repeat their value; only these values get another salt or a longer form, until none is left.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
@@ -24,6 +25,8 @@ from advigil.llm.words import by_document
 
 ROUNDS = 8
 MOST_SALTS = 32
+# Salts that a value tries in its own form before it gets a longer one.
+OWN_SALTS = 4
 # Given names by (gender, script).
 GIVEN_NAMES = {
     ("f", "latin"): "alice anna barbara carmen clara elena emma ines julia laura lucia maria marie mary nina olivia paula petra rosa sarah sofia".split(),
@@ -41,6 +44,21 @@ TITLES = {
 }
 # Letters that stand in for each other, by script.
 _ALPHABETS = ("aeiou", "bcdfghjklmnpqrstvwxyz", "аеиоуыэюя", "бвгджзклмнпрстфхцчшщ", "αεηιουω", "βγδζθκλμνξπρστφχψ", "0123456789")
+
+
+def _marked_letters() -> tuple[str, ...]:
+    """Further lower-case letters with one upper case, as alphabets by script: vowels and others apart."""
+    known = set("".join(_ALPHABETS))
+    out: dict[str, list[str]] = {"latin vowels": [], "latin": [], "greek": [], "cyrillic": []}
+    for c in map(chr, (*range(0xDF, 0x180), *range(0x3AC, 0x3CF), *range(0x430, 0x460))):
+        if c not in known and c.islower() and len(c.upper()) == 1 and c.upper().lower() == c:
+            script = unicodedata.name(c).split(" ")[0].lower()
+            vowel = unicodedata.normalize("NFD", c)[0] in "aeiou" or c in "æœø"
+            out["latin vowels" if script == "latin" and vowel else script].append(c)
+    return tuple("".join(letters) for letters in out.values())
+
+
+_ALPHABETS += _marked_letters()
 _PLACE = {c: (alphabet, i) for alphabet in _ALPHABETS for i, c in enumerate(alphabet)}
 _GIVEN = {name: kind for kind, names in GIVEN_NAMES.items() for name in names}
 
@@ -134,7 +152,8 @@ def _given(value: str, key: str) -> str:
     kind = _GIVEN.get(value)
     if kind is None:
         # The last letter often tells the gender.
-        return _exchanged(value[:-1], key) + value[-1:]
+        fixed = value[-1:] if any(c in _PLACE for c in value[:-1]) else ""
+        return _exchanged(value[: len(value) - len(fixed)], key) + fixed
     names = GIVEN_NAMES[kind]
     turn = sorted(names, key=lambda n: hashlib.blake2b(f"{key}|{n}".encode()).digest())
     return turn[(turn.index(value) + 1) % len(turn)]
@@ -152,6 +171,22 @@ def surrogate(kind: str, value: str, key: str, salt: int = 0) -> str:
     return new
 
 
+def _longer(kind: str, value: str, key: str) -> str:
+    """A value of the kind from a larger form: more letters before a name or an address, octets of three digits."""
+    if kind == "ip":
+        return ".".join(str(100 + _number(f"{key}|{value}|{i}", 156)) for i in range(4))
+    if kind not in ("given", "family", "email"):
+        return _FORMS[kind](value, key)
+    script = next((a for a in (2, 4) if any(c in _ALPHABETS[a] + _ALPHABETS[a + 1] for c in value)), 0)
+    letters = (_ALPHABETS[script + 1 - i % 2] for i in range(6))
+    return "".join(a[_number(f"{key}|{value}|{i}", len(a))] for i, a in enumerate(letters)) + (_FORMS[kind](value, key) if any(c in _PLACE for c in value) else "")
+
+
+def fixed_surrogate(kind: str, value: str, key: str, step: int) -> str:
+    """What a value gets at a step of its own: other salts of its form, then longer forms."""
+    return surrogate(kind, value, key, step) if step <= OWN_SALTS else _longer(kind, value, f"{key}|{kind}|{step}")
+
+
 def _cased(new: str, like: str) -> str:
     """``new`` in the upper and lower case of ``like``."""
     if len(new) == len(like):
@@ -210,13 +245,15 @@ def entities(text: str | None) -> list[Entity]:
     return sorted(kept)
 
 
-def replaced(text: str | None, key: str, salt: int = 0) -> tuple[str | None, list[Entity]]:
-    found = entities(text)
+def replaced(text: str | None, key: str, salt: int = 0, fixed: dict[tuple[str, str], str] | None = None) -> tuple[str | None, list[Entity]]:
+    """``text`` with surrogates and its entities; ``fixed`` has the surrogates of values that have one of their own."""
+    found, fixed = entities(text), fixed or {}
     if not found:
         return text, found
     out, at = [], 0
     for start, end, kind, value in found:
-        out += [text[at:start], _cased(surrogate(kind, value.lower(), key, salt), value)]
+        new = fixed.get((kind, value.lower())) or surrogate(kind, value.lower(), key, salt)
+        out += [text[at:start], _cased(new, value)]
         at = end
     return "".join([*out, text[at:]]), found
 
@@ -252,17 +289,48 @@ def clear_salt(values: DataFrame, key: str) -> int:
     raise ValueError("no salt keeps all surrogates apart: give another key")
 
 
+def own_surrogates(values: DataFrame, key: str) -> dict[tuple[str, str], str]:
+    """Surrogates of the values whose first one repeats the value or is shared with another one.
+
+    Of values that share one the least keeps it. The others try step after step of their own against
+    all that is taken. They are few: about one in a form whose values all occur.
+    """
+
+    def made(some: DataFrame, step: int) -> DataFrame:
+        def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                yield batch.assign(new=[fixed_surrogate(k, v, key, step) for k, v in zip(batch["kind"], batch["value"])])
+
+        return some.select("kind", "value").mapInPandas(rows, "kind string, value string, new string")
+
+    def holders(tried: DataFrame) -> DataFrame:
+        """The values that may keep what they tried."""
+        return tried.where("value <> new").groupBy("kind", "new").agg(F.min("value").alias("value")).select("kind", "value", "new")
+
+    tried = stored(made(values, 0), "pii-tried")
+    taken, fixed, step = stored(holders(tried), "pii-taken"), {}, 0
+    pending = stored(tried.join(taken, ["kind", "value"], "left_anti"), "pii-pending")
+    while not pending.isEmpty():
+        step += 1
+        tried = stored(made(pending, step), "pii-tried")
+        won = stored(holders(tried.join(taken, ["kind", "new"], "left_anti")), "pii-won")
+        fixed |= {(r["kind"], r["value"]): r["new"] for r in won.collect()}
+        taken = taken.union(won)
+        pending = stored(pending.join(won, ["kind", "value"], "left_anti"), "pii-pending")
+    return fixed
+
+
 def with_surrogates(docs: DataFrame, key: str) -> DataFrame:
     """One row per document: doc_id, text with surrogates, n_entities, entities (kind:start:end, comma-joined).
 
     Positions are code points of the given text. Null texts stay null, empty ones empty; equal
     values have equal surrogates in all rows, so that repeated rows stay equal.
     """
-    salt = clear_salt(stored(distinct_values(docs), "pii-values"), key)
+    fixed = own_surrogates(stored(distinct_values(docs), "pii-values"), key)
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            made = [replaced(t, key, salt) for t in batch["text"]]
+            made = [replaced(t, key, fixed=fixed) for t in batch["text"]]
             yield pd.DataFrame(
                 {
                     "doc_id": batch["doc_id"],

@@ -152,6 +152,16 @@ def test_later_given_and_short_family_names_are_replaced():
     assert first == later != "Maria" and not re.search(r"\b(Maria|Li)\b", new) and new.endswith("Lime, Mariana.")
 
 
+def test_single_letters_and_full_forms_have_surrogates_of_their_own(spark):
+    names = [a + b for a in "bcdfghjklmnpqrstvwxyz" for b in "aeiou"]
+    texts = ["Dr A Brown and Mr J Smith", "Mr É and Dr Él Ö", *(f"Mr {n.title()}" for n in names)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    rows = {r["doc_id"]: r for r in surrogates.with_surrogates(docs, "key").collect()}
+    assert len({rows[i + 2]["text"] for i in range(len(names))}) == len(names)
+    assert all(rows[i + 2]["text"] != f"Mr {n.title()}" for i, n in enumerate(names))
+    assert not {"A", "J", "Brown", "Smith", "É", "Él", "Ö"} & set(re.findall(r"\w+", rows[0]["text"] + " " + rows[1]["text"]))
+
+
 def test_surrogates_of_edge_tables(spark):
     rows = surrogates.with_surrogates(edge_docs(spark), "k").collect()
     assert Counter((r["doc_id"], r["text"]) for r in rows) == Counter((r[0], r[1]) for r in edge_rows())

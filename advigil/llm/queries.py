@@ -47,7 +47,7 @@ def op4_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    return line_dedup.line_report(_table(spark, folder, "documents"))
+    return line_dedup.line_report(_table(spark, folder, "documents"), distance=None)
 
 
 def op6_decontamination(spark: SparkSession, folder: str) -> DataFrame:

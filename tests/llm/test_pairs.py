@@ -8,6 +8,7 @@ import pytest
 
 from advigil.llm import contamination, line_dedup, near_duplicates
 from advigil.llm.graph import components
+from advigil.llm.queries import op5_line_dedup
 from advigil.llm.words import shingles, word_hashes
 from edge_tables import BODY, EXTRA, edge_docs, edge_rows, no_docs
 
@@ -157,6 +158,28 @@ def test_many_hubs_end_with_all_lines_compared(spark, monkeypatch):
     assert Counter(Counter(r["root"] for r in found.collect()).values()) == {4: 5}
 
 
+def test_recall_of_lines_by_edit_similarity_alone(spark, folder, monkeypatch):
+    monkeypatch.setattr(line_dedup, "COMMON", 3)
+    rng = random.Random(11)
+    lines = []
+    for n in (5, 9, 14, 14, 32, 32, 64):
+        for _ in range(4):
+            base = [rng.choice(["the", "of", f"w{rng.randrange(3000)}"]) for _ in range(n)]
+            changed = list(base)
+            for k in rng.sample(range(n), n // 5):
+                changed[k] = f"longer{rng.randrange(10**6)}"
+            lines += [" ".join(base), " ".join(changed)]
+    spark.createDataFrame(list(enumerate(lines)), "doc_id bigint, text string").write.parquet(f"{folder}/documents.parquet")
+    same = lambda a, b: edit(a.split(), b.split()) <= max(len(a.split()), len(b.split())) // 5 or edit(a, b) <= 0.2 * max(len(a), len(b))
+    top = groups_of(range(len(lines)), [(b, a) for a in range(len(lines)) for b in range(a + 1, len(lines)) if same(lines[a], lines[b])])
+    first = {}
+    for i in range(len(lines)):
+        first.setdefault(top[i], i)
+    expected = {i: int(first[top[i]] != i) for i in range(len(lines))}
+    assert sum(expected.values()) >= 28
+    assert {r["doc_id"]: r["n_dropped"] for r in op5_line_dedup(spark, folder).collect()} == expected
+
+
 def test_chains_within_a_bucket_are_whole(spark, monkeypatch):
     monkeypatch.setattr(line_dedup, "_buckets", lambda: line_dedup.F.array(line_dedup.F.lit(1)))
     # Neighbours differ in 3 of 30 words, lines two apart in 6, three apart in 9: too many.

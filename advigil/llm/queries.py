@@ -14,10 +14,12 @@ from advigil.llm import (
     near_duplicates,
     quality,
     secret_scan,
+    source_divergence,
     surrogates,
     toxicity,
     warc_derivatives,
 )
+from advigil.llm.statements import OP13_SOURCE_DIVERGENCE
 from advigil.session import prepare
 
 # The key of a query has to be fixed for its result to be; a real one is a secret of the caller.
@@ -70,6 +72,10 @@ def op10_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return secret_scan.secrets(_table(spark, folder, "documents"))
 
 
+def op13_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return source_divergence.divergence(_table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_warc_derivatives": op1_warc_derivatives,
     "op2_mixing": op2_mixing,
@@ -81,6 +87,7 @@ QUERIES: dict[str, Query] = {
     "op8_bm25": op8_bm25,
     "op9_quality": op9_quality,
     "op10_secrets": op10_secrets,
+    "op13_source_divergence": op13_source_divergence,
 }
 
 SQL: dict[str, str] = {
@@ -137,4 +144,5 @@ SQL: dict[str, str] = {
         SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
         FROM scored QUALIFY rank <= 10
     """,
+    "op13_source_divergence": OP13_SOURCE_DIVERGENCE,
 }

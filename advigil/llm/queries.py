@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from advigil.llm import (
     bm25_search,
     contamination,
+    conversation_repair,
     line_dedup,
     mixing,
     near_duplicates,
@@ -19,7 +20,7 @@ from advigil.llm import (
     toxicity,
     warc_derivatives,
 )
-from advigil.llm.statements import OP13_SOURCE_DIVERGENCE
+from advigil.llm.statements import OP11_CONVERSATION_REPAIR, OP13_SOURCE_DIVERGENCE
 from advigil.session import prepare
 
 # The key of a query has to be fixed for its result to be; a real one is a secret of the caller.
@@ -72,6 +73,10 @@ def op10_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return secret_scan.secrets(_table(spark, folder, "documents"))
 
 
+def op11_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return conversation_repair.repaired_conversations(_table(spark, folder, "conversations"))
+
+
 def op13_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
     return source_divergence.divergence(_table(spark, folder, "documents"))
 
@@ -87,6 +92,7 @@ QUERIES: dict[str, Query] = {
     "op8_bm25": op8_bm25,
     "op9_quality": op9_quality,
     "op10_secrets": op10_secrets,
+    "op11_conversation_repair": op11_conversation_repair,
     "op13_source_divergence": op13_source_divergence,
 }
 
@@ -144,5 +150,6 @@ SQL: dict[str, str] = {
         SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
         FROM scored QUALIFY rank <= 10
     """,
+    "op11_conversation_repair": OP11_CONVERSATION_REPAIR,
     "op13_source_divergence": OP13_SOURCE_DIVERGENCE,
 }

@@ -13,6 +13,7 @@ from advigil.llm import (
     line_dedup,
     mixing,
     near_duplicates,
+    posting_lists,
     quality,
     secret_scan,
     source_divergence,
@@ -77,6 +78,10 @@ def op11_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
     return conversation_repair.repaired_conversations(_table(spark, folder, "conversations"))
 
 
+def op12_posting_lists(spark: SparkSession, folder: str) -> DataFrame:
+    return posting_lists.nearest_vectors(_table(spark, folder, "embeddings"))
+
+
 def op13_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
     return source_divergence.divergence(_table(spark, folder, "documents"))
 
@@ -93,6 +98,7 @@ QUERIES: dict[str, Query] = {
     "op9_quality": op9_quality,
     "op10_secrets": op10_secrets,
     "op11_conversation_repair": op11_conversation_repair,
+    "op12_posting_lists": op12_posting_lists,
     "op13_source_divergence": op13_source_divergence,
 }
 

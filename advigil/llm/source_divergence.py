@@ -4,13 +4,14 @@ Terms are runs of ASCII letters and of characters beyond ASCII; only A-Z are low
 language keeps the terms that occur in at least ``least`` of its documents. They are found by
 iceberg prefix refinement over bytes:
 
-1. At a level of L bytes every document counts once for each term of at most L bytes and once
-   for each prefix of L bytes of its longer terms. Counts are combined in the task, then by key.
+1. At a level of L bytes every document counts once for each term of fewer than L bytes and once
+   for each prefix of L bytes of its other terms. Counts are combined in the task, then by key.
 2. Prefixes in fewer than ``least`` documents are discarded; no term that starts with one can
    be kept. The prefixes that stay go to the tasks as a bitmap of bounded size. Two prefixes that
    share a bit only let one more prefix through, whose own count discards it a level later.
 3. Texts are cut to the terms that go on, L doubles, and the next level starts, until no prefix
-   stays. A term is complete at the first level that is no shorter than it; its count is exact.
+   stays. A term is complete at the first level beyond its length; its count is exact.
+4. Uses of the kept terms are counted by source, packed by term.
 
 Nulls in text, lang and source are ``''``. Every row is a document, repeated rows and ids as well.
 Empty texts have no terms, but their (lang, source) counts as a group. Very long texts and terms
@@ -23,6 +24,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -32,17 +34,16 @@ from pyspark.sql import functions as F
 from advigil.llm.graph import stored
 
 LEAST_DOCUMENTS = 10
-FIRST_LEVEL = 4
+FIRST_LEVEL = 6
 TOP_TERMS = 10
-# Counts of a task are handed on when so many are held.
-HELD = 400_000
+# Counts of a task are handed on when so many are held: items of a language, terms of all sources.
+HELD, HELD_USES = 400_000, 800_000
 # The bitmap of prefixes that stay: sixteen bits each, within these bounds (8 MB at most).
 LEAST_BITS, MOST_BITS = 1 << 16, 1 << 26
 _BATCH = 50_000
 
 # Letters as they are or lower-cased, bytes beyond ASCII as they are, all else apart.
 _TERM_BYTES = bytes(b | 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
-_COUNTS = "lang binary, source binary, item binary, whole boolean, docs bigint, uses bigint"
 
 
 def terms_of(text: bytes | None) -> list[bytes]:
@@ -75,85 +76,91 @@ def bitmap(prefixes: DataFrame) -> Bitmap:
     return Bitmap(words["word"].to_numpy(np.int64), words["value"].to_numpy(np.int64), bits)
 
 
-def _fields(batch: pa.RecordBatch) -> Iterator[tuple[bytes, bytes, bytes]]:
-    return zip(*(batch.column(name).to_pylist() for name in ("lang", "source", "text")), strict=True)
+class _Known(dict):
+    """Prefixes of one language that a task has looked up."""
+
+    def __init__(self, lang: bytes, stays: Bitmap):
+        self.lang, self.stays = lang, stays
+
+    def __missing__(self, prefix: bytes) -> bool:
+        if len(self) >= HELD:
+            self.clear()
+        known = self[prefix] = self.stays(self.lang, prefix)
+        return known
 
 
 def _cut(batches: Iterator[pa.RecordBatch], level: int, stays: Bitmap) -> Iterator[pa.RecordBatch]:
-    """Texts of the terms beyond ``level`` whose prefix stays; texts without any go."""
-    known: dict[bytes, dict[bytes, bool]] = {}
+    """Texts of the distinct terms of ``level`` bytes and more whose prefix stays; texts without any go."""
+    known: dict[bytes, _Known] = {}
     for batch in batches:
-        out = ([], [], [])
-        for lang, source, text in _fields(batch):
-            seen = known.setdefault(lang, {})
-            if len(seen) > HELD:
-                seen.clear()
-            left = []
-            for term in terms_of(text):
-                if len(term) > level:
-                    prefix = term[:level]
-                    keep = seen.get(prefix)
-                    if keep is None:
-                        keep = seen[prefix] = stays(lang, prefix)
-                    if keep:
-                        left.append(term)
+        langs, texts = [], []
+        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            if lang not in known:
+                known[lang] = _Known(lang, stays)
+            alive = known[lang]
+            left = [t for t in set(terms_of(text)) if len(t) >= level and alive[t[:level]]]
             if left:
-                for column, value in zip(out, (lang, source, b" ".join(left)), strict=True):
-                    column.append(value)
-        yield pa.record_batch([pa.array(c, pa.binary()) for c in out], ["lang", "source", "text"])
-
-
-class _Counts:
-    """Documents and uses of items by (lang, source, whole); a prefix has no source."""
-
-    def __init__(self):
-        self.docs: dict[tuple, Counter] = {}
-        self.uses: dict[tuple, Counter] = {}
-
-    def add(self, lang: bytes, source: bytes, terms: list[bytes], level: int) -> None:
-        uses = Counter(terms)
-        whole = [t for t in uses if len(t) <= level]
-        prefixes = {t[:level] for t in uses if len(t) > level}
-        if whole:
-            self.docs.setdefault((lang, source), Counter()).update(whole)
-            total = self.uses.setdefault((lang, source), Counter())
-            for term in whole:
-                total[term] += uses[term]
-        if prefixes:
-            self.docs.setdefault((lang, None), Counter()).update(prefixes)
-
-    def held(self) -> int:
-        return sum(map(len, self.docs.values()))
-
-    def batches(self) -> Iterator[pa.RecordBatch]:
-        for (lang, source), docs in self.docs.items():
-            items = list(docs)
-            for at in range(0, len(items), _BATCH):
-                part = items[at : at + _BATCH]
-                uses = self.uses.get((lang, source), {})
-                yield pa.record_batch(
-                    [
-                        pa.array([lang] * len(part), pa.binary()),
-                        pa.array([source] * len(part), pa.binary()),
-                        pa.array(part, pa.binary()),
-                        pa.array([source is not None] * len(part), pa.bool_()),
-                        pa.array([docs[i] for i in part], pa.int64()),
-                        pa.array([uses.get(i, 0) for i in part], pa.int64()),
-                    ],
-                    ["lang", "source", "item", "whole", "docs", "uses"],
-                )
+                langs.append(lang)
+                texts.append(b" ".join(left))
+        yield pa.record_batch([pa.array(langs, pa.binary()), pa.array(texts, pa.binary())], ["lang", "text"])
+
+
+def _rows(counts: dict[bytes, Counter]) -> Iterator[pa.RecordBatch]:
+    for lang, docs in counts.items():
+        items = list(docs)
+        for at in range(0, len(items), _BATCH):
+            part = items[at : at + _BATCH]
+            columns = [pa.array([lang] * len(part), pa.binary()), pa.array(part, pa.binary()), pa.array([docs[i] for i in part], pa.int64())]
+            yield pa.record_batch(columns, ["lang", "item", "docs"])
 
 
 def _count(batches: Iterator[pa.RecordBatch], level: int) -> Iterator[pa.RecordBatch]:
-    counts = _Counts()
+    """Documents of each item: a term of fewer than ``level`` bytes, or the prefix of a longer one."""
+    counts: dict[bytes, Counter] = {}
+    start = itemgetter(slice(level))
+    for batch in batches:
+        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            if lang not in counts:
+                counts[lang] = Counter()
+            counts[lang].update(set(map(start, terms_of(text))))
+            # A text of n bytes adds fewer than n items.
+            if len(counts[lang]) > HELD:
+                yield from _rows({lang: counts.pop(lang)})
+    yield from _rows(counts)
+
+
+def _packed(lang: bytes, uses: dict[bytes, Counter], kept: Bitmap) -> Iterator[pa.RecordBatch]:
+    """A row per term with the sources that use it."""
+    terms: dict[bytes, list] = {}
+    for source, counter in uses.items():
+        for item, n in counter.items():
+            terms.setdefault(item, []).append((source, n))
+    items = [t for t in terms if kept(lang, t)]
+    for at in range(0, len(items), _BATCH):
+        part = items[at : at + _BATCH]
+        ends = np.cumsum([0, *(len(terms[t]) for t in part)])
+        flat = [pair for t in part for pair in terms[t]]
+        sources = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array([s for s, _ in flat], pa.binary()))
+        numbers = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array([n for _, n in flat], pa.int64()))
+        yield pa.record_batch([pa.array([lang] * len(part), pa.binary()), pa.array(part, pa.binary()), sources, numbers], ["lang", "item", "sources", "uses"])
+
+
+def _uses(batches: Iterator[pa.RecordBatch], kept: Bitmap) -> Iterator[pa.RecordBatch]:
+    """Uses of the kept terms by language and source, combined in the task."""
+    held: dict[bytes, dict[bytes, Counter]] = {}
+    size = 0
     for batch in batches:
-        for lang, source, text in _fields(batch):
-            counts.add(lang, source, terms_of(text), level)
-            # An own text of n bytes has fewer than n items, so what is held stays bounded by one text.
-            if counts.held() > HELD:
-                yield from counts.batches()
-                counts = _Counts()
-    yield from counts.batches()
+        for lang, source, text in zip(*(batch.column(c).to_pylist() for c in ("lang", "source", "text")), strict=True):
+            uses = held.setdefault(lang, {}).setdefault(source, Counter())
+            size -= len(uses)
+            uses.update(terms_of(text))
+            size += len(uses)
+            if size > HELD_USES:
+                lang = max(held, key=lambda k: sum(map(len, held[k].values())))
+                size -= sum(map(len, held[lang].values()))
+                yield from _packed(lang, held.pop(lang), kept)
+    for lang in list(held):
+        yield from _packed(lang, held.pop(lang), kept)
 
 
 def read_texts(docs: DataFrame) -> DataFrame:
@@ -161,23 +168,32 @@ def read_texts(docs: DataFrame) -> DataFrame:
     return docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).cast("binary").alias(c) for c in ("lang", "source", "text")])
 
 
-def term_counts(docs: DataFrame, least: int = LEAST_DOCUMENTS, first: int = FIRST_LEVEL) -> DataFrame:
-    """(lang, source, item, uses, all_uses) of the kept terms where a source uses them, stored."""
-    texts, level, complete = read_texts(docs), first, None
+def kept_terms(docs: DataFrame, least: int = LEAST_DOCUMENTS, first: int = FIRST_LEVEL) -> DataFrame:
+    """(lang, item) of the terms in at least ``least`` documents of their language, stored."""
+    texts, level, complete = read_texts(docs).select("lang", "text"), first, None
     while True:
-        found = stored(texts.mapInArrow(lambda batches, n=level: _count(batches, n), _COUNTS), f"prefixes-{level}")
-        wholes = found.where("whole").drop("whole")
-        complete = wholes if complete is None else complete.unionByName(wholes)
-        prefixes = found.where("NOT whole").groupBy("lang", "item").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= least)
-        prefixes = stored(prefixes.select("lang", "item"), f"stay-{level}")
+        counted = texts.mapInArrow(lambda batches, n=level: _count(batches, n), "lang binary, item binary, docs bigint")
+        often = counted.groupBy("lang", "item").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= least)
+        often = stored(often.select("lang", "item"), f"items-{level}")
+        whole = often.where(F.length("item") < level)
+        complete = whole if complete is None else complete.unionByName(whole)
+        prefixes = often.where(F.length("item") == level)
         if prefixes.isEmpty():
-            break
+            return complete
         stays = bitmap(prefixes)
         cut = texts.mapInArrow(lambda batches, n=level, s=stays: _cut(batches, n, s), texts.schema)
         texts, level = stored(cut, f"texts-{level}"), 2 * level
-    used = complete.groupBy("lang", "source", "item").agg(F.sum("docs").alias("docs"), F.sum("uses").alias("uses"))
-    kept = used.groupBy("lang", "item").agg(F.sum("docs").alias("docs"), F.sum("uses").alias("all_uses")).where(F.col("docs") >= least)
-    return stored(used.drop("docs").join(kept.drop("docs"), ["lang", "item"]), "term-counts")
+
+
+def term_counts(docs: DataFrame, least: int = LEAST_DOCUMENTS, first: int = FIRST_LEVEL) -> DataFrame:
+    """(lang, source, item, uses, all_uses) of the kept terms where a source uses them, stored."""
+    kept = kept_terms(docs, least, first)
+    stays = bitmap(kept)
+    packed = read_texts(docs).mapInArrow(lambda batches: _uses(batches, stays), "lang binary, item binary, sources array<binary>, uses array<bigint>")
+    # The join drops what only shares a bit; what follows keeps its partitioning by term.
+    pairs = packed.join(kept, ["lang", "item"]).select("lang", "item", F.explode(F.arrays_zip("sources", "uses")).alias("it"))
+    used = pairs.groupBy("lang", "item", F.col("it.sources").alias("source")).agg(F.sum("it.uses").alias("uses"))
+    return stored(used.withColumn("all_uses", F.sum("uses").over(Window.partitionBy("lang", "item"))), "uses")
 
 
 def _share(uses: Column | str, total: str, terms: str) -> Column:

@@ -37,15 +37,7 @@ from advigil.sinks.runs import (
     reconciliation,
     run_manifest,
 )
-from advigil.sources.faers import (
-    has_multiline_cells,
-    load_stats,
-    load_stats_of_lines,
-    path_exists,
-    read_table_rows,
-    scan_quarter,
-    table_path,
-)
+from advigil.sources.faers import BAD_ROW, POS, load_stats, path_exists, scan_quarter, table_path
 
 
 @dataclass(frozen=True)
@@ -71,39 +63,33 @@ USED = {
 
 def stage_tables(
     spark: SparkSession, tables: dict[str, DataFrame], output: str
-) -> dict[str, DataFrame]:
-    """The good rows of every file as narrow columnar tables.
+) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
+    """The records of every file as narrow columnar tables: the good ones, and all with their fault.
 
-    The text is parsed once; later stages read only the columns they need. Drug rows
-    without a name keep a digest of the whole row, because the audit counts them as
+    The text is parsed once; later stages and the load statistics read only the columns they
+    need. Drug rows without a name keep a digest of the whole row, because the audit counts them as
     distinct rows.
     """
-    staged = dict(tables)
+    staged, records = dict(tables), {}
     drug = tables["DRUG"]
     nameless = normalize_drug_name(F.col("drugname")).isNull()
-    whole = F.sha2(F.to_json(F.struct(*drug.columns)), 256)
+    whole = F.sha2(F.to_json(F.struct(*RAW["DRUG"].names)), 256)
     tables = {**tables, "DRUG": drug.withColumn("raw_row", F.when(nameless, whole))}
     for kind, columns in USED.items():
         path = f"{output.rstrip('/')}/staged/{kind.lower()}"
-        write_dataset(tables[kind].select(*columns), path)
-        staged[kind] = spark.read.parquet(path)
-    return staged
+        write_dataset(tables[kind].select(*columns, POS, BAD_ROW), path)
+        records[kind] = spark.read.parquet(path)
+        staged[kind] = records[kind].filter(F.col(BAD_ROW).isNull()).drop(BAD_ROW)
+    return staged, records
 
 
-def quarter_load_stats(
-    spark: SparkSession, folder: str, quarter: str, staged: dict[str, DataFrame]
-) -> DataFrame:
-    """Load statistics of every present file of the quarter."""
+def quarter_load_stats(spark: SparkSession, folder: str, quarter: str, records: dict[str, DataFrame]) -> DataFrame:
+    """Load statistics of every present file of the quarter, from its staged records."""
     out = None
     for kind in RAW:
-        path = table_path(folder, kind, quarter)
-        if not path_exists(spark, path):
-            continue
-        if has_multiline_cells(spark, path):
-            stats = load_stats(spark, read_table_rows(spark, path, kind, True), path, kind)
-        else:
-            stats = load_stats_of_lines(spark, path, staged[kind], kind)
-        out = stats if out is None else out.unionByName(stats)
+        if path_exists(spark, table_path(folder, kind, quarter)):
+            stats = load_stats(records[kind], kind)
+            out = stats if out is None else out.unionByName(stats)
     return out
 
 
@@ -133,7 +119,7 @@ def run_detection(
             )
         ]
     )
-    tables = stage_tables(spark, scan_quarter(spark, folder, quarter, deleted_path), output)
+    tables, records = stage_tables(spark, scan_quarter(spark, folder, quarter, deleted_path, keep_bad=True), output)
     typed = type_demo(tables["DEMO"], quarter, policy)
     versions = latest_case_versions(typed, ("event_date", "patient_age", "patient_sex"))
     cases = (
@@ -163,7 +149,7 @@ def run_detection(
     write_dataset_csv(in_detection_order(signals), f"{out.signals}_csv")
     write_dataset_csv(metrics, f"{out.metrics}_csv")
 
-    loads = quarter_load_stats(spark, folder, quarter, tables)
+    loads = quarter_load_stats(spark, folder, quarter, records)
     detection = detection_stats(metrics, policy)
     undefined = ledger_rows(
         "signal_detection",

@@ -42,7 +42,7 @@ def scan_faers_unquoted(s: StarSchema) -> DataFrame:
 @query
 def load_stats(s: StarSchema) -> DataFrame:
     path = ragged_demo(s)
-    return faers.load_stats(s.spark, faers.read_table_rows(s.spark, path, "DEMO"), path, "DEMO")
+    return faers.load_stats(faers.read_table_rows(s.spark, path, "DEMO"), "DEMO")
 
 
 @query
@@ -283,7 +283,7 @@ def run_manifest(s: StarSchema) -> DataFrame:
         s.QUARTER,
         DETECTION,
         counts,
-        faers.load_stats(s.spark, rows, path, "OUTC"),
+        faers.load_stats(rows, "OUTC"),
         runs.file_fingerprints(s.spark, [path]),
     )
     return manifest.select(

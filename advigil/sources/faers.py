@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from advigil.fixed_values import FIELD_SEPARATOR
-from advigil.schemas import RAW, REQUIRED_TABLES
 from advigil.functions.text import strip
+from advigil.schemas import RAW, REQUIRED_TABLES
+from advigil.sources.split_text import cells_of, quoted_records
 
-BAD_ROW = "_bad"
+BAD_ROW, POS = "_bad", "_pos"
+_ADDED = f"{POS}:struct<file:string,start:bigint,row:bigint>,{BAD_ROW}:string"
+_SEPARATOR = rf"\{FIELD_SEPARATOR}"
 
 
 class MissingFileError(Exception):
@@ -46,50 +48,46 @@ def path_exists(spark: SparkSession, path: str) -> bool:
         return False
 
 
+def _header_error(found: str, kind: str, path: str) -> None:
+    names = found.rstrip("\r").split(FIELD_SEPARATOR)
+    expected = RAW[kind].names
+    if names != expected:
+        missing = [c for c in expected if c not in names]
+        extra = [c for c in names if c not in expected]
+        raise HeaderError(f"{path}: missing={missing} extra={extra} found={names}")
+
+
 def validate_header(spark: SparkSession, path: str, kind: str) -> None:
-    """Compare the first line with the layout; missing, extra or moved columns fail."""
+    """Compare the first line with the layout; missing, extra or moved columns fail.
+
+    Readers check the first line of every part file besides.
+    """
     if not path_exists(spark, path):
         raise MissingFileError(f"missing report file {path}")
     first = spark.read.text(path).limit(1).collect()
     if not first:
         raise EmptyFileError(f"report file {path} is empty")
-    found = first[0].value.rstrip("\r").split(FIELD_SEPARATOR)
-    expected = RAW[kind].names
-    if found != expected:
-        missing = [c for c in expected if c not in found]
-        extra = [c for c in found if c not in expected]
-        raise HeaderError(f"{path}: missing={missing} extra={extra} found={found}")
+    _header_error(first[0].value, kind, path)
 
 
-def has_multiline_cells(spark: SparkSession, path: str) -> bool:
-    """Is there a line with an odd number of quotes (a quoted line break, perhaps).
+def read_table_rows(spark: SparkSession, path: str | list[str], kind: str) -> DataFrame:
+    """All records of the fixed layout, ``_pos`` (file, split, row) and ``_bad``.
 
-    Stops at the first such line. Files without one can be split over many tasks.
+    ``_bad`` is the text of a record with a wrong number of cells and null for all others; of a record that
+    is longer than its cells may be it is ``''``. Blank lines are bad records. Quoted cells may hold
+    separators and line breaks, wherever the file is split. ``_pos`` orders records as in the file.
     """
-    odd = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    return not spark.read.text(path).filter(odd % 2 == 1).limit(1).isEmpty()
-
-
-def read_table_rows(
-    spark: SparkSession, path: str | list[str], kind: str, multiline: bool = False, encoding: str = "UTF-8"
-) -> DataFrame:
-    """All rows of the fixed layout plus the text of rows with a wrong field count."""
-    schema = T.StructType(RAW[kind].fields + [T.StructField(BAD_ROW, T.StringType())])
-    return (
-        spark.read.schema(schema)
-        .option("sep", FIELD_SEPARATOR)
-        .option("header", True)
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("multiLine", multiline)
-        .option("mode", "PERMISSIVE")
-        .option("encoding", encoding)
-        .option("columnNameOfCorruptRecord", BAD_ROW)
-        # A pruned parse does not count fields, so rows of wrong length would pass.
-        .option("columnPruning", False)
-        # Every part file has to start with the header of the layout, or the read fails.
-        .option("enforceSchema", False)
-        .csv(path)
+    names = RAW[kind].names
+    records = quoted_records(spark, path, _SEPARATOR, len(names))
+    header = FIELD_SEPARATOR.join(names)
+    wrong = F.raise_error(F.concat(F.lit(f"header of {kind} differs in "), F.col("file"))).cast("boolean")
+    data = records.where(F.when(F.col("head") & (F.col("value") != header), wrong).otherwise(~F.col("head")))
+    cells = data.withColumn("_cells", cells_of(F.col("value"), _SEPARATOR, FIELD_SEPARATOR))
+    good = F.coalesce(F.size("_cells") == len(names), F.lit(False))
+    return cells.select(
+        *[F.when(good, F.get("_cells", i)).alias(c) for i, c in enumerate(names)],
+        F.struct("file", "start", "row").alias(POS),
+        F.when(~good, F.coalesce("value", F.lit(""))).alias(BAD_ROW),
     )
 
 
@@ -102,71 +100,36 @@ def _fail(name: str) -> Column:
     return F.raise_error(F.lit(f"{name} has rows without primaryid or caseid")).cast("boolean")
 
 
-def good_rows(rows: DataFrame, name: str = "table") -> DataFrame:
+def good_rows(rows: DataFrame, name: str = "table", keep_bad: bool = False) -> DataFrame:
     """Rows with the right number of fields; empty cells are ``''``.
 
     The job fails at the first such row without a report or case id. The check is
-    part of the row filter, so it holds whichever columns are read.
+    part of the row filter, so it holds whichever columns are read. ``keep_bad`` checks
+    the good rows but keeps the bad ones beside them.
     """
-    names = [c for c in rows.columns if c != BAD_ROW]
-    keep = F.when(F.col(BAD_ROW).isNotNull(), F.lit(False)).when(_no_keys(), _fail(name)).otherwise(F.lit(True))
-    return rows.filter(keep).select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in names])
+    is_bad = F.when(F.col(BAD_ROW).isNotNull(), F.lit(keep_bad))
+    kept = rows.filter(is_bad.when(_no_keys(), _fail(name)).otherwise(F.lit(True)))
+    return kept if keep_bad else kept.drop(BAD_ROW)
 
 
-def load_stats(spark: SparkSession, rows: DataFrame, path: str, kind: str) -> DataFrame:
-    """Scanned, loaded, skipped, accepted and rejected rows of one file.
+def load_stats(rows: DataFrame, kind: str) -> DataFrame:
+    """Scanned, loaded, skipped, accepted and rejected records of one file.
 
-    Blank lines count as skipped rows: the CSV reader passes over them, so they are
-    counted from the text.
+    ``rows`` are all records with ``_bad``, as read or as stored by a job.
     """
-    blank = spark.read.text(path).filter(F.col("value").isin("", "\r")).agg(
-        F.count(F.lit(1)).alias("n")
-    )
-    # Spark refuses to read the bad-row column alone, so an id takes part.
-    is_bad = F.length(F.concat_ws("", F.col(BAD_ROW), F.lit("."), F.col("primaryid"))) > 0
-    counted = rows.agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.count_if(is_bad & F.col(BAD_ROW).isNotNull()).alias("bad"),
-    ).withColumn("blank", blank.scalar())
-    skipped = F.col("bad") + F.col("blank")
+    bad = F.count_if(F.col(BAD_ROW).isNotNull()).alias("bad")
+    counted = rows.agg(F.count(F.lit(1)).alias("rows"), bad)
     return counted.select(
         F.lit(kind).alias("kind"),
-        (F.col("rows") + F.col("blank")).alias("scanned_data_lines"),
+        F.col("rows").alias("scanned_data_lines"),
         (F.col("rows") - F.col("bad")).alias("loaded_rows"),
-        skipped.alias("skipped_bad_lines"),
+        F.col("bad").alias("skipped_bad_lines"),
         F.lit(0).cast("bigint").alias("malformed_rows_kept"),
         (F.col("rows") - F.col("bad")).alias("accepted_rows"),
-        skipped.alias("rejected_rows"),
-    )
-
-
-def load_stats_of_lines(spark: SparkSession, path: str, loaded: DataFrame, kind: str) -> DataFrame:
-    """``load_stats`` for a file without line breaks in cells whose good rows are stored.
-
-    Counts text lines and stored rows, so the file is not parsed a second time. Each part
-    file has one header line; a repetition of it further down is a row.
-    """
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"))
-    rows = loaded.agg(F.count(F.lit(1)).alias("n"))
-    data = F.count(F.lit(1)) - F.count_distinct("file")
-    counted = lines.agg(data.alias("lines")).withColumn("rows", rows.scalar())
-    skipped = F.col("lines") - F.col("rows")
-    return counted.select(
-        F.lit(kind).alias("kind"),
-        F.col("lines").alias("scanned_data_lines"),
-        F.col("rows").alias("loaded_rows"),
-        skipped.alias("skipped_bad_lines"),
-        F.lit(0).cast("bigint").alias("malformed_rows_kept"),
-        F.col("rows").alias("accepted_rows"),
-        skipped.alias("rejected_rows"),
+        F.col("bad").alias("rejected_rows"),
     )
 
 
-def rows_without_keys(table: DataFrame) -> DataFrame:
-    """Rows whose report or case id is blank."""
-    return table.filter(_no_keys())
-
-
 def validate_keys(table: DataFrame, name: str = "table") -> DataFrame:
     """The table itself, failing the job at the first row without ids.
 
@@ -175,18 +138,10 @@ def validate_keys(table: DataFrame, name: str = "table") -> DataFrame:
     return table.filter(F.when(_no_keys(), _fail(name)).otherwise(F.lit(True)))
 
 
-def scan_faers_table(
-    spark: SparkSession, path: str, kind: str, multiline: bool | None = None
-) -> DataFrame:
-    """Good rows of one file with a checked header and checked ids.
-
-    ``multiline=None`` looks whether a quoted cell may contain a line break and reads
-    the file unsplit only then.
-    """
+def scan_faers_table(spark: SparkSession, path: str, kind: str, keep_bad: bool = False) -> DataFrame:
+    """Good rows of one file with a checked header, checked ids and their position ``_pos``."""
     validate_header(spark, path, kind)
-    if multiline is None:
-        multiline = has_multiline_cells(spark, path)
-    return good_rows(read_table_rows(spark, path, kind, multiline), kind)
+    return good_rows(read_table_rows(spark, path, kind), kind, keep_bad)
 
 
 def scan_deleted_cases(spark: SparkSession, path: str) -> DataFrame:
@@ -198,7 +153,7 @@ def scan_deleted_cases(spark: SparkSession, path: str) -> DataFrame:
 
 
 def scan_quarter(
-    spark: SparkSession, folder: str, quarter: str, deleted_path: str | None = None
+    spark: SparkSession, folder: str, quarter: str, deleted_path: str | None = None, keep_bad: bool = False
 ) -> dict[str, DataFrame]:
     """The tables of one quarter. Only the outcome table may be absent."""
     paths = {kind: table_path(folder, kind, quarter) for kind in RAW}
@@ -208,9 +163,10 @@ def scan_quarter(
     tables = {}
     for kind, path in paths.items():
         if kind in REQUIRED_TABLES or path_exists(spark, path):
-            tables[kind] = scan_faers_table(spark, path, kind)
+            tables[kind] = scan_faers_table(spark, path, kind, keep_bad)
         else:
-            tables[kind] = spark.createDataFrame([], RAW[kind])
+            tables[kind] = spark.createDataFrame([], f"{RAW[kind].simpleString()[7:-1]},{_ADDED}")
+            tables[kind] = tables[kind] if keep_bad else tables[kind].drop(BAD_ROW)
     if deleted_path and path_exists(spark, deleted_path):
         tables["DELETED"] = scan_deleted_cases(spark, deleted_path)
     else:

@@ -1,4 +1,7 @@
+import csv
+import io
 import json
+import random
 from pathlib import Path
 
 import pytest
@@ -7,7 +10,7 @@ from pyspark.sql import functions as F
 from advigil import fixed_values as V
 from advigil.sinks import files as sink_files
 from advigil.sinks import records, runs
-from advigil.sources import documents, faers, openfda, signals
+from advigil.sources import documents, faers, openfda, signals, split_text
 
 HEAD = "$".join(V.REAC_COLUMNS)
 
@@ -24,14 +27,13 @@ def test_scan_counts_bad_rows(spark, folder):
     path = write(folder, "REAC26Q1.txt", f"{HEAD}\n{body}\n")
     rows = faers.scan_faers_table(spark, path, "REAC").collect()
     assert {(r.primaryid, r.pt, r.drug_rec_act) for r in rows} == {("1", "a$b", ""), ("4", 'say "hi"', ""), ("5", "ok", "")}
-    stats = faers.load_stats(spark, faers.read_table_rows(spark, path, "REAC"), path, "REAC").first()
+    stats = faers.load_stats(faers.read_table_rows(spark, path, "REAC"), "REAC").first()
     assert (stats.scanned_data_lines, stats.loaded_rows, stats.skipped_bad_lines) == (6, 3, 3)
     assert faers.scan_faers_table(spark, path, "REAC").count() == 3
 
 
 def test_quoted_line_break(spark, folder):
     path = write(folder, "REAC26Q1.txt", f'{HEAD}\n1$1$"two\nlines"$\n2$2$x$\n')
-    assert faers.has_multiline_cells(spark, path)
     assert {r.pt for r in faers.scan_faers_table(spark, path, "REAC").collect()} == {"two\nlines", "x"}
 
 
@@ -157,13 +159,6 @@ def test_fingerprints(spark, folder):
     assert row.kind == "lines+sha256" and row.digest == ":".join(map(str, [3, *sums]))
 
 
-def test_both_ways_of_load_statistics_agree(spark, folder):
-    path = write(folder, "REAC26Q1.txt", f"{HEAD}\n1$1$a$\n2$2$short\n\n3$3$b$\n")
-    parsed = faers.load_stats(spark, faers.read_table_rows(spark, path, "REAC"), path, "REAC").first()
-    good = faers.scan_faers_table(spark, path, "REAC")
-    assert tuple(faers.load_stats_of_lines(spark, path, good, "REAC").first()) == tuple(parsed)
-
-
 def test_every_part_file_needs_the_header(spark, folder):
     write(folder, "REAC26Q1.txt/part-0", f"{HEAD}\n1$1$a$\n")
     write(folder, "REAC26Q1.txt/part-1", "caseid$primaryid$pt$drug_rec_act\n2$1$a$\n")
@@ -173,8 +168,7 @@ def test_every_part_file_needs_the_header(spark, folder):
 
 def test_repeated_header_line_is_a_row(spark, folder):
     path = write(folder, "REAC26Q1.txt", f"{HEAD}\n1$1$a$\n{HEAD}\n")
-    good = faers.scan_faers_table(spark, path, "REAC")
-    stats = faers.load_stats_of_lines(spark, path, good, "REAC").first()
+    stats = faers.load_stats(faers.read_table_rows(spark, path, "REAC"), "REAC").first()
     assert (stats.scanned_data_lines, stats.loaded_rows, stats.skipped_bad_lines) == (2, 2, 0)
 
 
@@ -182,3 +176,75 @@ def test_only_a_missing_path_counts_as_absent(spark, folder):
     assert not faers.path_exists(spark, f"{folder}/nothing") and faers.path_exists(spark, folder)
     with pytest.raises(Exception):
         faers.path_exists(spark, "nosuchfilesystem://x/y")
+
+
+# --- quotes over lines and splits ----------------------------------------------
+
+
+def by_csv_module(text):
+    """Rows and rejected records as the reader of the standard library gives them."""
+    rows = list(csv.reader(io.StringIO(text, newline=""), delimiter="$"))[1:]
+    return [r for r in rows if len(r) == 4], sum(len(r) != 4 for r in rows)
+
+
+def read_split(spark, path, bytes_each):
+    """Good rows in file order, rejected records and tasks of a read in small splits."""
+    known = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for k in known:
+            spark.conf.set(k, str(bytes_each))
+        rows = faers.read_table_rows(spark, path, "REAC")
+        found = rows.orderBy(faers.POS).collect()
+        lines = split_text.text_lines(spark, path).rdd.getNumPartitions()
+    finally:
+        for k, v in known.items():
+            spark.conf.set(k, v)
+    names = V.REAC_COLUMNS
+    return [[r[c] for c in names] for r in found if r[faers.BAD_ROW] is None], sum(r[faers.BAD_ROW] is not None for r in found), lines
+
+
+PIECES = ["1", "ab", "", '"', '""', '"x', 'x"', '"a""b"', '"a$b"', '"two\nlines"', '"a"b"c', "$", "\n", "\r\n", '"\n\n"', 'say "hi"']
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_records_as_the_csv_module_reads_them(spark, folder, seed):
+    rng = random.Random(seed)
+    rows = []
+    for i in range(60):
+        cells = [f"{i}", f"c{i}", "".join(rng.choice(PIECES) for _ in range(rng.randrange(3))), rng.choice(["", "x", '"q"', '"open'] if seed % 2 else ["", "x"])]
+        rows.append("$".join(cells))
+    text = HEAD + "\n" + rng.choice(["\n", "\r\n"]).join(rows) + '\n9$9$end"$\n'
+    path = write(folder, "REAC26Q1.txt", text)
+    good, bad = by_csv_module(text)
+    for size in (37, 4096):
+        assert read_split(spark, path, size)[:2] == (good, bad)
+
+
+def test_a_stray_quote_leaves_the_splits_as_they_are(spark, folder):
+    body = [f"{i}$c{i}$term {i}$" for i in range(3000)]
+    clean = write(folder, "a/REAC26Q1.txt", "\n".join([HEAD, *body, ""]))
+    body[1500] = '1500$c1500$"never closed$'
+    stray = write(folder, "b/REAC26Q1.txt", "\n".join([HEAD, *body, ""]))
+    body[2900] = '2900$c2900$a quote" inside$'
+    closed = write(folder, "c/REAC26Q1.txt", "\n".join([HEAD, *body, ""]))
+    good, bad, tasks = read_split(spark, clean, 4000)
+    assert len(good) == 3000 and bad == 0 and tasks > 10
+    assert (len(read_split(spark, stray, 4000)[0]), *read_split(spark, stray, 4000)[1:]) == (1500, 1, tasks)
+    # The quote of line 2900 closes the cell; what follows is read again line by line.
+    good, bad, same = read_split(spark, closed, 4000)
+    assert same == tasks and bad == 0 and len(good) == 1500 + 1 + 99
+    assert good[1500][2].startswith("never closed$\n1501$c1501$") and good[1501][0] == "2901"
+
+
+def test_records_beyond_the_greatest_length_are_rejected(spark, folder, monkeypatch):
+    monkeypatch.setattr(split_text, "MOST_CELL_CHARACTERS", 10)
+    path = write(folder, "REAC26Q1.txt", f'{HEAD}\n1$1$"{"x" * 30}\n{"y" * 30}"$\n2$2$"a\nb"$\n')
+    rows = faers.read_table_rows(spark, path, "REAC")
+    assert [(r.primaryid, r.pt, r[faers.BAD_ROW]) for r in rows.orderBy(faers.POS).collect()] == [(None, None, ""), ("2", "a\nb", None)]
+
+
+def test_quotes_end_with_their_file(spark, folder):
+    write(folder, "REAC26Q1.txt/part-0", f'{HEAD}\n1$1$"open\n')
+    write(folder, "REAC26Q1.txt/part-1", f"{HEAD}\n2$2$x$\n3$3$y$\n")
+    rows = faers.scan_faers_table(spark, f"{folder}/REAC26Q1.txt", "REAC")
+    assert [r.primaryid for r in rows.orderBy(faers.POS).collect()] == ["2", "3"]

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from advigil.llm.graph import stored
 
 LEAST_DOCUMENTS = 10
-FIRST_LEVEL = 6
+FIRST_LEVEL = 8
 TOP_TERMS = 10
 # Counts of a task are handed on when so many are held: items of a language, terms of all sources.
 HELD, HELD_USES = 400_000, 800_000
@@ -131,18 +131,27 @@ def _count(batches: Iterator[pa.RecordBatch], level: int) -> Iterator[pa.RecordB
 
 def _packed(lang: bytes, uses: dict[bytes, Counter], kept: Bitmap) -> Iterator[pa.RecordBatch]:
     """A row per term with the sources that use it."""
-    terms: dict[bytes, list] = {}
-    for source, counter in uses.items():
-        for item, n in counter.items():
-            terms.setdefault(item, []).append((source, n))
-    items = [t for t in terms if kept(lang, t)]
-    for at in range(0, len(items), _BATCH):
-        part = items[at : at + _BATCH]
-        ends = np.cumsum([0, *(len(terms[t]) for t in part)])
-        flat = [pair for t in part for pair in terms[t]]
-        sources = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array([s for s, _ in flat], pa.binary()))
-        numbers = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array([n for _, n in flat], pa.int64()))
-        yield pa.record_batch([pa.array([lang] * len(part), pa.binary()), pa.array(part, pa.binary()), sources, numbers], ["lang", "item", "sources", "uses"])
+    sizes = [len(c) for c in uses.values()]
+    items = pa.array([t for c in uses.values() for t in c], pa.binary()).dictionary_encode()
+    numbers = np.fromiter((n for c in uses.values() for n in c.values()), np.int64, sum(sizes))
+    sources = np.repeat(np.arange(len(sizes)), sizes)
+    stays = np.fromiter((kept(lang, t) for t in items.dictionary.to_pylist()), bool, len(items.dictionary))
+    codes = items.indices.to_numpy()
+    order = np.argsort(codes, kind="stable")
+    order = order[stays[codes[order]]]
+    ends = np.flatnonzero(np.diff(codes[order], append=-1)) + 1
+    names = pa.array(list(uses), pa.binary())
+    for at in range(0, len(ends), _BATCH):
+        part = ends[at : at + _BATCH]
+        first = ends[at - 1] if at else 0
+        taken, offsets = order[first : part[-1]], pa.array(np.concatenate([[0], part - first]), pa.int32())
+        columns = [
+            pa.array([lang] * len(part), pa.binary()),
+            items.dictionary.take(pa.array(codes[order[part - 1]])),
+            pa.ListArray.from_arrays(offsets, names.take(pa.array(sources[taken]))),
+            pa.ListArray.from_arrays(offsets, pa.array(numbers[taken])),
+        ]
+        yield pa.record_batch(columns, ["lang", "item", "sources", "uses"])
 
 
 def _uses(batches: Iterator[pa.RecordBatch], kept: Bitmap) -> Iterator[pa.RecordBatch]:

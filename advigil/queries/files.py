@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from advigil import fixed_values as V
@@ -14,6 +15,8 @@ from advigil.sinks import files as out
 from advigil.sinks import records, runs
 from advigil.sources import documents, faers, openfda, signals
 from advigil.operators.cases import case_version_stats, demo_audit
+from advigil.operators.reports import primary_drug
+from advigil.schemas import RAW
 
 QUERIES: dict = {}
 query = collector(QUERIES)
@@ -32,6 +35,46 @@ def scan_faers_table(s: StarSchema) -> DataFrame:
     return table.select("primaryid", "caseid", "caseversion", "event_dt", "age", "age_cod", "sex")
 
 
+@query
+def scan_quoted_cells(s: StarSchema) -> DataFrame:
+    """Every document as a quoted cell with its line breaks and quotes, read back by all splits."""
+    path = faers.table_path(scratch_path(s.spark, "quoted"), "REAC", s.QUARTER)
+    names = RAW["REAC"].names
+    cell = F.concat(F.lit('"'), F.replace("text", F.lit('"'), F.lit('""')), F.lit('"'))
+    line = F.concat_ws(V.FIELD_SEPARATOR, "doc_id", "doc_id", cell, "lang").alias("value")
+    texts = s.table("documents").select(F.pmod(F.xxhash64("doc_id"), F.lit(16)).alias("part"), F.lit(1).alias("row"), line)
+    heads = s.spark.range(16).select(F.col("id").alias("part"), F.lit(0).alias("row"), F.lit(V.FIELD_SEPARATOR.join(names)).alias("value"))
+    parts = texts.unionByName(heads).repartition("part").sortWithinPartitions("part", "row")
+    parts.select("part", "value").write.partitionBy("part").text(path)
+    rows = faers.scan_faers_table(s.spark, path, "REAC")
+    return rows.select("primaryid", F.length("pt").cast("bigint").alias("characters"), F.md5(F.encode("pt", "UTF-8")).alias("digest"), "drug_rec_act")
+
+
+def tied_drugs(s: StarSchema) -> DataFrame:
+    """The drug file with one sequence number for all rows, the last line of a report first."""
+    path = faers.table_path(scratch_path(s.spark, "ties"), "DRUG", s.QUARTER)
+    names = RAW["DRUG"].names
+    rows = s.drug.withColumn("line", F.col("drug_seq").cast("int")).withColumn("drug_seq", F.lit("1"))
+    cells = [F.col(c) if c in rows.columns else F.lit("") for c in names]
+    ordered = rows.orderBy("primaryid", F.desc("line"), "drugname")
+    ordered.select(F.concat_ws(V.FIELD_SEPARATOR, *cells).alias(V.FIELD_SEPARATOR.join(names))).write.options(**RAW_LINES).csv(path)
+    return faers.scan_faers_table(s.spark, path, "DRUG")
+
+
+@query
+def natural_key_sort(s: StarSchema) -> DataFrame:
+    """Place of every drug row among those of its report and case, as in the file."""
+    order = W.partitionBy("primaryid", "caseid").orderBy(faers.POS)
+    rows = faers.in_natural_order(tied_drugs(s))
+    return rows.withColumn("place", F.row_number().over(order).cast("bigint")).select("primaryid", "caseid", "drugname", "place")
+
+
+@query
+def primary_drug_in_file_order(s: StarSchema) -> DataFrame:
+    """First suspect drug of every report where all sequence numbers tie."""
+    return primary_drug(tied_drugs(s), faers.POS)
+
+
 @query
 def scan_faers_unquoted(s: StarSchema) -> DataFrame:
     path = faers.table_path(s.quarter_folder, "DRUG", s.QUARTER)
@@ -121,6 +164,30 @@ def scan_signals_json(s: StarSchema) -> DataFrame:
     return flat(read.select("signal_id", "drug_name", "event_name", "supporting_report_count", "prr", "ror", "candidate_status"))
 
 
+@query
+def scan_signals_array(s: StarSchema) -> DataFrame:
+    """A signal for every pair, in files that each hold one array over many lines or on one."""
+    path = scratch_path(s.spark, "signals-array")
+    record = F.struct(
+        "signal_id",
+        F.concat("drug_name", F.lit(' "}[{')).alias("drug_name"),
+        "event_name",
+        F.col("a").alias("supporting_report_count"),
+        "prr",
+        F.array(F.struct(F.lit("}\\").alias("k"))).alias("notes"),
+    )
+    rows = s.stored_metrics.select("signal_id", F.pmod(F.xxhash64("drug_name"), F.lit(32)).alias("part"), F.to_json(record).alias("record"))
+    order = W.partitionBy("part").orderBy("signal_id")
+    first, last = F.row_number().over(order) == 1, F.lead("signal_id").over(order).isNull()
+    line = F.concat(F.when(first, "[").otherwise(","), "record", F.when(last, "]").otherwise(""))
+    lines = s.stored(rows.select("part", "signal_id", line.alias("value")), "array-lines")
+    for even, separator in ((0, "\n"), (1, " ")):
+        part = lines.filter(F.col("part") % 2 == even).repartition("part").sortWithinPartitions("part", "signal_id")
+        part.select("part", "value").write.mode("append").partitionBy("part").option("lineSep", separator).text(path)
+    read = signals.scan_signals_json(s.spark, path)
+    return flat(read.select("signal_id", "drug_name", "event_name", "supporting_report_count", "prr"))
+
+
 @query
 def scan_metrics_csv(s: StarSchema) -> DataFrame:
     path = scratch_path(s.spark, "metrics-csv")

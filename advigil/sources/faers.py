@@ -108,7 +108,9 @@ def good_rows(rows: DataFrame, name: str = "table", keep_bad: bool = False) -> D
     the good rows but keeps the bad ones beside them.
     """
     is_bad = F.when(F.col(BAD_ROW).isNotNull(), F.lit(keep_bad))
-    kept = rows.filter(is_bad.when(_no_keys(), _fail(name)).otherwise(F.lit(True)))
+    # The partition id keeps the check where it stands: lines within a record are no rows.
+    here = F.spark_partition_id() >= 0
+    kept = rows.filter(is_bad.when(_no_keys() & here, _fail(name)).otherwise(F.lit(True)))
     return kept if keep_bad else kept.drop(BAD_ROW)
 
 
@@ -184,6 +186,11 @@ def scan_quarters(spark: SparkSession, folder: str, quarters: list[str]) -> dict
     return out
 
 
+def in_natural_order(rows: DataFrame) -> DataFrame:
+    """Rows sorted by report and case id, as in the file where these are equal."""
+    return rows.orderBy("primaryid", "caseid", POS)
+
+
 # --- lenient variant ---------------------------------------------------------
 
 

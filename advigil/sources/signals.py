@@ -11,15 +11,23 @@ from advigil.functions.scores import parse_trend_data
 from advigil.functions.text import null_if_blank, parse_reactions_cell, strip
 from advigil.schemas import METRICS_FILE, SIGNAL
 from advigil.sources.faers import path_exists
+from advigil.sources.split_text import json_elements
 
 
 def scan_signals_json(spark: SparkSession, path: str) -> DataFrame:
-    """Signals from JSON: one record per line, or files that each hold one array."""
-    first = spark.read.text(path).filter(strip("value") != "").limit(1).collect()
-    start = first[0].value.lstrip()[:1] if first else ""
+    """Signals from JSON: one record per line, or files that each hold one array.
+
+    An array is read by all its splits, on one line or many. Only the first character is looked at
+    beforehand, and whether the first line of records is whole.
+    """
+    pieces = spark.read.option("lineSep", "}").text(path).select(F.left(strip("value"), F.lit(1)).alias("c"))
+    first = pieces.filter("c <> ''").limit(1).collect()
+    start = first[0].c if first else ""
     if start == "[":
-        return spark.read.schema(SIGNAL).option("multiLine", True).json(path)
-    if start == "{" and first[0].value.rstrip().endswith("}"):
+        elements = json_elements(spark, path)
+        return elements.select(F.from_json("value", SIGNAL).alias("r")).select("r.*")
+    lines = spark.read.text(path).select(F.right(strip("value"), F.lit(1)).alias("c"))
+    if start == "{" and lines.filter("c <> ''").limit(1).collect()[0].c == "}":
         return spark.read.schema(SIGNAL).json(path)
     raise ValueError(f"expected signal records in {path}")
 

@@ -18,6 +18,8 @@ from advigil.session import stored
 
 # A cell may not be longer; a record that is longer than all its cells may be is not put together.
 MOST_CELL_CHARACTERS = 131_072
+# An element of a JSON array that is longer is taken for a broken file.
+MOST_ELEMENT_CHARACTERS = 1 << 26
 # Ranges of lines meet the lines by blocks of so many rows.
 _BLOCK = 64
 _SPLIT = ["file", "start"]
@@ -193,3 +195,62 @@ def cells_of(record: Column, delimiter: str, character: str) -> Column:
 
     pieces = F.split(record, delimiter)
     return F.when(F.contains(record, F.lit('"')), F.aggregate(pieces, start, step, end)).otherwise(pieces)
+
+
+# --- elements of JSON arrays ---------------------------------------------------
+
+
+def _depth_change(text: Column, end_inside: Column) -> Column:
+    """Brackets opened less closed outside of strings, with the ``}`` that ends the piece."""
+    bare = F.regexp_replace(text, r'"[^"]*("|$)', "")
+    return (
+        F.length(F.regexp_replace(bare, r"[^{\[]", "")) - F.length(F.regexp_replace(bare, r"[^\]]", "")) - F.when(end_inside, 0).otherwise(1)
+    ).cast("bigint")
+
+
+def json_elements(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(file, number, value): the objects of files that each hold one JSON array, on one line or many.
+
+    Files are cut at ``}`` and read in splits. Whether a piece starts in a string, and how deep in brackets, is
+    composed over the pieces of a split and over the splits of a file. An element ends where the
+    depth is 1 again; its pieces meet by its number. Elements that are no objects are passed over.
+    """
+    pieces = text_lines(spark, path, "}")
+    plain = F.regexp_replace("value", r"(?s)\\.", "")
+    quotes = F.length(plain) - F.length(F.replace(plain, F.lit('"'), F.lit("")))
+    swaps = quotes % 2 == 1
+    measured = pieces.select(
+        "*",
+        swaps.cast("int").alias("swaps"),
+        _depth_change(plain, swaps).alias("change0"),
+        _depth_change(F.concat(F.lit('"'), plain), ~swaps).alias("change1"),
+    )
+    until = Window.partitionBy(*_SPLIT).orderBy("row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    odd = (F.sum("swaps").over(until) - F.col("swaps")) % 2
+    placed = measured.withColumn("odd", odd)
+    for start in (0, 1):
+        change = F.when(F.col("odd") == start, F.col("change0")).otherwise(F.col("change1"))
+        placed = placed.withColumn(f"depth{start}", F.sum(change).over(until))
+    pieces = stored(placed.select(*_SPLIT, "row", "value", "swaps", "odd", "depth0", "depth1"), "json-pieces")
+    # A split changes the depth by what its last piece has come to, by the state it starts in.
+    ends = pieces.groupBy(*_SPLIT).agg(F.sum("swaps").alias("swaps"), F.max_by(F.struct("depth0", "depth1"), "row").alias("by"))
+    past = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    states = ends.withColumn("inside", F.coalesce(F.sum("swaps").over(past), F.lit(0)) % 2 == 1)
+    change = F.when(F.col("inside"), F.col("by.depth1")).otherwise(F.col("by.depth0"))
+    starts = states.withColumn("change", change).withColumn("base", F.coalesce(F.sum("change").over(past), F.lit(0)))
+    known = pieces.join(starts.select(*_SPLIT, "inside", "base"), _SPLIT)
+    # A piece ends outside of strings if the swaps up to its end are even.
+    outside = ((F.col("odd") + F.col("swaps")) % 2 == 1) == F.col("inside")
+    depth = F.col("base") + F.when(F.col("inside"), F.col("depth1")).otherwise(F.col("depth0"))
+    ended = known.select(*_SPLIT, "row", "value", (outside & (depth == 1)).cast("int").alias("ends"))
+    counted = ended.withColumn("before", F.sum("ends").over(until) - F.col("ends"))
+    sums = ended.groupBy(*_SPLIT).agg(F.sum("ends").alias("ends")).withColumn("earlier", F.coalesce(F.sum("ends").over(past), F.lit(0)))
+    numbered = counted.join(sums.select(*_SPLIT, "earlier"), _SPLIT).withColumn("number", F.col("earlier") + F.col("before"))
+    numbered = stored(numbered.select("file", "number", "start", "row", "value", "ends", F.length("value").alias("size")), "json-elements")
+    beyond = numbered.groupBy("file", "number").agg(F.sum("size").alias("size")).where(F.col("size") > MOST_ELEMENT_CHARACTERS)
+    if not beyond.isEmpty():
+        raise ValueError(f"an array element in {path} does not end within {MOST_ELEMENT_CHARACTERS} characters")
+    grouped = numbered.groupBy("file", "number").agg(F.max("ends").alias("ends"), F.sort_array(F.collect_list(F.struct("start", "row", "value"))).alias("pieces"))
+    text = F.concat(F.array_join(F.transform("pieces", lambda x: x["value"]), "}"), F.lit("}"))
+    whole = grouped.where("ends = 1").withColumn("value", text)
+    return whole.select("file", "number", F.substr("value", F.instr("value", F.lit("{"))).alias("value"))

@@ -13,6 +13,14 @@ DEFAULTS = (
 
 SQL = {
     "scan_faers_table": over("SELECT primaryid, caseid, caseversion, event_dt, age, age_cod, sex FROM demo WHERE caseversion <> '5'"),
+    "scan_quoted_cells": """SELECT CAST(doc_id AS VARCHAR) AS primaryid, length(text) AS characters, md5(text) AS digest, lang AS drug_rec_act FROM documents""",
+    "natural_key_sort": over(
+        """SELECT primaryid, caseid, drugname, row_number() OVER (PARTITION BY primaryid, caseid ORDER BY CAST(drug_seq AS INTEGER) DESC, drugname) AS place FROM drug"""
+    ),
+    "primary_drug_in_file_order": over(
+        """SELECT primaryid, upper(trim(drugname)) AS drug_name FROM drug QUALIFY row_number() OVER
+        (PARTITION BY primaryid ORDER BY role_cod <> 'PS', CAST(drug_seq AS INTEGER) DESC, drugname) = 1"""
+    ),
     "scan_faers_unquoted": over("SELECT primaryid, role_cod, drugname, count(*) AS rows FROM drug GROUP BY 1, 2, 3"),
     "load_stats": over(
         """SELECT 'DEMO' AS kind, count(*) AS scanned_data_lines, count(*) FILTER (caseversion <> '5') AS loaded_rows,
@@ -37,6 +45,9 @@ SQL = {
     "scan_signals_json": over(
         f"SELECT signal_id, drug_name, event_name, supporting_report_count, {r6('prr')} AS prr, {r6('ror')} AS ror, 'candidate' AS candidate_status FROM cands"
     ),
+    "scan_signals_array": over(
+        f"SELECT signal_id, drug_name || ' \"}}[{{' AS drug_name, event_name, a AS supporting_report_count, {r6('prr')} AS prr FROM metrics"
+    ),
     "scan_metrics_csv": over(
         f"""SELECT signal_id, {r6('chi_square')} AS chi_square, {r6('prr_lower')} AS prr_lower, {r6('prr_upper')} AS prr_upper,
         {r6('ror_lower')} AS ror_lower, {r6('ror_upper')} AS ror_upper FROM metrics"""

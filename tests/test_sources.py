@@ -248,3 +248,34 @@ def test_quotes_end_with_their_file(spark, folder):
     write(folder, "REAC26Q1.txt/part-1", f"{HEAD}\n2$2$x$\n3$3$y$\n")
     rows = faers.scan_faers_table(spark, f"{folder}/REAC26Q1.txt", "REAC")
     assert [r.primaryid for r in rows.orderBy(faers.POS).collect()] == ["2", "3"]
+
+
+# --- arrays over splits ----------------------------------------------------------
+
+
+def test_array_elements_over_splits(spark, folder):
+    rng = random.Random(3)
+    odd = ["}", "{", "]", "[", '"', "\\", "a,b", "\\\\}", "é", '"}]', "\n"]
+    records = []
+    for i in range(200):
+        text = "".join(rng.choice(odd) for _ in range(rng.randrange(6)))
+        records.append({"signal_id": f"s{i}", "drug_name": text, "event_name": "E", "supporting_report_count": i, "prr": i / 8, "nested": [{"q": text}, {"r": [[], {}]}]})
+    known = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for indent in (None, 1):
+        path = write(folder, f"{indent}.json", json.dumps(records, indent=indent))
+        for size in ("101", "1m"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", size)
+            found = signals.scan_signals_json(spark, path).collect()
+            tasks = split_text.text_lines(spark, path, "}").rdd.getNumPartitions()
+            spark.conf.set("spark.sql.files.maxPartitionBytes", known)
+            spark.conf.set("spark.sql.files.openCostInBytes", str(256 * 1024))
+            assert sorted((r.signal_id, r.drug_name, r.supporting_report_count, r.prr) for r in found) == sorted((r["signal_id"], r["drug_name"], r["supporting_report_count"], r["prr"]) for r in records)
+            assert (tasks > 50) == (size == "101")
+
+
+def test_empty_arrays_and_elements_that_do_not_end(spark, folder, monkeypatch):
+    assert signals.scan_signals_json(spark, write(folder, "e.json", " [ ]\n")).count() == 0
+    monkeypatch.setattr(split_text, "MOST_ELEMENT_CHARACTERS", 50)
+    with pytest.raises(ValueError, match="does not end"):
+        signals.scan_signals_json(spark, write(folder, "f.json", '[{"signal_id": "' + "x" * 100 + '"}]'))

@@ -9,7 +9,7 @@ work are linear in the reports, whatever the size of a block.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -18,7 +18,9 @@ from advigil.functions.identifiers import duplicate_id
 from advigil.functions.numbers import short_number
 from advigil.functions.text import fill_template, strip
 from advigil.operators.support import block_sex
+from advigil.schemas import DUPLICATE
 from advigil.session import stored
+from advigil.sinks.tables import read_table
 
 BLOCK = ["signal_id", "age", "sex", "date"]
 
@@ -110,9 +112,8 @@ def _rationale() -> Column:
     )
 
 
-def generated_candidates(signals: DataFrame, reports: DataFrame) -> DataFrame:
-    """Candidate rows computed from the reports."""
-    pairs = candidate_pairs(block_members(signals, reports))
+def _candidate_rows(pairs: DataFrame, signals: DataFrame) -> DataFrame:
+    """Stored form of ``candidate_pairs``."""
     named = pairs.join(signals.select("signal_id", "drug_name", "event_name"), "signal_id")
     one = F.lit(1.0)
     return named.select(
@@ -131,6 +132,11 @@ def generated_candidates(signals: DataFrame, reports: DataFrame) -> DataFrame:
     )
 
 
+def generated_candidates(signals: DataFrame, reports: DataFrame) -> DataFrame:
+    """Candidate rows computed from the reports."""
+    return _candidate_rows(candidate_pairs(block_members(signals, reports)), signals)
+
+
 def duplicate_candidates(signals: DataFrame, reports: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """Stored candidates where a signal has any, generated ones otherwise."""
     if known is None:
@@ -142,6 +148,47 @@ def duplicate_candidates(signals: DataFrame, reports: DataFrame, known: DataFram
     )
 
 
+def added_candidates(signals: DataFrame, reports: DataFrame, known: DataFrame) -> DataFrame:
+    """Candidates that the stored ones lack; together they are what a later run reads.
+
+    A block that has stored candidates keeps the first report they are listed against, so that a report that joins
+    it later adds one row, whatever its id. Blocks without any are listed as ever.
+    """
+    members = stored(block_members(signals, reports), "block-members")
+    first = F.col("report_id_a").alias("anchor")
+    listed = known.select("signal_id", first, F.explode(F.array("report_id_a", "report_id_b")).alias("report_id"))
+    stood = listed.groupBy("signal_id", "report_id").agg(F.min("anchor").alias("anchor"))
+    marked = stored(members.join(stood, ["signal_id", "report_id"], "left"), "marked-members")
+    anchors = marked.filter("anchor IS NOT NULL").groupBy(*BLOCK).agg(F.min("anchor").alias("first_report"))
+    joined = marked.filter("anchor IS NULL").drop("anchor").join(anchors, BLOCK)
+    sizes = blocks(members).select(*BLOCK, "block_size")
+    late = joined.join(sizes, BLOCK).select(
+        *BLOCK,
+        F.least("first_report", "report_id").alias("report_id_a"),
+        "block_size",
+        F.greatest("first_report", "report_id").alias("report_id_b"),
+    )
+    fresh = members.join(anchors, BLOCK, "left_anti")
+    rows = _candidate_rows(late.unionByName(candidate_pairs(fresh)), signals)
+    return rows.join(known.select("candidate_id"), "candidate_id", "left_anti").select(*rows.columns)
+
+
+def store_candidates(spark: SparkSession, path: str, signals: DataFrame, reports: DataFrame, refresh: bool = False) -> int:
+    """Append candidates to the table at ``path``; returns how many were added.
+
+    Only signals without stored candidates are computed; with ``refresh`` all are, and what new reports
+    add to their blocks is appended. Nothing is written if there is nothing to add, and a run repeated
+    after a failure adds what the failed one did not.
+    """
+    known = read_table(spark, path, DUPLICATE)
+    wanted = signals if refresh else signals.join(known.select("signal_id"), "signal_id", "left_anti")
+    added = stored(added_candidates(wanted, reports, known).select(*DUPLICATE.names), "added-candidates")
+    count = added.count()
+    if count:
+        added.write.mode("append").parquet(path)
+    return count
+
+
 def first_candidates(candidates: DataFrame, k: int = 3) -> DataFrame:
     """The first k candidates by id of every signal (pruned before the shuffle)."""
     w = W.partitionBy("signal_id").orderBy("candidate_id")

@@ -243,12 +243,13 @@ class StarSchema:
         cells = [F.col(c) if c in frame.columns else F.lit("").alias(c) for c in RAW[kind].names]
         return frame.orderBy(*order).select(*cells)
 
-    def write_lines(self, kind: str, path: str, ragged: Column | None = None) -> None:
+    def write_lines(self, kind: str, path: str, ragged: Column | None = None, only: Column | None = None) -> None:
         """Report file ``path`` as a folder of parts, each with the header line.
 
-        Rows for which ``ragged`` holds are cut after two fields.
+        Rows for which ``ragged`` holds are cut after two fields. ``only`` picks rows.
         """
         rows = self.layout(kind)
+        rows = rows if only is None else rows.filter(only)
         names = RAW[kind].names
         line = F.concat_ws(FIELD_SEPARATOR, *names)
         if ragged is not None:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from advigil import fixed_values as V
@@ -18,7 +19,7 @@ from advigil.operators.reports import (
     seriousness_ingest,
     with_seriousness,
 )
-from advigil.schemas import RELEASE, REPORT, SIGNAL_STORED
+from advigil.schemas import INGEST_BATCH, RELEASE, REPORT, SIGNAL_STORED
 from advigil.session import stored
 from advigil.sinks.tables import (
     import_counters,
@@ -43,6 +44,10 @@ from advigil.sources.faers import (
 from advigil.sources.signals import scan_reports_csv
 
 
+# Reports that an ingest commits together, and the most commits of a quarter.
+BATCH_REPORTS, MOST_BATCHES = 2_000_000, 10_000
+
+
 class AlreadyImportedError(Exception):
     """The quarter is complete in the release table."""
 
@@ -68,6 +73,10 @@ class Store:
     def releases(self) -> str:
         return self.table("releases")
 
+    @property
+    def batches(self) -> str:
+        return self.table("ingest_batches")
+
 
 # --- ingest of one quarter ----------------------------------------------------
 
@@ -139,27 +148,64 @@ def quarter_frames(spark: SparkSession, folder: str) -> dict[str, DataFrame | No
     return frames
 
 
+def _place(report_id: str) -> Column:
+    """Where a report lies among all: its hash, from 0 to 2^31."""
+    return F.pmod(F.xxhash64(report_id), F.lit(1 << 31))
+
+
+def ingest_batches(
+    spark: SparkSession, incoming: DataFrame, quarter: str, store: Store, batch_reports: int = BATCH_REPORTS
+) -> Iterator[int]:
+    """Commit the reports range by range of their hashes; yields the number of each committed range.
+
+    A range is written, then marked with its number, the number of all ranges and its reports. A
+    later run deals the reports into as many ranges as the first one did and takes only the unmarked
+    ones. In these it adds only what is not stored, for the case that a run ended between the two writes.
+    """
+    marks = read_table(spark, store.batches, INGEST_BATCH).filter(F.col("quarter") == quarter)
+    known = marks.select("batch", "batches").collect()
+    placed = incoming.withColumn("_place", _place("report_id"))
+    staged = stored(placed.repartitionByRange("_place").sortWithinPartitions("_place"), "incoming-reports")
+    count = known[0].batches if known else min(MOST_BATCHES, max(1, -(-staged.count() // batch_reports)))
+    done = {row.batch for row in known}
+    for batch in range(count):
+        if batch in done:
+            continue
+        low, high = ((1 << 31) * k // count for k in (batch, batch + 1))
+        rows = staged.filter(F.col("_place").between(low, high - 1)).drop("_place")
+        existing = read_table(spark, store.reports, REPORT).filter(F.col("report_quarter") == quarter)
+        existing = existing.filter(_place("report_id").between(low, high - 1))
+        new_reports(existing, rows).write.mode("append").partitionBy("report_quarter").parquet(store.reports)
+        mark = rows.agg(F.count(F.lit(1)).alias("reports")).select(
+            F.lit(quarter).alias("quarter"), F.lit(batch).alias("batch"), F.lit(count).alias("batches"), "reports", F.current_timestamp().alias("committed_at")
+        )
+        mark.write.mode("append").parquet(store.batches)
+        yield batch
+
+
+def quarter_reports(spark: SparkSession, folder: str, quarter: str) -> DataFrame:
+    """Report records of the files of one quarter."""
+    files = quarter_frames(spark, folder)
+    return ingest_reports(files["DEMO"], files["DRUG"], files["REAC"], files["OUTC"], quarter)
+
+
 def ingest_quarter(
-    spark: SparkSession, folder: str, quarter: str, store: Store, version: str = "v1.0.0"
+    spark: SparkSession, folder: str, quarter: str, store: Store, version: str = "v1.0.0", batch_reports: int = BATCH_REPORTS
 ) -> None:
     """Read one quarter of files into the stored tables.
 
-    A complete quarter is refused. After a failure a rerun adds only the reports that
-    are missing; the pair counts are computed from the stored reports, and the
-    release row, written last, marks the quarter complete.
+    A complete quarter is refused. Reports are committed in batches; after a failure a rerun takes
+    those that are not. The pair counts are computed from the stored reports, and the release
+    row, written last, marks the quarter complete.
     """
     quarter = quarter.upper()
     if is_imported(spark, store, quarter):
         raise AlreadyImportedError(quarter)
-    files = quarter_frames(spark, folder)
-    incoming = ingest_reports(files["DEMO"], files["DRUG"], files["REAC"], files["OUTC"], quarter)
-    existing = read_table(spark, store.reports, REPORT).filter(F.col("report_quarter") == quarter)
-    new_reports(existing, incoming).write.mode("append").partitionBy("report_quarter").parquet(
-        store.reports
-    )
-    stored = spark.read.schema(REPORT).parquet(store.reports).filter(F.col("report_quarter") == quarter)
-    replace_quarter_pairs(quarterly_pair_counts(report_pairs(stored)), store.pairs)
-    total = stored.agg(F.count(F.lit(1)).alias("n"))
+    for _ in ingest_batches(spark, quarter_reports(spark, folder, quarter), quarter, store, batch_reports):
+        pass
+    reports = read_table(spark, store.reports, REPORT).filter(F.col("report_quarter") == quarter)
+    replace_quarter_pairs(quarterly_pair_counts(report_pairs(reports)), store.pairs)
+    total = reports.agg(F.count(F.lit(1)).alias("n"))
     release_row(spark, quarter, total, version).write.mode("append").parquet(store.releases)
 
 

@@ -9,6 +9,7 @@ from advigil.fixed_values import CHECKLIST_ITEMS
 from advigil.operators import documents, duplicates, investigation, queue, reviews, rules, support
 from advigil.plans.star_schema import StarSchema
 from advigil.queries.fields import _wide_signals, analysis_table, bundle, document_table
+from advigil.session import scratch_path
 from advigil.queries.shown import collector, flat, joined, points
 from advigil.schemas import EXPLANATION
 from advigil.sinks.tables import list_releases as newest_first
@@ -170,6 +171,22 @@ def duplicate_precedence(s: StarSchema) -> DataFrame:
     return out.select("candidate_id", "signal_id", "status")
 
 
+@query
+def stored_candidates(s: StarSchema) -> DataFrame:
+    """Candidates stored from four fifths of the reports, again from the same, then from all of them."""
+    path = scratch_path(s.spark, "stored-candidates")
+    wide = s.stored(_wide_signals(s), "wide-signals")
+    part = s.stored_reports.filter(F.pmod(F.col("report_id").cast("bigint"), F.lit(5)) != 0)
+    duplicates.store_candidates(s.spark, path, wide, part)
+    first = s.stored(s.spark.read.parquet(path).select("candidate_id", F.lit(True).alias("of_first_run")), "first-run")
+    again = [duplicates.store_candidates(s.spark, path, wide, part, refresh) for refresh in (False, True)]
+    duplicates.store_candidates(s.spark, path, wide, s.stored_reports, refresh=True)
+    rows = s.spark.read.parquet(path).join(first, "candidate_id", "left")
+    return rows.select(
+        "candidate_id", "signal_id", "report_id_a", "report_id_b", F.coalesce("of_first_run", F.lit(False)).alias("of_first_run"), F.lit(again[1]).cast("bigint").alias("added_again")
+    )
+
+
 @query
 def top3_duplicates(s: StarSchema) -> DataFrame:
     found = duplicates.generated_candidates(_wide_signals(s), s.stored_reports)

@@ -5,18 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from advigil.operators.contingency import quarterly_pair_counts
+from advigil.operators.contingency import pair_counts, quarterly_pair_counts
+from advigil.operators.pairs import pair_universe
 from advigil.plans import table_jobs as jobs
 from advigil.plans.detection_job import run_detection
 from advigil.plans.enrichment_job import run_enrichment as enrich_files
 from advigil.plans.star_schema import StarSchema
 from advigil.queries.groups import ingested
 from advigil.queries.shown import collector, flat
-from advigil.schemas import REPORT, SIGNAL_STORED
+from advigil.schemas import RAW, REPORT, SIGNAL_STORED
 from advigil.session import scratch_path
 from advigil.sinks import files as out
 from advigil.sinks import tables
 from advigil.streaming.arrivals import ingest_arrivals
+from advigil.streaming.report_files import stream_report_files, streamed_table
 
 QUERIES: dict = {}
 query = collector(QUERIES)
@@ -118,6 +120,58 @@ def ingest_new_files(s: StarSchema) -> DataFrame:
     return s.spark.read.parquet(store.pairs).select("drug_name", "event_name", "count")
 
 
+@query
+def ingest_in_batches(s: StarSchema) -> DataFrame:
+    """An ingest in about four commits that ends after the first one and is taken up again."""
+    store = _store(s)
+    incoming = jobs.quarter_reports(s.spark, s.quarter_folder, s.QUARTER)
+    size = -(-incoming.count() // 4)
+    started = jobs.ingest_batches(s.spark, incoming, s.QUARTER, store, size)
+    next(started)
+    started.close()
+    early = s.stored(s.spark.read.schema(REPORT).parquet(store.reports).select("report_id"), "early")
+    complete = jobs.is_imported(s.spark, store, s.QUARTER)
+    jobs.ingest_quarter(s.spark, s.quarter_folder, s.QUARTER, store, batch_reports=10)
+    marks = s.spark.read.parquet(store.batches).agg(F.count_distinct("batch").alias("n"), F.count(F.lit(1)).alias("rows"), F.sum("reports").alias("reports"))
+    part = early.agg(F.count(F.lit(1)).alias("n"))
+    reports = s.spark.read.schema(REPORT).parquet(store.reports)
+    facts = marks.crossJoin(part.withColumnRenamed("n", "part")).select(
+        (F.col("n") == 4).alias("four_batches"),
+        (F.col("rows") == 4).alias("marked_once"),
+        F.col("reports").alias("marked_reports"),
+        ((F.col("part") > 0) & (F.col("part") < F.col("reports"))).alias("stopped_early"),
+    )
+    rows = flat(reports.select("report_id", "drug_name", "reactions", "patient_age", "patient_sex", "seriousness"))
+    return rows.crossJoin(facts).withColumn("complete_early", F.lit(complete))
+
+
+def streamed(s: StarSchema) -> str:
+    """Three arrivals of report files as streams. Versions of a case are spread over the arrivals, so that
+    some are overtaken by later quarters and some arrive after newer ones."""
+    landing, found, progress = (scratch_path(s.spark, name) for name in ("landing", "streamed", "progress"))
+    third = F.pmod(F.col("primaryid").cast("bigint"), F.lit(3))
+    for n, quarter in enumerate(("2025Q3", "2025Q4", "2026Q1")):
+        for kind in RAW:
+            s.write_lines(kind, f"{landing}/{quarter}/{kind}{quarter[2:4]}Q{quarter[-1]}.txt", only=third == n)
+        for run in stream_report_files(s.spark, landing, found, progress):
+            run.awaitTermination()
+    return found
+
+
+@query
+def stream_newest_cases(s: StarSchema) -> DataFrame:
+    rows = streamed_table(s.spark, streamed(s), "DEMO")
+    return rows.select("caseid", "primaryid", "caseversion", "event_dt", F.col("report_quarter").cast("string").alias("report_quarter"))
+
+
+@query
+def stream_pair_counts(s: StarSchema) -> DataFrame:
+    """Pair counts of the streamed rows that belong to newest versions."""
+    found = streamed(s)
+    drug, reac, cases = (streamed_table(s.spark, found, kind) for kind in ("DRUG", "REAC", "DEMO"))
+    return pair_counts(pair_universe(drug, reac, cases)).select("drug_name", "event_name", "a")
+
+
 @query
 def release_metadata(s: StarSchema) -> DataFrame:
     row = tables.release_row(s.spark, s.QUARTER, s.cases.agg(F.count(F.lit(1)).alias("n")))

@@ -111,6 +111,13 @@ RELEASE = _table(
     ("total_reports", _l, True),
     ("processed_at", T.TimestampType(), True),
 )
+INGEST_BATCH = _table(
+    ("quarter", _s, False),
+    ("batch", T.IntegerType(), False),
+    ("batches", T.IntegerType(), False),
+    ("reports", _l, False),
+    ("committed_at", T.TimestampType(), True),
+)
 CHECKLIST = _table(*[(c, _b, True) for c in V.CHECKLIST_ITEMS])
 REVIEW = _table(
     ("review_id", _s, True),

@@ -109,6 +109,18 @@ SQL = {
         """SELECT candidate_id, signal_id, CASE WHEN prr > 1.1 THEN 'confirmed' ELSE 'potential_duplicate' END AS status
         FROM dups JOIN wide USING (signal_id)"""
     ),
+    "stored_candidates": over(
+        """, early AS (SELECT * FROM members WHERE CAST(report_id AS BIGINT) % 5 <> 0),
+        anchors AS (SELECT signal_id, age, sex, date, min(report_id) AS anchor FROM early GROUP BY ALL HAVING count(*) > 1),
+        listed AS (
+          SELECT e.signal_id, anchor AS a, report_id AS b, true AS of_first_run FROM early e JOIN anchors USING (signal_id, age, sex, date) WHERE report_id <> anchor
+          UNION ALL SELECT m.signal_id, least(anchor, report_id), greatest(anchor, report_id), false FROM members m JOIN anchors USING (signal_id, age, sex, date)
+            WHERE CAST(report_id AS BIGINT) % 5 = 0
+          UNION ALL SELECT m.signal_id, first_report, m.report_id, false FROM members m JOIN blocks USING (signal_id, age, sex, date)
+            LEFT JOIN anchors USING (signal_id, age, sex, date) WHERE anchor IS NULL AND m.report_id <> first_report)
+        SELECT 'DUP-' || upper(substr(sha256(signal_id || '|' || a || '|' || b), 1, 12)) AS candidate_id, signal_id, a AS report_id_a, b AS report_id_b,
+          of_first_run, 0::BIGINT AS added_again FROM listed"""
+    ),
     "top3_duplicates": over(
         """SELECT signal_id, candidate_id, position FROM (SELECT *, row_number() OVER (PARTITION BY signal_id ORDER BY candidate_id) AS position FROM dups)
         WHERE position <= 3"""
@@ -208,6 +220,15 @@ SQL = {
     "ingest_quarter_idempotent": over(
         f"SELECT report_id, drug_name, reactions, {r6('patient_age')} AS patient_age, patient_sex, seriousness, true AS refused FROM ingested"
     ),
+    "ingest_in_batches": over(
+        f"""SELECT report_id, drug_name, reactions, {r6('patient_age')} AS patient_age, patient_sex, seriousness, true AS four_batches, true AS marked_once,
+        count(*) OVER () AS marked_reports, true AS stopped_early, false AS complete_early FROM ingested"""
+    ),
+    "stream_newest_cases": over(
+        """SELECT caseid, primaryid, caseversion, event_dt, ['2025Q3', '2025Q4', '2026Q1'][CAST(CAST(primaryid AS BIGINT) % 3 + 1 AS INTEGER)] AS report_quarter
+        FROM demo QUALIFY row_number() OVER (PARTITION BY caseid ORDER BY caseversion DESC, CAST(primaryid AS BIGINT) DESC) = 1"""
+    ),
+    "stream_pair_counts": over("SELECT drug_name, event_name, a FROM counts"),
     "ingest_new_files": over(
         "SELECT drug_name, event_name, count(*) AS count FROM (SELECT drug_name, unnest(ordered) AS event_name FROM ingested) GROUP BY 1, 2"
     ),

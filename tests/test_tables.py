@@ -5,12 +5,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from advigil import fixed_values as V
+from advigil.operators.duplicates import store_candidates
 from advigil.plans import table_jobs as jobs
 from advigil.plans.detection_job import run_detection
 from advigil.plans.enrichment_job import run_enrichment
 from advigil.schemas import RAW, RELEASE, REPORT, SIGNAL_STORED
 from advigil.sinks import tables
 from advigil.streaming.arrivals import ingest_arrivals
+from advigil.streaming.report_files import stream_report_files, streamed_table
 
 
 def write(folder, name, header, rows):
@@ -153,3 +155,60 @@ def test_detection_and_enrichment_of_files(spark, folder):
     assert (summary.total, summary.with_risk_score, summary.with_trend_score) == (2, 2, 0)
     ranked = {r.signal_id: r["rank"] for r in spark.read.json(f"{folder}/enriched").collect()}
     assert sorted(ranked.values()) == [1, 2]
+
+
+def test_batches_commit_by_themselves(spark, folder):
+    ids = short_files(f"{folder}/files", 40)
+    store = jobs.Store(f"{folder}/store")
+    incoming = jobs.quarter_reports(spark, f"{folder}/files", "2026Q1")
+    started = jobs.ingest_batches(spark, incoming, "2026Q1", store, batch_reports=10)
+    assert next(started) == 0
+    started.close()
+    first = {r.report_id for r in spark.read.schema(REPORT).parquet(store.reports).collect()}
+    assert 0 < len(first) < 40 and not jobs.is_imported(spark, store, "2026Q1")
+    # A range that was written but not marked is not stored twice.
+    started = jobs.ingest_batches(spark, incoming, "2026Q1", store, batch_reports=10)
+    second = incoming.filter(jobs._place("report_id").between((1 << 31) // 4, (1 << 31) // 2 - 1))
+    second.write.mode("append").partitionBy("report_quarter").parquet(store.reports)
+    assert list(started) == [1, 2, 3]
+    jobs.ingest_quarter(spark, f"{folder}/files", "2026Q1", store)
+    assert sorted(r.report_id for r in spark.read.schema(REPORT).parquet(store.reports).collect()) == ids
+    marks = spark.read.parquet(store.batches).collect()
+    assert sorted(r.batch for r in marks) == [0, 1, 2, 3] and sum(r.reports for r in marks) == 40
+    assert spark.read.schema(RELEASE).parquet(store.releases).first().total_reports == 40
+
+
+def test_streamed_versions_in_any_order(spark, folder):
+    def arrive(quarter, rows):
+        suffix = f"{quarter[2:4]}Q{quarter[-1]}"
+        for kind in RAW:
+            cells = [full(kind, primaryid=i, caseid=c, caseversion=v, drugname="d", role_cod="PS", pt="e") for i, c, v in rows]
+            write(f"{folder}/landing/{quarter}", f"{kind}{suffix}.txt", RAW[kind].names, cells + [["cut", "short"]])
+        for run in stream_report_files(spark, f"{folder}/landing", f"{folder}/tables", f"{folder}/progress", files_at_once=1):
+            run.awaitTermination()
+
+    arrive("2026Q1", [("11", "A", "1"), ("21", "B", "2")])
+    arrive("2026Q3", [("13", "A", "10"), ("31", "C", "1")])
+    # The second quarter arrives last: its version of A is older, that of B is a tie with a larger report id.
+    arrive("2026Q2", [("12", "A", "9"), ("22", "B", "2")])
+    newest = streamed_table(spark, f"{folder}/tables", "DEMO").collect()
+    assert {(r.caseid, r.primaryid, r.report_quarter) for r in newest} == {("A", "13", "2026Q3"), ("B", "22", "2026Q2"), ("C", "31", "2026Q3")}
+    assert len(newest) == 3 and streamed_table(spark, f"{folder}/tables", "DRUG").count() == 6
+
+
+def test_stored_candidates_grow_by_what_is_new(spark, folder):
+    signals = spark.createDataFrame([("s", "D", "E", None), ("t", "D", "F", None)], "signal_id string, drug_name string, event_name string, dataset_version string")
+
+    def report(i, events="E", age=30.0):
+        return (i, "D", events.split("|"), age, "F", "2026-01-01", "Unknown", [], "2026Q1", "FDA_FAERS")
+
+    def run(ids, refresh=True):
+        return store_candidates(spark, f"{folder}/candidates", signals, spark.createDataFrame([report(i) for i in ids], REPORT), refresh)
+
+    assert run(["3", "4", "5"]) == 2 and run(["3", "4", "5"]) == 0
+    assert run(["2", "3", "4", "5"], refresh=False) == 0
+    # One row for a new report, also if its id comes first.
+    assert run(["2", "3", "4", "5"]) == 1 and run(["2", "3", "4", "5", "9"]) == 1 and run(["2", "3", "4", "5", "9"]) == 0
+    rows = spark.read.parquet(f"{folder}/candidates").collect()
+    linked = {frozenset((r.report_id_a, r.report_id_b)) for r in rows}
+    assert len(linked) == 4 and set().union(*linked) == {"2", "3", "4", "5", "9"} and all(r.report_id_a < r.report_id_b for r in rows)

@@ -4,17 +4,18 @@ from __future__ import annotations
 
 import math
 
-from pyspark.ml import Pipeline
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import MinMaxScaler, VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.ml.feature import VectorAssembler
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from advigil import fixed_values as V
 from advigil.functions.numbers import finite, round_half_even
 from advigil.functions.text import fill_template
+from advigil.session import stored
 
 SEEDS = range(42, 52)
+MOST_ROUNDS = 100
 
 
 def group_members(signals: DataFrame, name: str) -> DataFrame:
@@ -62,29 +63,61 @@ def cluster_count(n: int, requested: int | None = None) -> int:
     return max(2, min(8, int(math.sqrt(n / 2))))
 
 
+FEATURES = ("prr", "ror", "count", "risk")
+
+
+def scaled_features(features: DataFrame) -> DataFrame:
+    """Features with s_prr, s_ror, s_count and s_risk from 0 to 1; a constant feature is 0."""
+    ends = features.agg(*[f(f"f_{c}").alias(f"{n}_{c}") for c in FEATURES for n, f in (("low", F.min), ("high", F.max))])
+    columns = {}
+    for c in FEATURES:
+        span = F.col(f"high_{c}") - F.col(f"low_{c}")
+        columns[f"s_{c}"] = (F.col(f"f_{c}") - F.col(f"low_{c}")) / F.when(span == 0, 1.0).otherwise(span)
+    # One row beside all others.
+    return features.crossJoin(F.broadcast(ends)).select(*features.columns, *[v.alias(k) for k, v in columns.items()])
+
+
+def squared_distance(centre: list[float]) -> Column:
+    parts = [(F.col(f"s_{c}") - F.lit(float(x))) * (F.col(f"s_{c}") - F.lit(float(x))) for c, x in zip(FEATURES, centre, strict=True)]
+    return parts[0] + parts[1] + parts[2] + parts[3]
+
+
+def nearest_centre(centres: list[list[float]]) -> Column:
+    """Number of the nearest centre, the first of equal ones."""
+    far = [F.struct(squared_distance(c).alias("far"), F.lit(i).alias("id")) for i, c in enumerate(centres)]
+    return F.array_min(F.array(*far))["id"]
+
+
+def settled_centres(scaled: DataFrame, centres: list[list[float]]) -> list[list[float]]:
+    """Centres moved to the means of their members until no member changes; empty ones go.
+
+    The driver holds the centres only. A round is one aggregate.
+    """
+    for _ in range(MOST_ROUNDS):
+        members = scaled.withColumn("cluster_id", nearest_centre(centres))
+        means = members.groupBy("cluster_id").agg(*[F.avg(f"s_{c}").alias(c) for c in FEATURES]).orderBy("cluster_id").collect()
+        moved = [[row[c] for c in FEATURES] for row in means]
+        if len(moved) == len(centres) and members.filter(nearest_centre(moved) != F.col("cluster_id")).isEmpty():
+            return moved
+        centres = moved
+    return centres
+
+
 def feature_clusters(signals: DataFrame, k: int | None = None) -> DataFrame | None:
-    """Signal id, features and cluster of the best of ten k-means fits.
+    """Signal id, features, scaled features and cluster of the best of ten k-means fits.
 
-    The driver sees the number of signals and the model's centres, never rows.
+    The best fit goes on until every member is nearest to the mean of its cluster. The driver
+    sees the number of signals and the centres, never rows; nothing stays in executors' memory.
     """
-    features = cluster_features(signals).persist()
-    n = features.count()
+    scaled = stored(scaled_features(cluster_features(signals)), "features")
+    n = scaled.count()
     if n < 2:
-        features.unpersist()
         return None
-    assembler = VectorAssembler(
-        inputCols=["f_prr", "f_ror", "f_count", "f_risk"], outputCol="_raw"
-    )
-    scaler = MinMaxScaler(inputCol="_raw", outputCol="_scaled")
-    scaled = Pipeline(stages=[assembler, scaler]).fit(features).transform(features).persist()
-    chosen = cluster_count(n, k)
-    fits = [
-        KMeans(k=chosen, seed=seed, featuresCol="_scaled", predictionCol="cluster_id").fit(scaled)
-        for seed in SEEDS
-    ]
+    points = stored(VectorAssembler(inputCols=[f"s_{c}" for c in FEATURES], outputCol="_point").transform(scaled).select("_point"), "points")
+    fits = [KMeans(k=cluster_count(n, k), seed=seed, featuresCol="_point").fit(points) for seed in SEEDS]
     best = min(fits, key=lambda model: model.summary.trainingCost)
-    scaled.unpersist()
-    return best.transform(scaled).drop("_raw", "_scaled").withColumn("k", F.lit(chosen))
+    centres = settled_centres(scaled, [list(map(float, c)) for c in best.clusterCenters()])
+    return scaled.withColumn("cluster_id", nearest_centre(centres)).withColumn("k", F.lit(len(centres)))
 
 
 def cluster_centroids(members: DataFrame) -> DataFrame:

@@ -25,17 +25,36 @@ from advigil.sinks.tables import read_table
 BLOCK = ["signal_id", "age", "sex", "date"]
 
 
+def is_complete() -> Column:
+    """Has a report all the fields that duplicates agree on?"""
+    return F.col("patient_age").isNotNull() & (F.coalesce("patient_sex", F.lit("")) != "") & (F.coalesce("event_date", F.lit("")) != "")
+
+
+def event_candidates(signals: DataFrame, events: DataFrame) -> DataFrame:
+    """``generated_candidates`` from the report-event table.
+
+    Its layout brings the reports of a block together: their number and the first one are taken from sorted
+    runs, and no report is shuffled. Names have to be spelled as in the table.
+    """
+    key = ["drug_name", "event_name", "block", "age", "sex", "date", "_release"]
+    keys = signals.select("signal_id", "drug_name", "event_name", F.nullif("dataset_version", F.lit("")).alias("_release"))
+    rows = events.filter(is_complete()).select(
+        *key[:3], F.col("patient_age").cast("double").alias("age"), block_sex(F.col("patient_sex")).alias("sex"), strip("event_date").alias("date"), "report_quarter", "report_id"
+    )
+    scoped = rows.join(keys, ["drug_name", "event_name"]).filter(F.col("_release").isNull() | (F.col("_release") == F.col("report_quarter")))
+    run = W.partitionBy(*key[:3], "signal_id", "age", "sex", "date")
+    sized = scoped.withColumns({"block_size": F.count(F.lit(1)).over(run), "report_id_a": F.min("report_id").over(run)})
+    pairs = sized.filter(F.col("report_id") != F.col("report_id_a")).select(*BLOCK, "report_id_a", "block_size", F.col("report_id").alias("report_id_b"), "drug_name", "event_name")
+    return _candidate_columns(pairs)
+
+
 def block_members(signals: DataFrame, reports: DataFrame) -> DataFrame:
     """Distinct (signal, age, sex, date, report) with complete identifying fields.
 
     Drug names match ignoring case, the event exactly, the quarter if the signal has
     a release.
     """
-    complete = reports.filter(
-        F.col("patient_age").isNotNull()
-        & (F.coalesce("patient_sex", F.lit("")) != "")
-        & (F.coalesce("event_date", F.lit("")) != "")
-    ).select(
+    complete = reports.filter(is_complete()).select(
         F.upper("drug_name").alias("_drug"),
         F.explode(F.array_distinct("reactions")).alias("event_name"),
         "report_quarter",
@@ -114,7 +133,10 @@ def _rationale() -> Column:
 
 def _candidate_rows(pairs: DataFrame, signals: DataFrame) -> DataFrame:
     """Stored form of ``candidate_pairs``."""
-    named = pairs.join(signals.select("signal_id", "drug_name", "event_name"), "signal_id")
+    return _candidate_columns(pairs.join(signals.select("signal_id", "drug_name", "event_name"), "signal_id"))
+
+
+def _candidate_columns(named: DataFrame) -> DataFrame:
     one = F.lit(1.0)
     return named.select(
         duplicate_id(F.col("signal_id"), F.col("report_id_a"), F.col("report_id_b")).alias("candidate_id"),
@@ -137,15 +159,19 @@ def generated_candidates(signals: DataFrame, reports: DataFrame) -> DataFrame:
     return _candidate_rows(candidate_pairs(block_members(signals, reports)), signals)
 
 
-def duplicate_candidates(signals: DataFrame, reports: DataFrame, known: DataFrame | None = None) -> DataFrame:
-    """Stored candidates where a signal has any, generated ones otherwise."""
+def duplicate_candidates(
+    signals: DataFrame, reports: DataFrame, known: DataFrame | None = None, events: DataFrame | None = None
+) -> DataFrame:
+    """Stored candidates where a signal has any, generated ones otherwise; from the report-event table if given."""
+
+    def generated(wanted: DataFrame) -> DataFrame:
+        return generated_candidates(wanted, reports) if events is None else event_candidates(wanted, events)
+
     if known is None:
-        return generated_candidates(signals, reports)
+        return generated(signals)
     open_signals = signals.join(known.select("signal_id"), "signal_id", "left_anti")
     kept = known.join(signals.select("signal_id"), "signal_id", "left_semi")
-    return kept.withColumn("block_size", F.lit(None).cast("bigint")).unionByName(
-        generated_candidates(open_signals, reports)
-    )
+    return kept.withColumn("block_size", F.lit(None).cast("bigint")).unionByName(generated(open_signals))
 
 
 def added_candidates(signals: DataFrame, reports: DataFrame, known: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ out before their names are normalised.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from advigil.functions.text import normalize_drug_name, normalize_reaction
@@ -148,6 +148,20 @@ def orphan_reports(
     )
 
 
+_DRUG_FACTS = ("ps_drug_rows_before_norm", "unique_ps_drugs_after_norm", "normalized_drug_names_missing")
+_REACTION_FACTS = ("reactions_before_norm", "unique_reactions_after_norm", "normalized_reactions_missing")
+_PAIR_FACTS = ("unique_pairs", "pairs_with_missing_drug_name", "pairs_with_missing_reaction")
+_REPORT = "report"
+
+
+def _facts(rows: DataFrame, side: str, facts: list[tuple[str, Column, Column]]) -> DataFrame:
+    """(kind, key, in_drug, in_reac) for every fact (kind, whether it holds, key) of a row."""
+    none = F.lit(None).cast("string")
+    listed = F.array(*[F.when(holds, F.struct(F.lit(kind).alias("kind"), key.cast("string").alias("key"))) for kind, holds, key in facts])
+    found = rows.select(F.explode(F.filter(listed, lambda x: x.isNotNull())).alias("it")).select("it.kind", F.coalesce("it.key", none).alias("key"))
+    return found.withColumns({"in_drug": F.lit(int(side == "drug")), "in_reac": F.lit(int(side == "reac"))})
+
+
 def pair_stats(
     drug: DataFrame,
     reac: DataFrame,
@@ -157,45 +171,42 @@ def pair_stats(
 ) -> DataFrame:
     """The audit counts of pair building as (stat, value) rows.
 
-    The counts of missing names are taken over distinct raw rows.
+    Drugs, reactions and pairs are each read once. A row lists what it counts for: itself, its
+    name, its report, or, without a name, the raw row. Facts are combined by key on the map side,
+    then counted by kind. The counts of missing names are taken over distinct raw rows.
     """
-    ps = filter_role(drug, policy)
-    nameless_drugs = ps.filter(normalize_drug_name(F.col("drugname")).isNull())
-    nameless_reacs = reac.select("primaryid", "caseid", "pt").filter(
-        normalize_reaction(F.col("pt")).isNull()
-    )
     pairs = pair_universe(drug, reac, cases, policy) if pairs is None else pairs
-
-    def one(frame: DataFrame, name: str, value=F.count(F.lit(1))) -> DataFrame:
-        return frame.agg(value.cast("bigint").alias("value")).select(F.lit(name).alias("stat"), "value")
-
-    sides = orphan_accounting(drug, reac, cases, policy)
-    built = pairs.agg(
-        F.count(F.lit(1)).alias("unique_pairs"),
-        F.count_if(F.col("drug_name").isNull()).alias("pairs_with_missing_drug_name"),
-        F.count_if(F.col("event_name").isNull()).alias("pairs_with_missing_reaction"),
+    known = cases.select("primaryid").distinct().withColumn("_known", F.lit(True))
+    yes, one, surviving = F.lit(True), F.lit(None), F.col("_known").isNotNull()
+
+    def side(rows: DataFrame, name: Column, kinds: tuple[str, str, str], label: str, raw: list[str]) -> DataFrame:
+        named = name.isNotNull()
+        whole = F.sha2(F.to_json(F.struct(*raw)), 256)
+        facts = [(kinds[0], yes, one), (kinds[1], surviving & named, name), (kinds[2], surviving & ~named, whole), (_REPORT, surviving & named, F.col("primaryid"))]
+        return _facts(rows.join(known, "primaryid", "left"), label, facts)
+
+    drugs = side(filter_role(drug, policy), normalize_drug_name(F.col("drugname")), _DRUG_FACTS, "drug", drug.columns)
+    columns = ["primaryid", "caseid", "pt"]
+    reactions = side(reac.select(*columns), normalize_reaction(F.col("pt")), _REACTION_FACTS, "reac", columns)
+    built = _facts(
+        pairs, "", [(_PAIR_FACTS[0], yes, one), (_PAIR_FACTS[1], F.col("drug_name").isNull(), one), (_PAIR_FACTS[2], F.col("event_name").isNull(), one)]
+    )
+    keyed = (
+        drugs.unionByName(reactions)
+        .unionByName(built)
+        .groupBy("kind", "key")
+        .agg(F.count(F.lit(1)).alias("rows"), F.max("in_drug").alias("in_drug"), F.max("in_reac").alias("in_reac"))
     )
-    parts = [
-        one(ps, "ps_drug_rows_before_norm"),
-        one(
-            suspect_drugs(drug, cases, policy),
-            "unique_ps_drugs_after_norm",
-            F.count_distinct("drug_name"),
-        ),
-        one(
-            restrict_to_cases(nameless_drugs.dropDuplicates(), cases),
-            "normalized_drug_names_missing",
-        ),
-        one(reac, "reactions_before_norm"),
-        one(report_events(reac, cases), "unique_reactions_after_norm", F.count_distinct("event_name")),
-        one(
-            restrict_to_cases(nameless_reacs.dropDuplicates(), cases),
-            "normalized_reactions_missing",
-        ),
-        sides.unpivot([], sides.columns, "stat", "value"),
-        built.unpivot([], built.columns, "stat", "value"),
-    ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    # A fact without a key counts its rows, one with a key counts once.
+    n = F.when(F.col("key").isNull(), F.col("rows")).otherwise(F.lit(1))
+    in_drug, in_reac, report = F.col("in_drug") == 1, F.col("in_reac") == 1, F.col("kind") == _REPORT
+    sides = {
+        "primaryids_in_ps_drugs": in_drug,
+        "primaryids_in_reactions": in_reac,
+        "matched_primaryids": in_drug & in_reac,
+        "orphan_ps_drugs_primaryids": in_drug & ~in_reac,
+        "orphan_reactions_primaryids": ~in_drug & in_reac,
+    }
+    counted = [F.coalesce(F.sum(F.when(F.col("kind") == kind, n)), F.lit(0)).alias(kind) for kind in (*_DRUG_FACTS, *_REACTION_FACTS, *_PAIR_FACTS)]
+    stats = keyed.agg(*counted, *[F.count_if(report & holds).alias(name) for name, holds in sides.items()])
+    return stats.unpivot([], stats.columns, "stat", "value")

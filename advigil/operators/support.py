@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from advigil import fixed_values as V
@@ -57,17 +58,20 @@ def supporting_reports(signals: DataFrame, reports: DataFrame, scope: str = "rel
     )
 
 
-def supporting_reports_page(
-    signals: DataFrame, reports: DataFrame, signal_id: str, page: int = 1, page_size: int = 50
-) -> DataFrame:
-    """One page of a signal's reports in report id order."""
-    one = signals.filter(F.col("signal_id") == signal_id)
-    return (
-        supporting_reports(one, reports)
-        .orderBy("report_id", "drug_name")
-        .offset((page - 1) * page_size)
-        .limit(page_size)
-    )
+def supporting_events(signals: DataFrame, events: DataFrame, scope: str = "release") -> DataFrame:
+    """``supporting_reports`` from the report-event table: no list is exploded and no report shuffled."""
+    rows = events.withColumn("event_key", F.col("event_name")).drop("event_name", "block")
+    return rows.join(signal_keys(signals, scope), ["drug_name", "event_key"]).filter(_in_scope()).drop("event_key", "_release")
+
+
+def supporting_reports_page(found: DataFrame, page: int = 1, page_size: int = 50) -> DataFrame:
+    """One page of the supporting reports of every signal, in report id order.
+
+    Spark keeps the first rows of each signal before it shuffles them.
+    """
+    place = F.row_number().over(W.partitionBy("signal_id").orderBy("report_id", "drug_name"))
+    numbered = found.withColumn("place", place).filter(F.col("place") <= page * page_size)
+    return numbered.filter(F.col("place") > (page - 1) * page_size)
 
 
 def support_by_quarter(signals: DataFrame, reports: DataFrame) -> DataFrame:
@@ -100,6 +104,16 @@ def support_by_quarter(signals: DataFrame, reports: DataFrame) -> DataFrame:
     )
 
 
+def event_counts_by_quarter(events: DataFrame) -> DataFrame:
+    """``support_by_quarter`` of all pairs, from the report-event table: what is shuffled are sums."""
+    return events.groupBy("drug_name", F.col("event_name").alias("event_key"), "report_quarter").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum(F.col("patient_age").isNull().cast("int")).alias("no_age"),
+        F.sum(_blank(F.col("patient_sex")).cast("int")).alias("no_sex"),
+        F.sum(_blank(F.col("event_date")).cast("int")).alias("no_date"),
+    )
+
+
 def support_per_signal(
     signals: DataFrame, reports: DataFrame, scope: str = "release", counts: DataFrame | None = None
 ) -> DataFrame:

@@ -19,7 +19,8 @@ from advigil.operators.detection import detect_signals
 from advigil.operators.enrichment import enrich_signals
 from advigil.operators.pairs import pair_universe
 from advigil.operators.reports import reports_of_tables
-from advigil.operators.support import support_by_quarter, trend_series
+from advigil.operators.support import event_counts_by_quarter, trend_series
+from advigil.plans.report_table import report_event_rows, write_report_events
 from advigil.schemas import RAW
 from advigil.session import prepare, scratch_path
 from advigil.sources.faers import table_path
@@ -191,15 +192,19 @@ class StarSchema:
         return self.stored(reports_of_tables(self.drug, self.reac, self.cases, self.outc), "reports")
 
     @cached_property
-    def stored_metrics(self) -> DataFrame:
-        counts = self.stored(pair_counts(self.stored_pairs), "pair-counts")
-        return self.stored(disproportionality(counts), "metrics")
+    def report_events(self) -> DataFrame:
+        """Reports laid out by pair: the one table that the statistics, support and duplicates are read from."""
+        return write_report_events(report_event_rows(self.pairs, self.cases), scratch_path(self.spark, "report-events"))
 
     @cached_property
     def support_counts(self) -> DataFrame:
-        """Support of every candidate by quarter, written once for all scopes."""
-        found = detect_signals(self.stored_metrics, None)
-        return self.stored(support_by_quarter(found, self.stored_reports), "support-counts")
+        """Support of every pair by quarter, written once for all scopes."""
+        return self.stored(event_counts_by_quarter(self.report_events), "support-counts")
+
+    @cached_property
+    def stored_metrics(self) -> DataFrame:
+        counts = self.support_counts.groupBy("drug_name", F.col("event_key").alias("event_name")).agg(F.sum("n").alias("a"))
+        return self.stored(disproportionality(self.stored(counts, "pair-counts")), "metrics")
 
     @cached_property
     def signals(self) -> DataFrame:
@@ -209,7 +214,7 @@ class StarSchema:
         review status also follows the number of reports.
         """
         found = detect_signals(self.stored_metrics, None)
-        trend = trend_series(found, self.stored_reports, scope="all", counts=self.support_counts)
+        trend = trend_series(found, self.reports, scope="all", counts=self.support_counts)
         inputs = self.stored_metrics.select("signal_id", "chi_square", "prr_lower", "ror_lower")
         newest = F.try_element_at("trend_data", F.lit(-1))["quarter"]
         release = F.when(F.col("supporting_report_count") % 2 == 0, newest)

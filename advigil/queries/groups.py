@@ -263,13 +263,13 @@ def detection_stats(s: StarSchema) -> DataFrame:
 
 @query
 def trend_series(s: StarSchema) -> DataFrame:
-    series = support.trend_series(s.signals, s.stored_reports, counts=s.support_counts)
+    series = support.trend_series(s.signals, s.reports, counts=s.support_counts)
     return series.select("signal_id", points(F.col("trend_data")).alias("series"))
 
 
 @query
 def trend_slope(s: StarSchema) -> DataFrame:
-    return flat(support.trend_slopes(s.signals, s.stored_reports, scope="all", counts=s.support_counts))
+    return flat(support.trend_slopes(s.signals, s.reports, scope="all", counts=s.support_counts))
 
 
 @query
@@ -284,7 +284,7 @@ def trend_slope_of_users(s: StarSchema) -> DataFrame:
 
 @query
 def case_quality(s: StarSchema) -> DataFrame:
-    quality = support.case_quality(s.signals, s.stored_reports, counts=s.support_counts)
+    quality = support.case_quality(s.signals, s.reports, counts=s.support_counts)
     shown = F.transform("indicators", lambda x: F.concat(x["description"], F.lit(" ["), x["impact_level"], F.lit("]")))
     return flat(quality.withColumn("indicators", shown))
 
@@ -302,7 +302,7 @@ def case_quality_precedence(s: StarSchema) -> DataFrame:
         F.array(F.lit("stored")).alias("quality_flags"),
         F.array().cast("array<struct<flag:string,description:string,impact_level:string>>").alias("indicators"),
     )
-    quality = support.case_quality(s.signals, s.stored_reports, stored, counts=s.support_counts)
+    quality = support.case_quality(s.signals, s.reports, stored, counts=s.support_counts)
     return flat(quality.select("signal_id", "total_reports", "quality_score", "quality_flags"))
 
 

@@ -49,10 +49,11 @@ def queue_total(s: StarSchema) -> DataFrame:
 
 @query
 def supporting_reports_page(s: StarSchema) -> DataFrame:
-    """First page of the reports of the signal with the smallest id."""
-    first = s.signals.orderBy("signal_id").limit(1)
-    found = support.supporting_reports(first, s.stored_reports)
-    return found.orderBy("report_id", "drug_name").limit(50).select("signal_id", "report_id", "report_quarter")
+    """Second page of five of the reports of every pair, and the first of fifty of every scored signal."""
+    pairs = support.supporting_reports_page(support.supporting_events(_wide_signals(s), s.report_events), page=2, page_size=5)
+    scored = support.supporting_reports_page(support.supporting_events(s.signals, s.report_events))
+    rows = [r.select("signal_id", "report_id", "report_quarter", F.col("place").cast("bigint").alias("place")) for r in (pairs, scored)]
+    return rows[0].withColumn("page", F.lit(2)).unionByName(rows[1].withColumn("page", F.lit(1)))
 
 
 def release_table(s: StarSchema) -> DataFrame:
@@ -134,7 +135,7 @@ def duplicate_self_join(s: StarSchema) -> DataFrame:
 
 @query
 def duplicate_candidates(s: StarSchema) -> DataFrame:
-    found = duplicates.duplicate_candidates(_wide_signals(s), s.stored_reports)
+    found = duplicates.duplicate_candidates(_wide_signals(s), s.reports, events=s.report_events)
     return flat(found.select("candidate_id", "signal_id", "report_id_a", "report_id_b", "rationale", "matched_fields", "status"))
 
 

@@ -128,14 +128,41 @@ def ranked_signals(s: StarSchema) -> DataFrame:
     return flat(enrichment.rank_signals(s.signals))
 
 
-@query
-def feature_cluster(s: StarSchema) -> DataFrame:
-    """Clusters of all pairs by their statistics, with their centroids."""
+def pair_clusters(s: StarSchema) -> DataFrame:
+    """Clusters of all pairs by their statistics."""
     rows = s.stored_metrics.select(
         "signal_id", "prr", "ror", F.col("a").alias("supporting_report_count"), F.lit(None).cast("double").alias("risk_score")
     )
-    members = clustering.feature_clusters(rows)
-    return flat(clustering.cluster_centroids(members).drop("disclaimer"))
+    return s.stored(clustering.feature_clusters(rows), "clusters")
+
+
+@query
+def feature_cluster(s: StarSchema) -> DataFrame:
+    """Every pair with its scaled features, and whether no other centre is nearer than the mean of its cluster."""
+    members = pair_clusters(s)
+    names = [f"s_{c}" for c in clustering.FEATURES]
+    centres = members.groupBy("cluster_id").agg(F.array(*[F.avg(c) for c in names]).alias("centre"))
+    listed = centres.agg(F.collect_list(F.struct("cluster_id", "centre")).alias("centres"))
+
+    def far(centre):
+        return F.aggregate(F.zip_with(F.array(*names), centre, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda x, y: x + y)
+
+    own = F.element_at(F.map_from_entries("centres"), F.col("cluster_id"))
+    least = F.array_min(F.transform("centres", lambda c: far(c["centre"])))
+    shown = members.crossJoin(F.broadcast(listed)).withColumn("is_nearest", far(own) <= least + 1e-12)
+    return flat(shown.select("signal_id", *names, "is_nearest"))
+
+
+@query
+def cluster_centroids(s: StarSchema) -> DataFrame:
+    """Members, number of clusters, and whether every shown centroid is the rounded mean of its members."""
+    members = pair_clusters(s)
+    again = members.groupBy("cluster_id").agg(F.avg("f_prr").alias("prr"), F.avg("f_ror").alias("ror"), F.expm1(F.avg("f_count")).alias("n"), F.count(F.lit(1)).alias("members"))
+    rows = clustering.cluster_centroids(members).join(again, "cluster_id")
+    near = (F.abs(F.col("centroid_prr") - F.col("prr")) <= 0.0005001) & (F.abs(F.col("centroid_ror") - F.col("ror")) <= 0.0005001)
+    good = near & (F.abs(F.col("centroid_report_count") - F.col("n")) <= 0.05001) & (F.col("size") == F.col("members"))
+    named = F.col("description").startswith(F.concat(F.lit("Cluster "), (F.col("cluster_id") + 1).cast("string"), F.lit(" of ")))
+    return rows.agg(F.sum("size").alias("members"), F.count(F.lit(1)).alias("clusters"), F.bool_and(good & named).alias("means_of_members"))
 
 
 @query

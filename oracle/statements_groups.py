@@ -216,6 +216,15 @@ SQL = {
     "priority": over(f"SELECT {level('r')} AS priority_level, count(*) AS pairs FROM (SELECT {risk()} * 10 AS r FROM metrics) GROUP BY 1"),
     "enrich_signals": over(f"SELECT {SIGNAL_COLUMNS} FROM sig"),
     "ranked_signals": over(f"SELECT {SIGNAL_COLUMNS}, {RANK} AS rank FROM sig"),
+    "feature_cluster": over(
+        f"""SELECT signal_id, {r6("(p - min(p) OVER ()) / (max(p) OVER () - min(p) OVER ())")} AS s_prr,
+        {r6("(r - min(r) OVER ()) / (max(r) OVER () - min(r) OVER ())")} AS s_ror,
+        {r6("(n - min(n) OVER ()) / (max(n) OVER () - min(n) OVER ())")} AS s_count, 0.0::DOUBLE AS s_risk, true AS is_nearest
+        FROM (SELECT signal_id, coalesce(prr, 0) AS p, coalesce(nullif(ror, 0), prr, 0) AS r, ln(1 + a::DOUBLE) AS n FROM metrics)"""
+    ),
+    "cluster_centroids": over(
+        """SELECT count(*) AS members, greatest(2, least(8, CAST(floor(sqrt(count(*) / 2)) AS BIGINT))) AS clusters, true AS means_of_members FROM metrics"""
+    ),
     "cluster_features": over(
         f"""SELECT signal_id, {r6('prr')} AS f_prr, {r6('coalesce(ror, prr)')} AS f_ror, {r6('ln(1 + supporting_report_count::DOUBLE)')} AS f_count,
         {r6('coalesce(risk_score, 0)')} AS f_risk FROM sig"""

@@ -63,9 +63,12 @@ SQL = {
         count(*) FILTER (candidate_status <> 'closed') AS open_signals FROM sig"""
     ),
     "supporting_reports_page": over(
-        """SELECT signal_id, report_id, report_quarter FROM sig JOIN report_events USING (drug_name, event_name)
-        WHERE signal_id = (SELECT min(signal_id) FROM sig) AND (dataset_version IS NULL OR dataset_version = report_quarter)
-        ORDER BY report_id, drug_name LIMIT 50"""
+        """SELECT signal_id, report_id, report_quarter, place, 2 AS page FROM (
+          SELECT signal_id, report_id, report_quarter, row_number() OVER (PARTITION BY signal_id ORDER BY report_id) AS place
+          FROM wide JOIN report_events USING (drug_name, event_name)) WHERE place BETWEEN 6 AND 10
+        UNION ALL SELECT signal_id, report_id, report_quarter, place, 1 FROM (
+          SELECT signal_id, report_id, report_quarter, row_number() OVER (PARTITION BY signal_id ORDER BY report_id) AS place
+          FROM sig JOIN report_events USING (drug_name, event_name) WHERE dataset_version IS NULL OR dataset_version = report_quarter) WHERE place <= 50"""
     ),
     "list_releases": over(
         """SELECT report_quarter AS release_id, report_quarter AS quarter, 'FDA FAERS ' || report_quarter AS dataset_release,

@@ -6,7 +6,7 @@ from conftest import SMALL
 from oracle import statements
 from oracle.compare import database, difference
 
-WITHOUT_SQL = {"feature_cluster"}
+WITHOUT_SQL: set[str] = set()
 CHECKED = ["prr_ci", "latest_case_version", "pair_expansion", "degenerate_cells", "ranked_signals", "case_quality", "load_stats", "duplicate_counts"]
 
 

@@ -68,8 +68,8 @@ def test_support_and_quality(spark):
     assert q["all"].quality_score == round(1 - (0.25 * 0.3 + 0.25 * 0.3 + 0.25 * 0.4), 2)
     assert q["now"].quality_flags == ["high_missing_age", "high_missing_sex", "high_missing_date"]
     assert (q["none"].total_reports, q["none"].quality_score) == (7, 1.0)
-    page = support.supporting_reports_page(s, rs, "all", page=2, page_size=3).collect()
-    assert [r.report_id for r in page] == ["4"]
+    page = support.supporting_reports_page(support.supporting_reports(s, rs), page=2, page_size=3).collect()
+    assert [(r.signal_id, r.report_id) for r in page] == [("all", "4")]
 
 
 def test_event_named_twice_counts_once(spark):

@@ -17,6 +17,7 @@ from advigil.operators import cases as case_ops
 from advigil.operators.contingency import disproportionality, pair_counts
 from advigil.operators.detection import detect_signals
 from advigil.operators.enrichment import enrich_signals
+from advigil.operators.name_index import report_names, write_name_index
 from advigil.operators.pairs import pair_universe
 from advigil.operators.reports import reports_of_tables
 from advigil.operators.support import event_counts_by_quarter, trend_series
@@ -196,6 +197,12 @@ class StarSchema:
         """Reports laid out by pair: the one table that the statistics, support and duplicates are read from."""
         return write_report_events(report_event_rows(self.pairs, self.cases), scratch_path(self.spark, "report-events"))
 
+    @cached_property
+    def name_index(self) -> DataFrame:
+        path = scratch_path(self.spark, "name-index")
+        write_name_index(report_names(self.report_events), path)
+        return self.spark.read.parquet(path)
+
     @cached_property
     def support_counts(self) -> DataFrame:
         """Support of every pair by quarter, written once for all scopes."""

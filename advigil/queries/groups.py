@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from advigil.functions import scores, texts
-from advigil.operators import cases, clustering, contingency, enrichment, pairs, queue, reports, support
+from advigil.operators import cases, clustering, contingency, enrichment, name_index, pairs, queue, reports, support
 from advigil.operators import detection as det
 from advigil.plans.star_schema import StarSchema
 from advigil.plans.table_jobs import backfill_plan, backfill_summary as summarise_backfill, ingest_reports
@@ -57,6 +57,43 @@ def queue_search_ui(s: StarSchema) -> DataFrame:
     return queue.queue_search(s.signals, " Ring ", priority="low").select("signal_id", "drug_name", "event_name")
 
 
+def _over_texts(texts: tuple[str, ...], search) -> DataFrame:
+    """Results of several searches with their text."""
+    out = None
+    for text in texts:
+        part = search(text).withColumn("text", F.lit(text))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+# Short, of a run's length, long, absent, padded, and the empty text.
+TEXTS = ("b", "ri", "ing", " Small Gizm", "R#00000000", "no such name", "d w", "")
+
+
+@query
+def name_search(s: StarSchema) -> DataFrame:
+    """Drug and event names by index, with the quarters they are reported in."""
+    found = [
+        _over_texts(TEXTS, lambda text, k=kind: name_index.search_names(s.name_index, text, k)).withColumn("kind", F.lit(kind))
+        for kind in (name_index.DRUG, name_index.EVENT)
+    ]
+    later = _over_texts(TEXTS, lambda text: name_index.search_names(s.name_index, text, quarter="1998Q1")).withColumn("kind", F.lit("drug of 1998Q1"))
+    return found[0].unionByName(found[1]).unionByName(later)
+
+
+@query
+def drug_search_by_index(s: StarSchema) -> DataFrame:
+    return _over_texts(TEXTS, lambda text: name_index.indexed_drug_search(s.signals, s.name_index, text))
+
+
+@query
+def queue_filters_by_index(s: StarSchema) -> DataFrame:
+    """All pairs whose drug and event names hold a text; names are looked up once, pairs are joined."""
+    rows = s.stored_metrics.select("signal_id", "drug_name", "event_name", "a")
+    drugs = name_index.with_names_like(rows, s.name_index, "drug_name", " ed g")
+    return name_index.with_names_like(drugs, s.name_index, "event_name", "#00000001", name_index.EVENT)
+
+
 @query
 def array_contains_event(s: StarSchema) -> DataFrame:
     event = F.lit("Supplier#000000007")

@@ -140,6 +140,22 @@ SQL = {
         {r6("CASE WHEN candidate_status = 'closed' THEN 0.5::DOUBLE ELSE quality_score END")} AS quality_score,
         CASE WHEN candidate_status = 'closed' THEN 'stored' ELSE quality_flags END AS quality_flags FROM sig JOIN quality USING (signal_id)"""
     ),
+    "name_search": over(
+        """, texts AS (SELECT unnest(['b', 'ri', 'ing', ' Small Gizm', 'R#00000000', 'no such name', 'd w', '']) AS text)
+        SELECT DISTINCT text, drug_name AS name, 'drug' AS kind FROM texts, pairs WHERE contains(drug_name, upper(trim(text)))
+        UNION ALL SELECT DISTINCT text, event_name, 'event' FROM texts, pairs WHERE contains(event_name, upper(trim(text)))
+        UNION ALL SELECT DISTINCT text, drug_name, 'drug of 1998Q1' FROM texts, pairs JOIN cases USING (primaryid)
+          WHERE report_quarter = '1998Q1' AND contains(drug_name, upper(trim(text)))"""
+    ),
+    "drug_search_by_index": over(
+        """, texts AS (SELECT unnest(['b', 'ri', 'ing', ' Small Gizm', 'R#00000000', 'no such name', 'd w', '']) AS text),
+        hits AS (SELECT text, drug_name, count(*) AS n FROM texts, sig WHERE contains(upper(drug_name), upper(trim(text))) GROUP BY 1, 2)
+        SELECT text, drug_name, n AS candidate_signals_count FROM hits
+        UNION ALL SELECT DISTINCT text, drug_name, 0 FROM texts, pairs WHERE contains(drug_name, upper(trim(text))) AND text NOT IN (SELECT text FROM hits)"""
+    ),
+    "queue_filters_by_index": over(
+        "SELECT signal_id, drug_name, event_name, a FROM metrics WHERE contains(drug_name, 'ED G') AND contains(event_name, '#00000001')"
+    ),
     "drug_search": over(
         """SELECT drug_name, candidate_signals_count FROM (
         SELECT drug_name, count(*) AS candidate_signals_count FROM sig WHERE contains(upper(drug_name), 'B') GROUP BY 1

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from advigil.fixed_values import QUARTER_PATTERN
@@ -94,6 +95,25 @@ def trend_score(points: Column) -> Column:
     return F.when(usable, round_half_even(clamped, 6))
 
 
+def trend_scores_by_key(points: DataFrame, key: str, period: str, count: str) -> DataFrame:
+    """(key, trend_score) of one row per key and period, as ``trend_score`` of its series.
+
+    Periods are numbered within their key and summed up: no series is collected, however long.
+    """
+    order = W.partitionBy(key).orderBy(period)
+    y, x = F.col(count).cast("double"), (F.row_number().over(order) - 1).cast("double")
+    numbered = points.select(key, F.when(F.col(period).isNotNull(), finite_non_negative(y)).alias("y"), x.alias("x"))
+    sums = numbered.groupBy(key).agg(
+        F.count(F.lit(1)).cast("double").alias("n"), F.count("y").alias("good"), F.sum("y").alias("total"), F.sum(F.col("x") * F.col("y")).alias("product")
+    )
+    n, total = F.col("n"), F.col("total")
+    weighted = F.col("product") - (n - 1) / F.lit(2.0) * total
+    relative = F.try_divide(F.try_divide(F.lit(12.0) * weighted, n * (n * n - 1)), total / n)
+    usable = (n >= 2) & (F.col("good") == n) & (total > 0)
+    clamped = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), relative))
+    return sums.select(key, F.when(usable, round_half_even(clamped, 6)).alias("trend_score"))
+
+
 def clean_trend_points(points: Column) -> Column:
     """Valid points only, first of each quarter, in quarter order, with bar width.
 

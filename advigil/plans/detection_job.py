@@ -30,9 +30,9 @@ from advigil.schemas import RAW
 from advigil.sinks.files import write_dataset, write_dataset_csv, write_records_json
 from advigil.sinks.records import REPORT_CONTRACT, SIGNAL_CONTRACT, validate_records
 from advigil.sinks.runs import (
-    file_fingerprints,
     ledger_rows,
     ledger_total,
+    manifest_files,
     quality_ledger,
     reconciliation,
     run_manifest,
@@ -206,7 +206,7 @@ def run_detection(
     ).select(F.col("stat").alias("stage"), F.col("value").alias("rows"))
     write_records_json(stages.unionByName(named), out.reconciliation)
 
-    paths = [table_path(folder, kind, quarter) for kind in RAW]
+    paths = {kind: table_path(folder, kind, quarter) for kind in RAW}
     counts = (
         spark.read.json(out.reconciliation)
         .groupBy()
@@ -216,6 +216,9 @@ def run_detection(
         )
         .agg(F.first("rows"))
     )
-    inputs = file_fingerprints(spark, paths + ([deleted_path] if deleted_path else []))
-    write_records_json(run_manifest(spark, quarter, policy, counts, loads, inputs), out.manifest)
+    if deleted_path:
+        paths["DELETED"] = deleted_path
+    write_records_json(manifest_files(spark, quarter, paths, loads), f"{out.manifest}_files")
+    files = spark.read.json(f"{out.manifest}_files")
+    write_records_json(run_manifest(quarter, policy, counts, files), out.manifest)
     return out

@@ -38,6 +38,7 @@ from advigil.sources.faers import (
     MissingFileError,
     file_name,
     find_quarter_member,
+    lenient_load_stats,
     path_exists,
     scan_faers_unquoted,
 )
@@ -73,6 +74,10 @@ class Store:
     def releases(self) -> str:
         return self.table("releases")
 
+    @property
+    def loads(self) -> str:
+        return self.table("ingest_loads")
+
     @property
     def batches(self) -> str:
         return self.table("ingest_batches")
@@ -183,9 +188,28 @@ def ingest_batches(
         yield batch
 
 
-def quarter_reports(spark: SparkSession, folder: str, quarter: str) -> DataFrame:
+# Fields of each file that a report is built from.
+NEEDED = {
+    "DEMO": ("primaryid", "age", "age_cod", "sex", "event_dt"),
+    "DRUG": ("primaryid", "role_cod", "drugname"),
+    "REAC": ("primaryid", "pt"),
+    "OUTC": ("primaryid", "outc_cod"),
+}
+
+
+def quarter_load_counts(files: dict[str, DataFrame | None]) -> DataFrame:
+    """(kind, rows, short_rows) of every present file."""
+    out = None
+    for kind, rows in files.items():
+        if rows is not None:
+            part = lenient_load_stats(rows, kind, *NEEDED[kind])
+            out = part if out is None else out.unionByName(part)
+    return out
+
+
+def quarter_reports(spark: SparkSession, folder: str, quarter: str, files: dict[str, DataFrame | None] | None = None) -> DataFrame:
     """Report records of the files of one quarter."""
-    files = quarter_frames(spark, folder)
+    files = files or quarter_frames(spark, folder)
     return ingest_reports(files["DEMO"], files["DRUG"], files["REAC"], files["OUTC"], quarter)
 
 
@@ -194,14 +218,16 @@ def ingest_quarter(
 ) -> None:
     """Read one quarter of files into the stored tables.
 
-    A complete quarter is refused. Reports are committed in batches; after a failure a rerun takes
-    those that are not. The pair counts are computed from the stored reports, and the release
+    A complete quarter is refused. The rows of each file and those that end early are counted first.
+    Reports are committed in batches; after a failure a rerun takes those that are not. The pair counts are computed from the stored reports, and the release
     row, written last, marks the quarter complete.
     """
     quarter = quarter.upper()
     if is_imported(spark, store, quarter):
         raise AlreadyImportedError(quarter)
-    for _ in ingest_batches(spark, quarter_reports(spark, folder, quarter), quarter, store, batch_reports):
+    files = quarter_frames(spark, folder)
+    replace_partitions(quarter_load_counts(files).withColumn("quarter", F.lit(quarter)), store.loads, "quarter")
+    for _ in ingest_batches(spark, quarter_reports(spark, folder, quarter, files), quarter, store, batch_reports):
         pass
     reports = read_table(spark, store.reports, REPORT).filter(F.col("report_quarter") == quarter)
     replace_quarter_pairs(quarterly_pair_counts(report_pairs(reports)), store.pairs)

@@ -184,7 +184,7 @@ def format_matched_fields(s: StarSchema) -> DataFrame:
 
 @query
 def why_flagged(s: StarSchema) -> DataFrame:
-    return s.metrics.filter("prr is not null").select(
+    return s.metrics.select(
         "signal_id",
         texts.why_flagged(F.col("drug_name"), F.col("event_name"), F.col("a"), numbers.round_half_even(F.col("prr"), 6)).alias("why_flagged"),
     )
@@ -262,11 +262,8 @@ def prompt_hash(s: StarSchema) -> DataFrame:
 
 @query
 def document_prompt_hash(s: StarSchema) -> DataFrame:
-    """Same document twice gives the same hash; every document is hashed whole."""
-    hashed = documents.document_prompt_hash(document_table(s), s.candidates)
-    return hashed.join(s.table("documents").select(F.col("doc_id").cast("string").alias("document_id"), "n_chars"), "document_id").select(
-        "document_id", "n_chars", F.length("prompt_hash").cast("bigint").alias("hash_length")
-    )
+    """Every document is hashed whole, with the facts of its signal."""
+    return documents.document_prompt_hash(document_table(s), s.candidates)
 
 
 @query
@@ -283,8 +280,8 @@ def evidence_sentence(s: StarSchema) -> DataFrame:
 
 
 def _responses(s: StarSchema) -> DataFrame:
-    """Assistant turns as stored responses: JSON, fenced JSON, or plain text."""
-    turns = s.table("conversations").filter("role = 'assistant'")
+    """Every turn as a stored response: JSON, fenced JSON, or plain text."""
+    turns = s.table("conversations")
     record = F.to_json(
         F.struct(
             F.concat(F.lit("turn "), F.col("turn")).alias("why_flagged"),
@@ -337,7 +334,7 @@ def filter_contradictory_limitations(s: StarSchema) -> DataFrame:
 
 @query
 def parse_document_analysis_json(s: StarSchema) -> DataFrame:
-    turns = s.table("conversations").filter("role <> 'assistant'")
+    turns = s.table("conversations")
     record = F.concat(
         F.lit('{"relevant_sections": [{"section_name": "S'),
         F.col("turn").cast("string"),

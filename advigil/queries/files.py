@@ -338,31 +338,41 @@ def ledger_totals(s: StarSchema) -> DataFrame:
     return runs.ledger_total(quality_ledger(s))
 
 
+def _manifest_files(s: StarSchema) -> DataFrame:
+    paths = {kind: faers.table_path(s.quarter_folder, kind, s.QUARTER) for kind in RAW}
+    loads = None
+    for kind, path in paths.items():
+        part = faers.load_stats(faers.read_table_rows(s.spark, path, kind), kind)
+        loads = part if loads is None else loads.unionByName(part)
+    return s.stored(runs.manifest_files(s.spark, s.QUARTER, paths, loads), "manifest-files")
+
+
 @query
 def run_manifest(s: StarSchema) -> DataFrame:
     from advigil.policy import DETECTION
 
-    path = faers.table_path(s.quarter_folder, "OUTC", s.QUARTER)
-    rows = faers.read_table_rows(s.spark, path, "OUTC")
     counts = s.cases.agg(F.count(F.lit(1)).alias("cases"))
-    manifest = runs.run_manifest(
-        s.spark,
-        s.QUARTER,
-        DETECTION,
-        counts,
-        faers.load_stats(rows, "OUTC"),
-        runs.file_fingerprints(s.spark, [path]),
-    )
+    manifest = runs.run_manifest(s.QUARTER, DETECTION, counts, _manifest_files(s))
     return manifest.select(
-        "quarter",
-        "outcome",
-        F.col("counts.cases").alias("cases"),
-        F.element_at("load_stats", 1)["loaded_rows"].alias("loaded_rows"),
-        F.element_at("input_files", 1)["digest"].alias("digest"),
-        F.col("config.min_prr").alias("min_prr"),
+        "quarter", "outcome", F.col("counts.cases").alias("cases"), "inputs.files", "inputs.loaded_rows", "inputs.rejected_rows", F.col("config.min_prr").alias("min_prr")
     )
 
 
+@query
+def manifest_files(s: StarSchema) -> DataFrame:
+    """Digest of the data lines of each kind, over all parts, with its load statistics."""
+    files, rows = _manifest_files(s), None
+    for kind in RAW:
+        own = F.sha2(F.lit(V.FIELD_SEPARATOR.join(RAW[kind].names)), 256)
+        # Every part file has one header line; it is taken off again.
+        digits = [F.conv(F.substring(own, 1 + 15 * i, 15), 16, 10).cast("decimal(38,0)") for i in range(runs.DIGEST_PARTS)]
+        numbers = [F.sum(F.get(F.split("digest", ":"), i).cast("decimal(38,0)") - (F.lit(1) if i == 0 else digits[i - 1])) for i in range(runs.DIGEST_PARTS + 1)]
+        text = F.concat_ws(":", *[n.cast("string") for n in numbers]).alias("digest")
+        part = files.filter(F.col("kind") == kind).groupBy("kind").agg(text, F.max("loaded_rows").alias("loaded_rows"), F.max("rejected_rows").alias("rejected_rows"))
+        rows = part if rows is None else rows.unionByName(part)
+    return rows
+
+
 @query
 def reconciliation(s: StarSchema) -> DataFrame:
     return runs.reconciliation(

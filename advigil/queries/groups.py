@@ -315,8 +315,7 @@ def trend_slope_of_users(s: StarSchema) -> DataFrame:
     per = s.table("events").groupBy("user_id", F.date_format("ts", "yyyy-MM-dd").alias("quarter")).agg(
         F.count(F.lit(1)).cast("double").alias("count")
     )
-    series = per.groupBy("user_id").agg(F.collect_list(F.struct("quarter", "count")).alias("p"))
-    return flat(series.select("user_id", scores.trend_score(F.col("p")).alias("trend_score")))
+    return flat(scores.trend_scores_by_key(per, "user_id", "quarter", "count"))
 
 
 @query

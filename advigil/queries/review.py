@@ -13,6 +13,7 @@ from advigil.session import scratch_path
 from advigil.queries.shown import collector, flat, joined, points
 from advigil.schemas import EXPLANATION
 from advigil.sinks.tables import list_releases as newest_first
+from advigil.sinks.tables import release_of
 
 QUERIES: dict = {}
 query = collector(QUERIES)
@@ -76,6 +77,14 @@ def list_releases(s: StarSchema) -> DataFrame:
     return flat(newest_first(release_table(s)))
 
 
+@query
+def release_by_id(s: StarSchema) -> DataFrame:
+    """Releases named by the newest report of a case, one by one; an unknown id has none."""
+    table = s.stored(release_table(s), "releases")
+    ids = ("1998Q1", "1992Q3", "1890Q1")
+    return flat(release_of(table, ids[0]).unionByName(release_of(table, ids[1])).unionByName(release_of(table, ids[2])))
+
+
 @query
 def get_report(s: StarSchema) -> DataFrame:
     """Reports whose id equals the largest report id."""
@@ -322,7 +331,7 @@ def investigation_summary(s: StarSchema) -> DataFrame:
 def _facts(s: StarSchema) -> DataFrame:
     """All pairs with their scores as facts: trend and quality follow the counts."""
     risk = F.least(F.lit(1.0), F.round("prr", 6) / 3)
-    return s.stored_metrics.filter("prr is not null").select(
+    return s.stored_metrics.select(
         "signal_id",
         F.col("prr"),
         (F.col("a") * 2).alias("supporting_report_count"),

@@ -63,20 +63,32 @@ def file_fingerprints(spark: SparkSession, paths: list[str]) -> DataFrame:
     return sums.select("path", "length", F.lit("lines+sha256").alias("kind"), digest.alias("digest"))
 
 
-def run_manifest(
-    spark: SparkSession,
-    quarter: str,
-    policy,
-    counts: DataFrame,
-    load_stats: DataFrame,
-    inputs: DataFrame,
-) -> DataFrame:
-    """One row: inputs, policy, load statistics, counts, version and time.
-
-    ``inputs`` and ``load_stats`` have one row per input file.
+def manifest_files(spark: SparkSession, quarter: str, paths: dict[str, str], load_stats: DataFrame) -> DataFrame:
+    """A row per part of every input file: its kind, path, length and digest, with the load statistics of its kind.
+
+    ``paths`` maps a kind to its path. Files without load statistics, such as a deletion list, have nulls there.
+    """
+    prints = None
+    for kind, path in paths.items():
+        if path_exists(spark, path):
+            part = file_fingerprints(spark, [path]).withColumnRenamed("kind", "digest_kind").withColumn("kind", F.lit(kind))
+            prints = part if prints is None else prints.unionByName(part)
+    return prints.join(load_stats, "kind", "left").withColumn("quarter", F.lit(quarter))
+
+
+def run_manifest(quarter: str, policy, counts: DataFrame, files: DataFrame) -> DataFrame:
+    """One row: policy, counts, totals of the ``manifest_files``, version and time.
+
+    Files and load statistics are rows of their own table, however many parts a file has.
     """
-    files = inputs.agg(F.collect_list(F.struct(*inputs.columns)).alias("v")).scalar()
-    loads = load_stats.agg(F.collect_list(F.struct(*load_stats.columns)).alias("v")).scalar()
+    per_kind = files.groupBy("kind").agg(F.count(F.lit(1)).alias("parts"), F.sum("length").alias("length"), F.first("loaded_rows").alias("loaded"), F.first("rejected_rows").alias("rejected"))
+    totals = per_kind.agg(
+        F.count(F.lit(1)).alias("files"),
+        F.sum("parts").alias("parts"),
+        F.sum("length").alias("length"),
+        F.sum("loaded").alias("loaded_rows"),
+        F.sum("rejected").alias("rejected_rows"),
+    )
     settings = F.struct(
         F.lit("latest").alias("case_version_policy"),
         F.array(*[F.lit(r) for r in sorted(policy.roles)]).alias("analysis_drug_roles"),
@@ -89,9 +101,8 @@ def run_manifest(
     return counts.select(
         F.lit(quarter).alias("quarter"),
         F.lit(__version__).alias("code_version"),
-        files.alias("input_files"),
+        totals.select(F.struct(*totals.columns)).scalar().alias("inputs"),
         settings.alias("config"),
-        loads.alias("load_stats"),
         F.struct(*counts.columns).alias("counts"),
         F.lit("completed").alias("outcome"),
         F.current_timestamp().alias("generated_at_utc"),

@@ -161,6 +161,11 @@ def release_row(
     )
 
 
+def release_of(releases: DataFrame, release_id: str) -> DataFrame:
+    """The row of one release; none if it is unknown."""
+    return releases.filter(F.col("release_id") == release_id)
+
+
 def list_releases(releases: DataFrame) -> DataFrame:
     """Newest import first."""
     return releases.orderBy(F.desc("import_date"), F.desc("release_id"))

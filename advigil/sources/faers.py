@@ -230,17 +230,7 @@ def file_encodings(spark: SparkSession, path: str | list[str]) -> DataFrame:
     )
 
 
-def scan_faers_unquoted(
-    spark: SparkSession, path: str, encoding: str | None = None
-) -> DataFrame:
-    """Lenient read: no quoting, header names lower-cased and trimmed, access by name.
-
-    Long rows are kept and short rows have nulls. ``_pos`` orders rows as in the file:
-    start of the split, then the running row id within the split.
-    """
-    if encoding is None:
-        found = file_encodings(spark, path).agg(F.min("encoding").alias("e")).collect()
-        encoding = found[0].e or "UTF-8"
+def _unquoted(spark: SparkSession, paths: str | list[str], encoding: str) -> DataFrame:
     reader = (
         spark.read.option("sep", FIELD_SEPARATOR)
         .option("header", True)
@@ -248,21 +238,51 @@ def scan_faers_unquoted(
         .option("encoding", encoding)
     )
     # The first file names the columns; one with other columns fails the read.
-    raw = reader.schema(reader.csv(path).schema).option("enforceSchema", False).csv(path)
-    named = raw.select(
+    raw = reader.schema(reader.csv(paths).schema).option("enforceSchema", False).csv(paths)
+    return raw.select(
         *[F.col(f"`{c}`").alias(c.strip().lower()) for c in raw.columns],
         F.struct(
             F.col("_metadata.file_path").alias("file"),
             F.col("_metadata.file_block_start").alias("start"),
             F.monotonically_increasing_id().alias("row"),
-        ).alias("_pos"),
+        ).alias(POS),
     )
-    return named
 
 
-def short_rows(rows: DataFrame, *needed: str) -> DataFrame:
-    """Rows of a lenient read that end before one of the needed fields."""
+def scan_faers_unquoted(
+    spark: SparkSession, path: str, encoding: str | None = None
+) -> DataFrame:
+    """Lenient read: no quoting, header names lower-cased and trimmed, access by name.
+
+    Without a given encoding every file is read in its own: files are grouped by it, and the
+    groups are united. Long rows are kept and short rows have nulls. ``_pos`` orders rows as in the
+    file: start of the split, then the running row id within the split.
+    """
+    if encoding is not None:
+        return _unquoted(spark, path, encoding)
+    # One row per file, as many as the driver lists anyway.
+    found = file_encodings(spark, path).collect()
+    groups: dict[str, list[str]] = {}
+    for row in sorted(found, key=lambda r: r.path):
+        groups.setdefault(row.encoding, []).append(row.path)
+    if len(groups) <= 1:
+        return _unquoted(spark, path, next(iter(groups), "UTF-8"))
+    parts = [_unquoted(spark, paths, name) for name, paths in sorted(groups.items())]
+    return parts[0].unionByName(parts[1])
+
+
+def _lacking(needed: tuple[str, ...]) -> Column:
     lacking = F.lit(False)
     for c in needed:
         lacking = lacking | F.col(c).isNull()
-    return rows.filter(lacking)
+    return lacking
+
+
+def short_rows(rows: DataFrame, *needed: str) -> DataFrame:
+    """Rows of a lenient read that end before one of the needed fields."""
+    return rows.filter(_lacking(needed))
+
+
+def lenient_load_stats(rows: DataFrame, kind: str, *needed: str) -> DataFrame:
+    """Rows of a lenient read, and those of them that end before a needed field; both are kept."""
+    return rows.agg(F.count(F.lit(1)).alias("rows"), F.count_if(_lacking(needed)).alias("short_rows")).select(F.lit(kind).alias("kind"), "rows", "short_rows")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from advigil.schemas import RAW
 from oracle.base import drug_name, event_date, event_name, ingest_age, over, r6, signal_id, two, age_years, sex
 
 TYPO = "Underreporting and reporting biasare inherent limitations"
@@ -11,6 +12,20 @@ DEFAULTS = (
     "Underreporting and reporting bias are inherent limitations of spontaneous data."
 )
 
+# Cells of each report file that the tables fill; the rest is empty.
+RAW_CELLS = {
+    "DEMO": ("primaryid", "caseid", "caseversion", "event_dt", "age", "age_cod", "sex"),
+    "DRUG": ("primaryid", "caseid", "drug_seq", "role_cod", "drugname"),
+    "REAC": ("primaryid", "caseid", "pt"),
+    "OUTC": ("primaryid", "caseid", "outc_cod"),
+}
+
+
+def raw_line(kind: str) -> str:
+    cells = ", ".join(c if c in RAW_CELLS[kind] else "''" for c in RAW[kind].names)
+    return f"SELECT '{kind}' AS kind, concat_ws('$', {cells}) AS line FROM {kind.lower()}"
+
+
 SQL = {
     "scan_faers_table": over("SELECT primaryid, caseid, caseversion, event_dt, age, age_cod, sex FROM demo WHERE caseversion <> '5'"),
     "scan_quoted_cells": """SELECT CAST(doc_id AS VARCHAR) AS primaryid, length(text) AS characters, md5(text) AS digest, lang AS drug_rec_act FROM documents""",
@@ -106,11 +121,15 @@ SQL = {
           + count(*) FILTER (patient_sex IS NULL) + (SELECT count(*) FROM demo) - (SELECT count(*) FROM cases) AS missing FROM typed)"""
     ),
     "run_manifest": over(
-        """SELECT '2026Q1' AS quarter, 'completed' AS outcome, (SELECT count(*) FROM cases) AS cases, (SELECT count(*) FROM outc) AS loaded_rows,
-        (SELECT count(*) || ':' || sum(CAST(('0x' || substr(h, 1, 15)) AS BIGINT)) || ':' || sum(CAST(('0x' || substr(h, 16, 15)) AS BIGINT)) || ':'
-          || sum(CAST(('0x' || substr(h, 31, 15)) AS BIGINT)) || ':' || sum(CAST(('0x' || substr(h, 46, 15)) AS BIGINT))
-          FROM (SELECT sha256(line) AS h FROM (SELECT concat_ws('$', primaryid, caseid, outc_cod) AS line FROM outc UNION ALL SELECT 'primaryid$caseid$outc_cod'))) AS digest,
-        2.0::DOUBLE AS min_prr"""
+        """SELECT '2026Q1' AS quarter, 'completed' AS outcome, (SELECT count(*) FROM cases) AS cases, 4 AS files,
+        (SELECT count(*) FROM demo) + (SELECT count(*) FROM drug) + (SELECT count(*) FROM reac) + (SELECT count(*) FROM outc) AS loaded_rows,
+        0::BIGINT AS rejected_rows, 2.0::DOUBLE AS min_prr"""
+    ),
+    "manifest_files": over(
+        f""", lines AS ({' UNION ALL '.join(raw_line(kind) for kind in RAW_CELLS)}), hashed AS (SELECT kind, sha256(line) AS h FROM lines)
+        SELECT kind, count(*) AS loaded_rows, 0::BIGINT AS rejected_rows, CAST(count(*) AS VARCHAR) || ':'
+          || {" || ':' || ".join(f"CAST(sum(CAST(('0x' || substr(h, {1 + 15 * i}, 15)) AS BIGINT)) AS VARCHAR)" for i in range(4))} AS digest
+        FROM hashed GROUP BY kind"""
     ),
     "reconciliation": over(
         """SELECT 'raw_demo_rows' AS stage, count(*) AS rows FROM demo UNION ALL SELECT 'raw_drug_rows', count(*) FROM drug
@@ -165,7 +184,7 @@ SQL = {
     ),
     "why_flagged": over(
         f"""SELECT signal_id, drug_name || ' and ' || event_name || ' form a candidate signal supported by ' || a || ' reports with a PRR of '
-        || {two(r6('prr'))} || '.' AS why_flagged FROM metrics WHERE prr IS NOT NULL"""
+        || {two(r6('prr'))} || '.' AS why_flagged FROM metrics"""
     ),
     "dataset_source_label": over("SELECT report_quarter, 'FDA FAERS' AS dataset_source FROM reports GROUP BY 1"),
     "limitations_default": over(
@@ -184,7 +203,14 @@ SQL = {
         """SELECT signal_id, sha256('{"drug_name":"' || drug_name || '","event_name":"' || event_name || '","priority_level":'
         || coalesce('"' || priority_level || '"', 'null') || ',"signal_id":"' || signal_id || '"}') AS prompt_hash FROM sig"""
     ),
-    "document_prompt_hash": "SELECT CAST(doc_id AS VARCHAR) AS document_id, n_chars, 64::BIGINT AS hash_length FROM documents",
+    "document_prompt_hash": over(
+        """SELECT document_id, sha256('{"doc_id":"' || document_id || '","signal":' || CASE WHEN docs.signal_id IS NULL THEN 'null' ELSE
+          '{"drug_name":' || coalesce(CAST(to_json(c.drug_name) AS VARCHAR), 'null') || ',"event_name":' || coalesce(CAST(to_json(c.event_name) AS VARCHAR), 'null')
+          || ',"priority_level":null,"prr":' || coalesce(CAST(c.prr AS VARCHAR), 'null') || ',"report_count":' || coalesce(CAST(c.supporting_report_count AS VARCHAR), 'null')
+          || ',"review_areas":' || CASE WHEN c.signal_id IS NULL THEN 'null' ELSE '["Product Label","PSUR / PBRER","Risk Management Plan (RMP)","Reference Safety Information (RSI)"]' END
+          || ',"signal_id":"' || docs.signal_id || '"}' END || ',"text":' || CAST(to_json(text) AS VARCHAR) || '}') AS prompt_hash
+        FROM docs LEFT JOIN cands c USING (signal_id)"""
+    ),
     "evidence_sentence": over(
         """SELECT signal_id, CAST(supporting_report_count AS VARCHAR) AS reports,
         'score=' || CAST(quality_score AS VARCHAR) || ', reports=' || total_reports || ', missing_age=' || missing_age_count || ', missing_sex='
@@ -198,7 +224,7 @@ SQL = {
         'Deterministic evidence: facts. AI interpretation: ' || CASE WHEN conv_id % 3 < 2 THEN text ELSE t END AS evidence_summary,
         CASE WHEN conv_id % 3 < 2 THEN role ELSE 'known' END AS limitations,
         CASE WHEN conv_id % 3 < 2 THEN '' ELSE 'Review detailed case narratives.' END AS questions
-        FROM (SELECT *, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t FROM conversations WHERE role = 'assistant')""",
+        FROM (SELECT *, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t FROM conversations)""",
     "filter_contradictory_limitations": """
         SELECT conv_id, turn, concat_ws('|', CASE WHEN turn % 2 = 1 OR NOT denies THEN text END,
           CASE WHEN turn % 2 = 1 THEN 'Quality of ' || role || ' data is unavailable' END,
@@ -210,7 +236,7 @@ SQL = {
           ELSE 'General Safety:Automated fallback parsing of document analysis.' END AS sections,
         CASE WHEN conv_id % 2 = 0 THEN 'completed' ELSE 'needs_review' END AS analysis_status,
         CASE WHEN conv_id % 2 = 1 THEN 'Potential coverage gap requires human expert verification.' END AS gap
-        FROM conversations WHERE role <> 'assistant'""",
+        FROM conversations""",
     "page_count": over(
         "SELECT report_quarter, count(*) AS reports, greatest(1, CAST(ceil(count(*) / 50.0::DOUBLE) AS BIGINT)) AS pages FROM reports GROUP BY 1"
     ),

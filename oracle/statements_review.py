@@ -10,7 +10,7 @@ FACTS = f"""facts AS (
     CASE WHEN a > 12 THEN 'critical' WHEN a > 10 THEN 'high' ELSE 'low' END AS lvl,
     CASE a % 5 WHEN 0 THEN 'closed' WHEN 1 THEN 'under_review' ELSE 'candidate' END AS status,
     CASE WHEN a > 3 THEN 0.55::DOUBLE ELSE 0.8::DOUBLE END AS quality_score, a = 2 AS flagged
-  FROM metrics WHERE prr IS NOT NULL),
+  FROM metrics),
 fired AS (
   SELECT signal_id, 'REG-001' AS rule_id, 'High Disproportionality Label Review' AS rule_name,
     'PRR=' || {two('prr')} || ' (>= 2.5) with ' || n || ' supporting reports (>= 10).' AS condition_matched,
@@ -74,6 +74,11 @@ SQL = {
         """SELECT report_quarter AS release_id, report_quarter AS quarter, 'FDA FAERS ' || report_quarter AS dataset_release,
         substr(report_quarter, 1, 4) || '-12-31' AS import_date, 'v1.0.0' AS processing_version, count(*) AS total_reports FROM cases GROUP BY 1"""
     ),
+    "release_by_id": over(
+        """SELECT report_quarter AS release_id, report_quarter AS quarter, 'FDA FAERS ' || report_quarter AS dataset_release,
+        substr(report_quarter, 1, 4) || '-12-31' AS import_date, 'v1.0.0' AS processing_version, count(*) AS total_reports FROM cases
+        WHERE report_quarter IN ('1998Q1', '1992Q3') GROUP BY 1"""
+    ),
     "get_report": over(
         f"""SELECT report_id, drug_name, reactions, {r6('patient_age')} AS patient_age, patient_sex, event_date, seriousness, seriousness_codes,
         report_quarter, source FROM reports WHERE report_id = (SELECT CAST(max(CAST(primaryid AS BIGINT)) AS VARCHAR) FROM cases)"""

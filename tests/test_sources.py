@@ -72,6 +72,14 @@ def test_latin1_fallback(spark, folder):
     assert faers.scan_faers_unquoted(spark, path).first().pt == "Fièvre"
 
 
+def test_every_file_is_read_in_its_own_encoding(spark, folder):
+    write(folder, "REAC26Q1.txt/part-0", f"{HEAD}\n1$1$café я$\n")
+    write(folder, "REAC26Q1.txt/part-1", f"{HEAD}\n2$2$Fièvre$\n3$3\n", "latin-1")
+    rows = faers.scan_faers_unquoted(spark, f"{folder}/REAC26Q1.txt")
+    assert [(r.primaryid, r.pt) for r in rows.orderBy(faers.POS).collect()] == [("1", "café я"), ("2", "Fièvre"), ("3", None)]
+    assert tuple(faers.lenient_load_stats(rows, "REAC", "primaryid", "pt").first()) == ("REAC", 3, 1)
+
+
 def test_signals_json(spark, folder):
     record = {"signal_id": "s", "drug_name": "D", "event_name": "E", "supporting_report_count": 3, "prr": 2.5, "candidate_status": "candidate"}
     array = write(folder, "array.json", json.dumps([record, record], indent=2))

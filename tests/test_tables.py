@@ -47,6 +47,8 @@ def test_ingest_resume_and_refusal(spark, folder):
     pairs = {(r.event_name, r["count"]) for r in spark.read.parquet(store.pairs).collect()}
     assert pairs == {("PAIN", 7), ("RASH", 7)}
     assert spark.read.schema(RELEASE).parquet(store.releases).first().total_reports == 7
+    loads = {r.kind: (r["rows"], r.short_rows) for r in spark.read.parquet(store.loads).collect()}
+    assert loads == {"DEMO": (7, 0), "DRUG": (7, 0), "REAC": (21, 0), "OUTC": (1, 0)}
     with pytest.raises(jobs.AlreadyImportedError):
         jobs.ingest_quarter(spark, f"{folder}/files", "2026Q1", store)
 
@@ -147,7 +149,9 @@ def test_detection_and_enrichment_of_files(spark, folder):
     stages = {r.stage: r.rows for r in spark.read.json(done[0].reconciliation).collect()}
     assert stages["raw_demo_rows"] == 25 and stages["cases_after_version_handling"] == 24 and stages["unique_pairs"] == 24
     manifest = json.loads(next(Path(done[0].manifest).glob("part-*.json")).read_text())
-    assert manifest["counts"]["candidates"] == 2 and len(manifest["input_files"]) == 4
+    assert manifest["counts"]["candidates"] == 2 and manifest["inputs"]["files"] == 4 and manifest["inputs"]["loaded_rows"] == 97
+    files = spark.read.json(f"{done[0].manifest}_files").collect()
+    assert {(r.kind, r.loaded_rows, r.rejected_rows) for r in files} == {("DEMO", 25, 0), ("DRUG", 24, 0), ("REAC", 24, 0), ("OUTC", 24, 0)} and all(r.digest for r in files)
     assert {r.seriousness for r in spark.read.parquet(done[0].reports).collect()} == {"Serious"}
     same = [sorted(map(str, spark.read.parquet(d.metrics).select(sorted(spark.read.parquet(d.metrics).columns)).collect())) for d in done]
     assert same[0] == same[1]

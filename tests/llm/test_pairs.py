@@ -182,8 +182,10 @@ def test_recall_of_lines_by_edit_similarity_alone(spark, folder, monkeypatch):
 
 def test_chains_within_a_bucket_are_whole(spark, monkeypatch):
     monkeypatch.setattr(line_dedup, "_buckets", lambda: line_dedup.F.array(line_dedup.F.lit(1)))
-    # Neighbours differ in 3 of 30 words, lines two apart in 6, three apart in 9: too many.
-    lines = [" ".join(f"s1c{chain}{'y' if k < 3 * v else 'x'}{k}" for k in range(30)) for chain in range(3) for v in range(9)]
+    # Neighbours differ in 3 of 30 words, lines two apart in 6: too many. Words of different chains share no letters.
+    words = ["abcdefgh", "ijklmnop", "qrstuvwx"]
+    spelled = lambda chain, changed, k: "".join(words[chain][(int(d) + 4 * changed) % 8] for d in f"{k:05o}")
+    lines = [" ".join(spelled(chain, k < 3 * v, k) for k in range(30)) for chain in range(3) for v in range(9)]
     docs = spark.createDataFrame(list(enumerate(lines)), "doc_id bigint, text string")
     found = line_dedup.similar_lines(line_dedup.stored(line_dedup.distinct_lines(docs), "t"), similarity=0.85, distance=63)
     assert Counter(Counter(r["root"] for r in found.collect()).values()) == {9: 3}

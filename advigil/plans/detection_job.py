@@ -37,7 +37,7 @@ from advigil.sinks.runs import (
     reconciliation,
     run_manifest,
 )
-from advigil.sources.faers import BAD_ROW, POS, load_stats, path_exists, scan_quarter, table_path
+from advigil.sources.faers import BAD_ROW, POS, load_stats, path_exists, scan_quarters, table_path
 
 
 @dataclass(frozen=True)
@@ -77,31 +77,36 @@ def stage_tables(
     tables = {**tables, "DRUG": drug.withColumn("raw_row", F.when(nameless, whole))}
     for kind, columns in USED.items():
         path = f"{output.rstrip('/')}/staged/{kind.lower()}"
-        write_dataset(tables[kind].select(*columns, POS, BAD_ROW), path)
+        write_dataset(tables[kind].select(*columns, "report_quarter", POS, BAD_ROW), path)
         records[kind] = spark.read.parquet(path)
         staged[kind] = records[kind].filter(F.col(BAD_ROW).isNull()).drop(BAD_ROW)
     return staged, records
 
 
-def quarter_load_stats(spark: SparkSession, folder: str, quarter: str, records: dict[str, DataFrame]) -> DataFrame:
-    """Load statistics of every present file of the quarter, from its staged records."""
+def quarter_load_stats(spark: SparkSession, folder: str, quarters: list[str], records: dict[str, DataFrame]) -> DataFrame:
+    """Load statistics of every present file of the quarters, from their staged records."""
     out = None
-    for kind in RAW:
-        if path_exists(spark, table_path(folder, kind, quarter)):
-            stats = load_stats(records[kind], kind)
-            out = stats if out is None else out.unionByName(stats)
+    for quarter in quarters:
+        for kind in RAW:
+            if path_exists(spark, table_path(folder, kind, quarter)):
+                own = records[kind].filter(F.col("report_quarter") == quarter)
+                stats = load_stats(own, kind).withColumn("quarter", F.lit(quarter))
+                out = stats if out is None else out.unionByName(stats)
     return out
 
 
 def run_detection(
     spark: SparkSession,
     folder: str,
-    quarter: str,
+    quarter: str | list[str],
     output: str,
     policy: DetectionPolicy = DETECTION,
     deleted_path: str | None = None,
 ) -> DetectionOutput:
-    """All stages. Good rows, cases, pairs and counts are each written once and read
+    """All stages over the files of one quarter, or of several taken together.
+
+    With several the latest version of a case is found over all of them, reports keep their own quarter,
+    and the signals carry the newest one. Good rows, cases, pairs and counts are each written once and read
     back by everything that uses them, so nothing is recomputed from the text, nothing
     is held in executor memory, and a lost executor costs one stage."""
     out = DetectionOutput(
@@ -119,8 +124,10 @@ def run_detection(
             )
         ]
     )
-    tables, records = stage_tables(spark, scan_quarter(spark, folder, quarter, deleted_path, keep_bad=True), output)
-    typed = type_demo(tables["DEMO"], quarter, policy)
+    quarters = [quarter] if isinstance(quarter, str) else sorted(quarter)
+    newest = quarters[-1]
+    tables, records = stage_tables(spark, scan_quarters(spark, folder, quarters, deleted_path, keep_bad=True), output)
+    typed = type_demo(tables["DEMO"], F.col("report_quarter"), policy)
     versions = latest_case_versions(typed, ("event_date", "patient_age", "patient_sex"))
     cases = (
         exclude_deleted_cases(versions, tables["DELETED"])
@@ -137,7 +144,7 @@ def run_detection(
     write_dataset(disproportionality(counts, policy), out.metrics)
     metrics = spark.read.parquet(out.metrics)
 
-    signals = candidate_signals_export(detect_signals(metrics, quarter, policy))
+    signals = candidate_signals_export(detect_signals(metrics, newest, policy))
     write_dataset(validate_records(signals, SIGNAL_CONTRACT, "candidate_signals"), out.signals)
     reports = normalized_reports(pairs, cases, tables["OUTC"], policy)
     write_dataset(validate_records(reports, REPORT_CONTRACT, "normalized_reports"), out.reports)
@@ -149,7 +156,7 @@ def run_detection(
     write_dataset_csv(in_detection_order(signals), f"{out.signals}_csv")
     write_dataset_csv(metrics, f"{out.metrics}_csv")
 
-    loads = quarter_load_stats(spark, folder, quarter, records)
+    loads = quarter_load_stats(spark, folder, quarters, records)
     detection = detection_stats(metrics, policy)
     undefined = ledger_rows(
         "signal_detection",
@@ -206,7 +213,7 @@ def run_detection(
     ).select(F.col("stat").alias("stage"), F.col("value").alias("rows"))
     write_records_json(stages.unionByName(named), out.reconciliation)
 
-    paths = {kind: table_path(folder, kind, quarter) for kind in RAW}
+    paths = {(kind, q): table_path(folder, kind, q) for q in quarters for kind in RAW}
     counts = (
         spark.read.json(out.reconciliation)
         .groupBy()
@@ -217,8 +224,8 @@ def run_detection(
         .agg(F.first("rows"))
     )
     if deleted_path:
-        paths["DELETED"] = deleted_path
-    write_records_json(manifest_files(spark, quarter, paths, loads), f"{out.manifest}_files")
+        paths["DELETED", newest] = deleted_path
+    write_records_json(manifest_files(spark, paths, loads), f"{out.manifest}_files")
     files = spark.read.json(f"{out.manifest}_files")
-    write_records_json(run_manifest(quarter, policy, counts, files), out.manifest)
+    write_records_json(run_manifest(",".join(quarters), policy, counts, files), out.manifest)
     return out

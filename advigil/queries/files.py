@@ -339,12 +339,12 @@ def ledger_totals(s: StarSchema) -> DataFrame:
 
 
 def _manifest_files(s: StarSchema) -> DataFrame:
-    paths = {kind: faers.table_path(s.quarter_folder, kind, s.QUARTER) for kind in RAW}
+    paths = {(kind, s.QUARTER): faers.table_path(s.quarter_folder, kind, s.QUARTER) for kind in RAW}
     loads = None
-    for kind, path in paths.items():
-        part = faers.load_stats(faers.read_table_rows(s.spark, path, kind), kind)
+    for (kind, quarter), path in paths.items():
+        part = faers.load_stats(faers.read_table_rows(s.spark, path, kind), kind).withColumn("quarter", F.lit(quarter))
         loads = part if loads is None else loads.unionByName(part)
-    return s.stored(runs.manifest_files(s.spark, s.QUARTER, paths, loads), "manifest-files")
+    return s.stored(runs.manifest_files(s.spark, paths, loads), "manifest-files")
 
 
 @query

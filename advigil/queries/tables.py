@@ -17,6 +17,7 @@ from advigil.schemas import RAW, REPORT, SIGNAL_STORED
 from advigil.session import scratch_path
 from advigil.sinks import files as out
 from advigil.sinks import tables
+from advigil.sources.faers import table_path
 from advigil.streaming.arrivals import ingest_arrivals
 from advigil.streaming.report_files import stream_report_files, streamed_table
 
@@ -206,6 +207,22 @@ def detection_run(s: StarSchema) -> DataFrame:
     )
 
 
+@query
+def detection_run_of_quarters(s: StarSchema) -> DataFrame:
+    """Versions of a case spread over the files of three quarters, detected together; the signals and their reports."""
+    folder = scratch_path(s.spark, "quarters")
+    third = F.pmod(F.col("primaryid").cast("bigint"), F.lit(3))
+    quarters = ["2025Q3", "2025Q4", "2026Q1"]
+    for n, quarter in enumerate(quarters):
+        for kind in RAW:
+            s.write_lines(kind, table_path(folder, kind, quarter), only=third == n)
+    done = run_detection(s.spark, folder, quarters, scratch_path(s.spark, "run"))
+    found = s.spark.read.parquet(done.signals).select("signal_id", "supporting_report_count", "prr", "dataset_version")
+    own = s.spark.read.parquet(done.reports).groupBy("report_quarter").agg(F.count(F.lit(1)).alias("n"))
+    counts = own.agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "report_quarter", "n"))), ";").alias("reports"))
+    return flat(found).withColumn("reports", counts.scalar())
+
+
 @query
 def normalized_reports(s: StarSchema) -> DataFrame:
     return flat(s.reports)

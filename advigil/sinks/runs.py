@@ -63,17 +63,18 @@ def file_fingerprints(spark: SparkSession, paths: list[str]) -> DataFrame:
     return sums.select("path", "length", F.lit("lines+sha256").alias("kind"), digest.alias("digest"))
 
 
-def manifest_files(spark: SparkSession, quarter: str, paths: dict[str, str], load_stats: DataFrame) -> DataFrame:
-    """A row per part of every input file: its kind, path, length and digest, with the load statistics of its kind.
+def manifest_files(spark: SparkSession, paths: dict[tuple[str, str], str], load_stats: DataFrame) -> DataFrame:
+    """A row per part of every input file: kind, quarter, path, length and digest, with the load statistics of the file.
 
-    ``paths`` maps a kind to its path. Files without load statistics, such as a deletion list, have nulls there.
+    ``paths`` maps (kind, quarter) to a path. Files without load statistics, such as a deletion list, have nulls there.
     """
     prints = None
-    for kind, path in paths.items():
+    for (kind, quarter), path in paths.items():
         if path_exists(spark, path):
-            part = file_fingerprints(spark, [path]).withColumnRenamed("kind", "digest_kind").withColumn("kind", F.lit(kind))
+            part = file_fingerprints(spark, [path]).withColumnRenamed("kind", "digest_kind")
+            part = part.withColumns({"kind": F.lit(kind), "quarter": F.lit(quarter)})
             prints = part if prints is None else prints.unionByName(part)
-    return prints.join(load_stats, "kind", "left").withColumn("quarter", F.lit(quarter))
+    return prints.join(load_stats, ["kind", "quarter"], "left")
 
 
 def run_manifest(quarter: str, policy, counts: DataFrame, files: DataFrame) -> DataFrame:
@@ -81,7 +82,7 @@ def run_manifest(quarter: str, policy, counts: DataFrame, files: DataFrame) -> D
 
     Files and load statistics are rows of their own table, however many parts a file has.
     """
-    per_kind = files.groupBy("kind").agg(F.count(F.lit(1)).alias("parts"), F.sum("length").alias("length"), F.first("loaded_rows").alias("loaded"), F.first("rejected_rows").alias("rejected"))
+    per_kind = files.groupBy("kind", "quarter").agg(F.count(F.lit(1)).alias("parts"), F.sum("length").alias("length"), F.first("loaded_rows").alias("loaded"), F.first("rejected_rows").alias("rejected"))
     totals = per_kind.agg(
         F.count(F.lit(1)).alias("files"),
         F.sum("parts").alias("parts"),

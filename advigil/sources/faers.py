@@ -176,11 +176,16 @@ def scan_quarter(
     return tables
 
 
-def scan_quarters(spark: SparkSession, folder: str, quarters: list[str]) -> dict[str, DataFrame]:
-    """Several quarters of one folder with a ``report_quarter`` column."""
+def scan_quarters(
+    spark: SparkSession, folder: str, quarters: list[str], deleted_path: str | None = None, keep_bad: bool = False
+) -> dict[str, DataFrame]:
+    """Several quarters of one folder with a ``report_quarter`` column; one deletion list holds for all."""
     out: dict[str, DataFrame] = {}
     for quarter in quarters:
-        for kind, table in scan_quarter(spark, folder, quarter).items():
+        for kind, table in scan_quarter(spark, folder, quarter, deleted_path, keep_bad).items():
+            if kind == "DELETED":
+                out[kind] = table
+                continue
             table = table.withColumn("report_quarter", F.lit(quarter))
             out[kind] = out[kind].unionByName(table) if kind in out else table
     return out

@@ -228,6 +228,11 @@ SQL = {
     "ingest_quarter_idempotent": over(
         f"SELECT report_id, drug_name, reactions, {r6('patient_age')} AS patient_age, patient_sex, seriousness, true AS refused FROM ingested"
     ),
+    "detection_run_of_quarters": over(
+        f"""SELECT signal_id, a AS supporting_report_count, {r6('prr')} AS prr, '2026Q1' AS dataset_version, (
+          SELECT string_agg(q || '=' || n, ';' ORDER BY q) FROM (SELECT ['2025Q3', '2025Q4', '2026Q1'][CAST(CAST(report_id AS BIGINT) % 3 + 1 AS INTEGER)] AS q, count(*) AS n
+            FROM reports GROUP BY 1)) AS reports FROM cands"""
+    ),
     "ingest_in_batches": over(
         f"""SELECT report_id, drug_name, reactions, {r6('patient_age')} AS patient_age, patient_sex, seriousness, true AS four_batches, true AS marked_once,
         count(*) OVER () AS marked_reports, true AS stopped_early, false AS complete_early FROM ingested"""

@@ -104,12 +104,6 @@ CLUSTER_DISCLAIMER = (
     "They do not imply shared biological mechanism, causality, or clinical equivalence. "
     "All cluster findings require qualified pharmacovigilance professional review."
 )
-REGULATORY_DISCLAIMER = (
-    "Deterministic regulatory mapping for triage guidance only. "
-    "Identifies potential regulatory review areas and does not constitute "
-    "a confirmed regulatory deficiency or proof of causality. "
-    "Final regulatory determinations require qualified professional review."
-)
 NOT_IN_BUNDLE = "NOT AVAILABLE IN EVIDENCE BUNDLE"
 EVIDENCE_SENTENCE = (
     "Reports={report_count}; PRR={prr}; ROR={ror}; chi-square={chi_square}; "

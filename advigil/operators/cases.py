@@ -50,16 +50,6 @@ def restrict_to_cases(rows: DataFrame, cases: DataFrame) -> DataFrame:
     return rows.join(cases.select("primaryid"), "primaryid", "left_semi")
 
 
-def handle_cases(
-    demo: DataFrame, deleted: DataFrame | None = None, policy: DetectionPolicy = DETECTION
-) -> DataFrame:
-    """Latest versions, then (only if the policy asks for it) minus the deleted cases."""
-    cases = latest_case_versions(demo)
-    if deleted is not None and policy.exclude_deleted_cases:
-        cases = exclude_deleted_cases(cases, deleted)
-    return cases
-
-
 def case_version_stats(demo: DataFrame) -> DataFrame:
     """Rows in, kept and excluded, distinct cases before and after; one row."""
     total = F.count(F.lit(1))

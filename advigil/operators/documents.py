@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from advigil import fixed_values as V
 from advigil.functions.identifiers import facts_hash
-from advigil.functions.responses import parse_document_analysis
 
 
 def latest_per_key(rows: DataFrame, key: str, time: str = "created_at") -> DataFrame:
@@ -89,10 +88,3 @@ def document_prompt_hash(documents: DataFrame, signals: DataFrame) -> DataFrame:
     return context.join(texts, "document_id").select(
         "document_id", facts_hash(facts).alias("prompt_hash")
     )
-
-
-def analyse_responses(responses: DataFrame) -> DataFrame:
-    """Parsed analyses of a table of stored responses (document_id, response)."""
-    return responses.select(
-        "document_id", parse_document_analysis(F.col("response")).alias("analysis")
-    ).select("document_id", "analysis.*")

@@ -55,16 +55,31 @@ def working_folder(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder:
         return folder
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     folder = tempfile.mkdtemp(prefix="advigil-")
     spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
+# Intermediate tables of this process lie in one folder, so that they can be dropped together.
+_RUN = uuid.uuid4().hex
+
+
+def _run_folder(spark: SparkSession) -> str:
+    return f"{working_folder(spark).rstrip('/')}/advigil/{_RUN}"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path for a written intermediate table."""
-    return f"{working_folder(spark).rstrip('/')}/advigil/{name}-{uuid.uuid4().hex}"
+    return f"{_run_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Remove all intermediate tables of this process. Results that are still to be read from them are lost."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(_run_folder(spark))
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def stored(df, name: str):
@@ -72,11 +87,3 @@ def stored(df, name: str):
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def checkpoint(df):
-    """Materialise ``df`` in the shared folder and cut its lineage there."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(working_folder(spark))
-    return df.checkpoint(eager=True)

@@ -1,3 +1,5 @@
+import os
+
 import pytest
 
 import __spark_entry__ as entry
@@ -46,3 +48,14 @@ def test_folder_of_the_cluster_is_used():
     assert scratch_path(Cluster("hdfs:///shared"), "x").startswith("hdfs:///shared/")
     with pytest.raises(ValueError):
         working_folder(Cluster(None))
+    with pytest.raises(ValueError):
+        working_folder(Cluster(None, "local-cluster[2,1,1024]"))
+
+
+def test_scratch_tables_are_dropped_together(spark):
+    from advigil.session import drop_scratch, scratch_path, stored
+
+    table = stored(spark.range(3), "x")
+    assert table.count() == 3 and os.path.isdir(os.path.dirname(scratch_path(spark, "y")).removeprefix("file:"))
+    drop_scratch(spark)
+    assert not os.path.isdir(os.path.dirname(scratch_path(spark, "y")).removeprefix("file:"))

@@ -312,7 +312,7 @@ def _segments(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[
                 before = place
     if now is not None:
         out.append(now.done(False))
-    yield pa.RecordBatch.from_pylist(out, schema)
+        yield pa.RecordBatch.from_pylist(out, schema)
 
 
 def segments(conversations: DataFrame) -> DataFrame:
@@ -344,7 +344,8 @@ def _pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     continue
                 found[pair] += times
                 taken = i + 1
-    yield pd.DataFrame({"pair": list(found), "times": list(found.values())})
+    if found:
+        yield pd.DataFrame({"pair": list(found), "times": list(found.values())})
 
 
 def learned_grammar(rows: DataFrame, most: int = MOST_RULES) -> Grammar:
@@ -451,7 +452,8 @@ def _whole(batches: Iterator[pa.RecordBatch], rules: list[str], schema: pa.Schem
             found.measure(part)
             found.read(part["symbols"], part["roles"], part["texts"])
             out.append(found.result())
-        yield pa.RecordBatch.from_pylist(out, schema)
+        if out:
+            yield pa.RecordBatch.from_pylist(out, schema)
 
 
 def _joined(batches: Iterator[pa.RecordBatch], rules: list[str], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
@@ -467,7 +469,8 @@ def _joined(batches: Iterator[pa.RecordBatch], rules: list[str], schema: pa.Sche
                 found.measure(part)
             else:
                 found.read(part["symbols"], part["roles"], part["texts"])
-        yield pa.RecordBatch.from_pylist(out, schema)
+        if out:
+            yield pa.RecordBatch.from_pylist(out, schema)
     if found is not None:
         yield pa.RecordBatch.from_pylist([found.result()], schema)
 

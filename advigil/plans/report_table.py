@@ -7,8 +7,9 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from advigil.operators.duplicates import block_sex, is_complete
 from advigil.functions.text import strip
+from advigil.operators.duplicates import is_complete
+from advigil.operators.support import block_sex
 
 KEYS = ["drug_name", "event_name", "block"]
 
@@ -29,7 +30,8 @@ def report_event_rows(pairs: DataFrame, cases: DataFrame) -> DataFrame:
 def write_report_events(rows: DataFrame, path: str, name: str | None = None, buckets: int | None = None) -> DataFrame:
     """Write the rows bucketed and sorted by pair and block, and read them as a bucketed table.
 
-    Groups by pair and block need no shuffle of the reports then; groups by pair shuffle sums only.
+    Groups by pair and block need no shuffle of the reports then; groups by pair shuffle sums only. ``name`` is the
+    table's name in the catalog; without one it gets a name of its own, and the caller drops it.
     """
     spark = rows.sparkSession
     name = name or f"report_events_{uuid.uuid4().hex}"

@@ -37,7 +37,7 @@ LEAST_DOCUMENTS = 10
 FIRST_LEVEL = 8
 TOP_TERMS = 10
 # Counts of a task are handed on when so many are held: items of a language, terms of all sources.
-HELD, HELD_USES = 400_000, 800_000
+HELD, HELD_USES = 400_000, 500_000
 # The bitmap of prefixes that stay: sixteen bits each, within these bounds (8 MB at most).
 LEAST_BITS, MOST_BITS = 1 << 16, 1 << 26
 _BATCH = 50_000

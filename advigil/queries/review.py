@@ -11,9 +11,9 @@ from advigil.plans.star_schema import StarSchema
 from advigil.queries.fields import _wide_signals, analysis_table, bundle, document_table
 from advigil.session import scratch_path
 from advigil.queries.shown import collector, flat, joined, points
-from advigil.schemas import EXPLANATION
+from advigil.schemas import DUPLICATE, EXPLANATION
 from advigil.sinks.tables import list_releases as newest_first
-from advigil.sinks.tables import release_of
+from advigil.sinks.tables import read_table, release_of
 
 QUERIES: dict = {}
 query = collector(QUERIES)
@@ -188,10 +188,10 @@ def stored_candidates(s: StarSchema) -> DataFrame:
     wide = s.stored(_wide_signals(s), "wide-signals")
     part = s.stored_reports.filter(F.pmod(F.col("report_id").cast("bigint"), F.lit(5)) != 0)
     duplicates.store_candidates(s.spark, path, wide, part)
-    first = s.stored(s.spark.read.parquet(path).select("candidate_id", F.lit(True).alias("of_first_run")), "first-run")
+    first = s.stored(read_table(s.spark, path, DUPLICATE).select("candidate_id", F.lit(True).alias("of_first_run")), "first-run")
     again = [duplicates.store_candidates(s.spark, path, wide, part, refresh) for refresh in (False, True)]
     duplicates.store_candidates(s.spark, path, wide, s.stored_reports, refresh=True)
-    rows = s.spark.read.parquet(path).join(first, "candidate_id", "left")
+    rows = read_table(s.spark, path, DUPLICATE).join(first, "candidate_id", "left")
     return rows.select(
         "candidate_id", "signal_id", "report_id_a", "report_id_b", F.coalesce("of_first_run", F.lit(False)).alias("of_first_run"), F.lit(again[1]).cast("bigint").alias("added_again")
     )

@@ -158,6 +158,11 @@ def _place(report_id: str) -> Column:
     return F.pmod(F.xxhash64(report_id), F.lit(1 << 31))
 
 
+def _placed(reports: DataFrame) -> DataFrame:
+    """The reports with their place, in its order within every partition."""
+    return reports.withColumn("_place", _place("report_id")).sortWithinPartitions("_place")
+
+
 def ingest_batches(
     spark: SparkSession, incoming: DataFrame, quarter: str, store: Store, batch_reports: int = BATCH_REPORTS
 ) -> Iterator[int]:
@@ -169,18 +174,20 @@ def ingest_batches(
     """
     marks = read_table(spark, store.batches, INGEST_BATCH).filter(F.col("quarter") == quarter)
     known = marks.select("batch", "batches").collect()
-    placed = incoming.withColumn("_place", _place("report_id"))
-    staged = stored(placed.repartitionByRange("_place").sortWithinPartitions("_place"), "incoming-reports")
+    # Sorted as they come: every file holds all ranges in order, and a range reads its own pages of each.
+    staged = stored(_placed(incoming), "incoming-reports")
     count = known[0].batches if known else min(MOST_BATCHES, max(1, -(-staged.count() // batch_reports)))
     done = {row.batch for row in known}
+    # What this run writes to a range lies in that range alone, so the ids stored before are read once for all.
+    before = read_table(spark, store.reports, REPORT).filter(F.col("report_quarter") == quarter)
+    existing = stored(_placed(before.select("report_id", "report_quarter")), "existing-reports")
     for batch in range(count):
         if batch in done:
             continue
         low, high = ((1 << 31) * k // count for k in (batch, batch + 1))
-        rows = staged.filter(F.col("_place").between(low, high - 1)).drop("_place")
-        existing = read_table(spark, store.reports, REPORT).filter(F.col("report_quarter") == quarter)
-        existing = existing.filter(_place("report_id").between(low, high - 1))
-        new_reports(existing, rows).write.mode("append").partitionBy("report_quarter").parquet(store.reports)
+        within = F.col("_place").between(low, high - 1)
+        rows = staged.filter(within).drop("_place")
+        new_reports(existing.filter(within), rows).write.mode("append").partitionBy("report_quarter").parquet(store.reports)
         mark = rows.agg(F.count(F.lit(1)).alias("reports")).select(
             F.lit(quarter).alias("quarter"), F.lit(batch).alias("batch"), F.lit(count).alias("batches"), "reports", F.current_timestamp().alias("committed_at")
         )

@@ -267,3 +267,12 @@ def test_mixture_of_edge_tables(spark):
     assert mixing.mixture_report(no_docs(spark)).count() == 0 and mixing.mixed_documents(no_docs(spark)).count() == 0
     silent = spark.createDataFrame([(1, None, "a"), (2, "", None)], "doc_id bigint, text string, source string")
     assert {(r["target"], r["taken"]) for r in mixing.mixture_report(silent).collect()} == {(0.0, 0)}
+
+
+def test_query_blocks_do_not_pass_through_the_driver(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"word{i % 7} common text{i % 3}") for i in range(200)], "doc_id bigint, text string")
+    whole = sorted(map(tuple, bm25_search.similar_documents(docs).collect()))
+    monkeypatch.setattr(bm25_search, "QUERY_TERMS", 3)
+    monkeypatch.setattr(bm25_search, "SHARD_DOCS", 20)
+    monkeypatch.setattr(type(docs), "toPandas", lambda self: pytest.fail("rows of a table reach the driver"))
+    assert sorted(map(tuple, bm25_search.similar_documents(docs).collect())) == whole

@@ -33,8 +33,10 @@ def arriving_rows(spark: SparkSession, landing: str, kind: str, files_at_once: i
     names = RAW[kind].names
     lines = reader.text(f"{landing.rstrip('/')}/*/{kind}*").select("value", F.col("_metadata.file_path").alias("file"))
     cells = F.split(F.regexp_replace("value", r"\r$", ""), rf"\{FIELD_SEPARATOR}")
-    quarter = F.upper(F.regexp_extract("file", rf"([^/]+)/{kind}[^/]*(?:/[^/]*)?$", 1))
-    rows = lines.select(cells.alias("c"), quarter.alias("report_quarter")).filter(F.size("c") == len(names))
+    # The pattern spans three names of the path at most; the others would only be searched in vain.
+    quarter = F.upper(F.regexp_extract(F.substring_index("file", "/", -3), rf"([^/]+)/{kind}[^/]*(?:/[^/]*)?$", 1))
+    # A generator makes the cells of a line once, where a plain column would be made again for each of its cells.
+    rows = lines.select(F.explode(F.array(cells)).alias("c"), quarter.alias("report_quarter")).filter(F.size("c") == len(names))
     named = rows.select(*[F.get("c", i).alias(n) for i, n in enumerate(names)], "report_quarter")
     return named.filter(F.lower(F.trim(names[0])) != names[0])
 
@@ -60,7 +62,8 @@ def _merge(batch: DataFrame, path: str) -> None:
         old = spark.read.schema(placed.schema).parquet(path).join(touched, "bucket", "left_semi")
         kept = old.join(placed.select("caseid"), "caseid", "left_anti").select(*placed.columns)
         placed = stored(kept.unionByName(placed), "merged-cases")
-    replace_partitions(placed, path, "bucket")
+    # One file a bucket, not one for every task that has some of its rows.
+    replace_partitions(placed.repartition("bucket"), path, "bucket")
 
 
 def stream_report_files(

@@ -12,7 +12,7 @@ from advigil.plans.enrichment_job import run_enrichment
 from advigil.schemas import RAW, RELEASE, REPORT, SIGNAL_STORED
 from advigil.sinks import tables
 from advigil.streaming.arrivals import ingest_arrivals
-from advigil.streaming.report_files import stream_report_files, streamed_table
+from advigil.streaming.report_files import arriving_rows, stream_report_files, streamed_table
 
 
 def write(folder, name, header, rows):
@@ -216,3 +216,10 @@ def test_stored_candidates_grow_by_what_is_new(spark, folder):
     rows = spark.read.parquet(f"{folder}/candidates").collect()
     linked = {frozenset((r.report_id_a, r.report_id_b)) for r in rows}
     assert len(linked) == 4 and set().union(*linked) == {"2", "3", "4", "5", "9"} and all(r.report_id_a < r.report_id_b for r in rows)
+
+
+def test_streamed_cells_are_made_once_a_line(spark, folder, capsys):
+    (Path(folder) / "landing" / "2025Q3").mkdir(parents=True)
+    arriving_rows(spark, f"{folder}/landing", "DEMO").explain(True)
+    plan = capsys.readouterr().out.split("== Physical Plan ==")[0].split("== Optimized Logical Plan ==")[1]
+    assert plan.count("split(") == 1

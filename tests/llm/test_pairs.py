@@ -3,6 +3,7 @@
 import random
 import re
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import pytest
 
@@ -251,3 +252,15 @@ def test_tiles_as_plain_greedy_search():
 
 def test_body_is_one_line():
     assert "\n" not in BODY
+
+
+def test_line_dedup_leaves_no_superseded_tables(spark, monkeypatch):
+    kept, frames = [], line_dedup.stored
+    monkeypatch.setattr(line_dedup, "stored", lambda df, name: kept.append((name, frames(df, name))) or kept[-1][1])
+    lines = [f"{a} two three four five six seven eight nine {b}" for a in ("one", "other") for b in ("ten", "eleven", "twelve")]
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id bigint, text string")
+    found = {r["doc_id"]: r["n_dropped"] for r in line_dedup.line_report(docs, distance=None).collect()}
+    assert found == {i: int(i > 0) for i in range(6)}
+    left = Counter(name for name, df in kept if Path(df.inputFiles()[0].removeprefix("file://")).exists())
+    assert not {"word-blocks", "simhashes", "meeting-rows", "buckets", "near-pairs"} & set(left)
+    assert left["lines"] == 1

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 from html.parser import HTMLParser
 
+import numpy as np
 import pytest
 
 import __spark_entry__ as entry
@@ -276,3 +277,14 @@ def test_query_blocks_do_not_pass_through_the_driver(spark, monkeypatch):
     monkeypatch.setattr(bm25_search, "SHARD_DOCS", 20)
     monkeypatch.setattr(type(docs), "toPandas", lambda self: pytest.fail("rows of a table reach the driver"))
     assert sorted(map(tuple, bm25_search.similar_documents(docs).collect())) == whole
+
+
+def test_packed_shards_are_small_and_numbers_whole(spark):
+    docs = spark.createDataFrame([(i, " ".join(f"word{(i * k) % 97}" for k in range(60))) for i in range(300)], "doc_id bigint, text string").coalesce(1)
+    rows = [r.asDict() for r in bm25_search.index_shards(docs).collect()]
+    postings = sum(len({(i * k) % 97 for k in range(60)}) for i in range(300))
+    assert sum(len(x) for r in rows for c, x in r.items() if c in ("sizes", "docs", "counts")) < 4 * postings
+    for most in (0, 255, 256, 70_000, 2**33):
+        values = np.array([0, 3, most])
+        assert bm25_search._read_numbers(bm25_search._numbers(values), 3).tolist() == values.tolist()
+    assert bm25_search._read_numbers(b"", 0).tolist() == []

@@ -264,3 +264,24 @@ def test_line_dedup_leaves_no_superseded_tables(spark, monkeypatch):
     left = Counter(name for name, df in kept if Path(df.inputFiles()[0].removeprefix("file://")).exists())
     assert not {"word-blocks", "simhashes", "meeting-rows", "buckets", "near-pairs"} & set(left)
     assert left["lines"] == 1
+
+
+def test_lines_meet_a_part_of_the_buckets_at_a_time(spark, monkeypatch):
+    sizes, frames = [], line_dedup.stored
+
+    def kept(df, name):
+        table = frames(df, name)
+        sizes.append((name, table.count()))
+        return table
+
+    monkeypatch.setattr(line_dedup, "PART_ROWS", 10)
+    monkeypatch.setattr(line_dedup, "PART_PAIRS", 3)
+    monkeypatch.setattr(line_dedup, "PARTS", 3)
+    monkeypatch.setattr(line_dedup, "stored", kept)
+    lines = [f"{a} {b}two {b}three {b}four {b}five {b}six {b}seven {b}eight {b}nine {c}" for a in ("one", "other") for b in ("alpha", "bravo", "gamma") for c in ("ten", "eleven")]
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id bigint, text string")
+    found = {r["doc_id"]: r["n_dropped"] for r in line_dedup.line_report(docs, distance=None).collect()}
+    assert found == {i: int(i not in (0, 2, 4)) for i in range(12)}
+    # The first round has a table a part; none holds the rows of all.
+    first = [n for name, n in sizes if name == "buckets"][:3]
+    assert max(first) < sum(first)

@@ -1,3 +1,4 @@
+import hashlib
 import itertools
 import math
 import random
@@ -93,6 +94,20 @@ def test_duplicate_blocks_of_any_size(spark):
     assert "patient age 40, sex 'M', and event date 2026-01-01." in text
 
 
+def test_facts_sample_all_duplicates(spark, monkeypatch):
+    monkeypatch.setattr(duplicates, "TILE", 3)
+    ids = [f"r{i:02d}" for i in range(11)]
+    rs = spark.createDataFrame([report(r) for r in ids] + [report(f"x{i}", drug="B") for i in range(3)], REPORTS)
+    s = signals(spark, signal("s"), signal("t", drug="B", event="E"))
+    found = duplicates.generated_candidates(s, rs, whole=True)
+    rows = [(r.signal_id, r.report_id_a, r.report_id_b) for r in found.collect()]
+    every = [("s", a, b) for a, b in itertools.combinations(ids, 2)] + [("t", f"x{a}", f"x{b}") for a, b in itertools.combinations(range(3), 2)]
+    assert sorted(rows) == sorted(every)
+    shown = {r.signal_id: (r.duplicate_count, [d.candidate_id for d in r.duplicates]) for r in duplicates.candidate_summary(found).collect()}
+    named = {x: sorted("DUP-" + hashlib.sha256("|".join(row).encode()).hexdigest()[:12].upper() for row in every if row[0] == x) for x in "st"}
+    assert shown == {x: (len(named[x]), named[x][:3]) for x in "st"}
+
+
 def test_stored_duplicates_win(spark):
     rs = spark.createDataFrame([report("1"), report("2")], REPORTS)
     s = signals(spark, signal("s"), signal("t", event="E"))

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from advigil.functions.text import normalize_drug_name
+from advigil.functions.text import has_no_drug_name
 from advigil.operators.cases import (
     case_version_stats,
     deleted_case_stats,
@@ -72,7 +72,7 @@ def stage_tables(
     """
     staged, records = dict(tables), {}
     drug = tables["DRUG"]
-    nameless = normalize_drug_name(F.col("drugname")).isNull()
+    nameless = has_no_drug_name(F.col("drugname"))
     whole = F.sha2(F.to_json(F.struct(*RAW["DRUG"].names)), 256)
     tables = {**tables, "DRUG": drug.withColumn("raw_row", F.when(nameless, whole))}
     for kind, columns in USED.items():
@@ -128,7 +128,8 @@ def run_detection(
     newest = quarters[-1]
     tables, records = stage_tables(spark, scan_quarters(spark, folder, quarters, deleted_path, keep_bad=True), output)
     typed = type_demo(tables["DEMO"], F.col("report_quarter"), policy)
-    versions = latest_case_versions(typed, ("event_date", "patient_age", "patient_sex"))
+    write_dataset(latest_case_versions(typed, ("event_date", "patient_age", "patient_sex")), f"{output.rstrip('/')}/staged/versions", partition=None)
+    versions = spark.read.parquet(f"{output.rstrip('/')}/staged/versions")
     cases = (
         exclude_deleted_cases(versions, tables["DELETED"])
         if policy.exclude_deleted_cases
@@ -162,7 +163,9 @@ def run_detection(
         "signal_detection",
         detection.select("finite_prr_pairs", "finite_chi2_pairs", "finite_ror_pairs"),
     ).filter("count = 0")
-    pair_audit = pair_stats(tables["DRUG"], tables["REAC"], cases, pairs, policy)
+    # Ledger and reconciliation both read the few rows of the audit.
+    write_dataset(pair_stats(tables["DRUG"], tables["REAC"], cases, pairs, policy), f"{output.rstrip('/')}/staged/pair_audit")
+    pair_audit = spark.read.parquet(f"{output.rstrip('/')}/staged/pair_audit")
     pair_rows = pair_audit.filter(
         F.col("stat").isin(
             "normalized_drug_names_missing",

@@ -71,6 +71,22 @@ def test_pairs_of_small_reports(spark):
     assert stats["unique_pairs"] == 2 and stats["normalized_drug_names_missing"] == 1 and stats["ps_drug_rows_before_norm"] == 5
 
 
+def test_audit_lists_a_row_twice_at_most(spark):
+    """By its report and its name; pairs are counted without a key."""
+    drug, reac, kept = small(spark)
+    drug = drug.union(drug.where("primaryid = 'R3'")).union(spark.createDataFrame([(None, "C1", "1", "PS", "Aspirin"), ("R2", "C2", "1", "PS", None)], DRUG))
+    reac = reac.union(spark.createDataFrame([(None, "C1", "Pain"), ("R2", "C2", " "), ("R2", "C2", " ")], REAC))
+    built = pairs.pair_universe(drug, reac, kept)
+    audit = pairs.pair_stats(drug, reac, kept, built)
+    assert {r.stat: r.value for r in audit.collect()} == {
+        "ps_drug_rows_before_norm": 8, "unique_ps_drugs_after_norm": 2, "normalized_drug_names_missing": 2,
+        "reactions_before_norm": 8, "unique_reactions_after_norm": 3, "normalized_reactions_missing": 1,
+        "unique_pairs": 2, "pairs_with_missing_drug_name": 0, "pairs_with_missing_reaction": 0,
+        "primaryids_in_ps_drugs": 2, "primaryids_in_reactions": 2, "matched_primaryids": 1, "orphan_ps_drugs_primaryids": 1, "orphan_reactions_primaryids": 1,
+    }
+    assert audit._jdf.queryExecution().optimizedPlan().toString().count("Generate explode") == 2
+
+
 def test_pairs_need_the_same_case(spark):
     drug = spark.createDataFrame([("R1", "C1", "1", "PS", "a"), ("R1", "C2", "1", "PS", "a"), ("R1", "C2", "2", "PS", "b")], DRUG)
     reac = spark.createDataFrame([("R1", "C1", "x"), ("R1", "C2", "x"), ("R1", "C3", "y")], REAC)

@@ -33,6 +33,15 @@ def test_drug_names_are_stable(spark):
     assert column_of(spark, once, text.normalize_drug_name) == [x for x, _ in once]
 
 
+def test_nameless_drugs_are_found_without_their_names(spark):
+    odd = ["", " ", None, " . ", "\u00a0", "\x1c(-)", "\u0131", "\u017f.", "\ufb01", "é", "ß", "É-1", "\n", ".\n", "a\n", "日本", "..7"]
+    rows = [(x, x) for x in odd]
+    names = [x for x, _ in DRUGS]
+    rows += [(x, x) for x in names]
+    none = [x is None for x in column_of(spark, rows, text.normalize_drug_name)]
+    assert column_of(spark, rows, text.has_no_drug_name) == none
+
+
 def test_reactions_keep_punctuation(spark):
     pairs = [("Pain.", "PAIN."), (" Skin  rash ", "SKIN RASH"), ("", None), (None, None)]
     assert column_of(spark, pairs, text.normalize_reaction) == [x for _, x in pairs]

@@ -1,4 +1,5 @@
 import csv
+import hashlib
 import io
 import json
 import random
@@ -157,6 +158,17 @@ def test_written_text_keeps_blanks_and_order(spark, folder):
     assert '{"k":"a","n":null,"v":[]}' in lines
 
 
+def test_fingerprints_add_longs(spark, folder):
+    """A decimal for every line would take most of the time."""
+    path = f"{folder}/lines.txt"
+    Path(path).write_text("".join(f"line {i}\n" for i in range(40)))
+    found = runs.file_fingerprints(spark, [path])
+    hashes = [hashlib.sha256(f"line {i}".encode()).hexdigest() for i in range(40)]
+    assert found.first().digest == ":".join(map(str, [40, *(sum(int(h[15 * i : 15 * i + 15], 16) for h in hashes) for i in range(4))]))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("as bigint)") >= 4 and "10) as decimal" not in plan
+
+
 def test_fingerprints(spark, folder):
     import hashlib
 

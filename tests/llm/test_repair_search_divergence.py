@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -268,6 +269,32 @@ def test_recall_against_brute_force(spark, rows):
     assert hits / total >= 0.9
 
 
+def test_memory_of_a_walk_and_of_held_neighbours():
+    """Without clusters a walk goes through most lists; neither its differences nor the candidates of many queries pile up."""
+    rng = np.random.default_rng(5)
+    points = rng.normal(size=(2560, 64))
+    points /= np.linalg.norm(points, axis=1)[:, None]
+    index = posting_lists.Index.over(points[:2048])
+    tracemalloc.start()
+    met = index.walk(points[2048:], 1.25)
+    _, peak = tracemalloc.get_traced_memory()
+    assert peak < 128 << 20 and np.isfinite(met).mean() > 0.9
+    exact = np.sqrt(((points[2048:2058, None] - points[None, :2048]) ** 2).sum(2))
+    assert np.allclose(met[:10][np.isfinite(met[:10])], exact[np.isfinite(met[:10])])
+    nearest, queries = posting_lists._Nearest(11), np.stack([np.arange(4000), rng.integers(0, 1 << 62, 4000)], 1)
+    keys = rng.integers(0, 1 << 62, (300, 3))
+    tracemalloc.reset_peak()
+    before, _ = tracemalloc.get_traced_memory()
+    for k in range(0, 4000, 250):
+        nearest.compare(queries[k : k + 250], points[rng.integers(300, 2560, 250)], [None, *range(299)], keys, points[:300])
+    after, _ = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert after - before < 4000 * 1200
+    rows = nearest.batch().to_pylist()
+    assert len(rows) == 4000 * 11 and {r["no_id"] for r in rows} == {False, True} and all(r["vec_id"] == 0 for r in rows if r["no_id"])
+    assert posting_lists._Nearest(11).batch().num_rows == 0
+
+
 def test_clusters_need_few_lists_and_boundaries_are_replicated():
     rng = np.random.default_rng(5)
     centres = rng.normal(size=(40, 16)) * 10

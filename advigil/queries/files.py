@@ -176,13 +176,14 @@ def scan_signals_array(s: StarSchema) -> DataFrame:
         "prr",
         F.array(F.struct(F.lit("}\\").alias("k"))).alias("notes"),
     )
-    rows = s.stored_metrics.select("signal_id", F.pmod(F.xxhash64("drug_name"), F.lit(32)).alias("part"), F.to_json(record).alias("record"))
-    order = W.partitionBy("part").orderBy("signal_id")
-    first, last = F.row_number().over(order) == 1, F.lead("signal_id").over(order).isNull()
-    line = F.concat(F.when(first, "[").otherwise(","), "record", F.when(last, "]").otherwise(""))
-    lines = s.stored(rows.select("part", "signal_id", line.alias("value")), "array-lines")
+    part, place = F.pmod(F.xxhash64("drug_name"), F.lit(32)).alias("part"), F.struct("signal_id", "drug_name", "event_name")
+    rows = s.stored_metrics.select("signal_id", part, place.alias("place"), F.to_json(record).alias("record"))
+    # The ends of a file come from its least and greatest row: no task holds the records of a file.
+    ends = rows.groupBy("part").agg(F.min("place").alias("first"), F.max("place").alias("last"))
+    line = F.concat(F.when(F.col("place") == F.col("first"), "[").otherwise(","), "record", F.when(F.col("place") == F.col("last"), "]").otherwise(""))
+    lines = s.stored(rows.join(ends, "part").select("part", "place", line.alias("value")), "array-lines")
     for even, separator in ((0, "\n"), (1, " ")):
-        part = lines.filter(F.col("part") % 2 == even).repartition("part").sortWithinPartitions("part", "signal_id")
+        part = lines.filter(F.col("part") % 2 == even).repartition("part").sortWithinPartitions("part", "place")
         part.select("part", "value").write.mode("append").partitionBy("part").option("lineSep", separator).text(path)
     read = signals.scan_signals_json(s.spark, path)
     return flat(read.select("signal_id", "drug_name", "event_name", "supporting_report_count", "prr"))

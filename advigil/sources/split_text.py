@@ -20,6 +20,8 @@ from advigil.session import stored
 MOST_CELL_CHARACTERS = 131_072
 # An element of a JSON array that is longer is taken for a broken file.
 MOST_ELEMENT_CHARACTERS = 1 << 26
+# Bytes of a split of a JSON file: the pieces of a split are sorted and numbered in one task, each with its place, which is longer than most.
+JSON_SPLIT_BYTES = 8 << 20
 # Ranges of lines meet the lines by blocks of so many rows.
 _BLOCK = 64
 _SPLIT = ["file", "start"]
@@ -209,13 +211,14 @@ def _depth_change(text: Column, end_inside: Column) -> Column:
 
 
 def json_elements(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(file, number, value): the objects of files that each hold one JSON array, on one line or many.
+    """(file, number, value): the objects of files that each hold one JSON array, on one line or many; ``file`` is the MD5 of the path.
 
     Files are cut at ``}`` and read in splits. Whether a piece starts in a string, and how deep in brackets, is
     composed over the pieces of a split and over the splits of a file. An element ends where the
     depth is 1 again; its pieces meet by its number. Elements that are no objects are passed over.
     """
-    pieces = text_lines(spark, path, "}")
+    # A path is longer than most pieces, all of which are sorted with it.
+    pieces = text_lines(spark, path, "}").withColumn("file", F.unhex(F.md5("file")))
     plain = F.regexp_replace("value", r"(?s)\\.", "")
     quotes = F.length(plain) - F.length(F.replace(plain, F.lit('"'), F.lit("")))
     swaps = quotes % 2 == 1
@@ -231,7 +234,9 @@ def json_elements(spark: SparkSession, path: str | list[str]) -> DataFrame:
     for start in (0, 1):
         change = F.when(F.col("odd") == start, F.col("change0")).otherwise(F.col("change1"))
         placed = placed.withColumn(f"depth{start}", F.sum(change).over(until))
-    pieces = stored(placed.select(*_SPLIT, "row", "value", "swaps", "odd", "depth0", "depth1"), "json-pieces")
+    most = min(JSON_SPLIT_BYTES, spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    small = {"spark.sql.files.maxPartitionBytes": f"{most}b"}
+    pieces = stored(placed.select(*_SPLIT, "row", "value", "swaps", "odd", "depth0", "depth1"), "json-pieces", small)
     # A split changes the depth by what its last piece has come to, by the state it starts in.
     ends = pieces.groupBy(*_SPLIT).agg(F.sum("swaps").alias("swaps"), F.max_by(F.struct("depth0", "depth1"), "row").alias("by"))
     past = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)

@@ -299,3 +299,17 @@ def test_empty_arrays_and_elements_that_do_not_end(spark, folder, monkeypatch):
     monkeypatch.setattr(split_text, "MOST_ELEMENT_CHARACTERS", 50)
     with pytest.raises(ValueError, match="does not end"):
         signals.scan_signals_json(spark, write(folder, "f.json", '[{"signal_id": "' + "x" * 100 + '"}]'))
+
+
+def test_json_arrays_are_numbered_by_small_splits(spark, folder, monkeypatch):
+    """A large split would be sorted by one task; the setting of the session stays."""
+    monkeypatch.setattr(split_text, "JSON_SPLIT_BYTES", 4096)
+    records = [{"signal_id": f"S{i}", "drug_name": 'a "}[{' + "x" * (i % 50), "event_name": "e", "supporting_report_count": i, "prr": 1.5} for i in range(800)]
+    path = write(folder, "signals.json", json.dumps(records))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    seen, keep = [], split_text.stored
+    monkeypatch.setattr(split_text, "stored", lambda df, name, *rest: seen.append((name, keep(df, name, *rest))) or seen[-1][1])
+    rows = signals.scan_signals_json(spark, str(path)).collect()
+    assert sorted((r.signal_id, r.drug_name, r.supporting_report_count) for r in rows) == sorted((r["signal_id"], r["drug_name"], r["supporting_report_count"]) for r in records)
+    assert dict(seen)["json-pieces"].select("start").distinct().count() > 10
+    assert spark.conf.get("spark.sql.files.maxPartitionBytes") == before
